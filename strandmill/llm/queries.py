@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandmill.llm import bpe, exact_dedup, media, mixing, sharding, token_counts
+from strandmill.llm import bpe, exact_dedup, jaccard, media, mixing, sharding, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_media": media.op2_media,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_shard": sharding.op10_shard,
 }
