@@ -206,5 +206,22 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return encode_with(docs, _digests(path), DIGESTS, path)
 
 
+def _checked(path: str):
+    digests = _digests(path)
+
+    def finish(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        found = digests(doc_ids, ids, ends)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        return pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("n_tokens"), lists, found.column("decoded_sha256")], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return finish
+
+
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and the SHA-256 of the text that the ids decode to, of each row of docs."""
+    path = path or vocabulary.default_path()
+    return encode_with(docs, _checked(path), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", path)
+
+
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.llm.shared import batches, keep, skew_join
 
@@ -137,10 +138,17 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows that repeat an id and its text, one."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of docs that stay, with their columns; of rows that repeat an id and its text, one. Groups without an id go."""
+
+    def tag(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            yield batch.append_column("_digest", pa.array(_normal(batch)[2], pa.binary()))
+
+    _, index = build_index(docs, bucket_bytes)
+    kept = index.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("_digest"))
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema, T.StructField("_digest", T.BinaryType())]))
+    return tagged.join(kept, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
 
 
 SQL = """
