@@ -1,8 +1,9 @@
 """N-gram Jaccard join with signature trees.
 
-A document is the set of its 5-word shingles, as 64-bit hashes. Two sets of similarity t or more share a shingle
-among the first |x| - ceil(t |x|) + 1 of each, in any order that all sets keep to; frequent shingles come last in ours.
-The least set of those that share such a shingle names a group, and all sets that share one of its shingles
+A document is the set of its 5-word shingles, as 64-bit hashes. Two sets of similarity t or more share k shingles
+among the first |x| - ceil(t |x|) + k of each, in any order that all sets keep to; frequent shingles come last in ours,
+and k grows with the size. Sets that share fewer than that with all others together have no partner. The least set of
+the others that share an early shingle names a group, and all that share one of its shingles
 meet there; so two similar sets meet in some group, and copies count as one set. A group is searched with
 a signature tree: leaves hold sets, nodes the OR of their token bitmaps and the range of their sizes. A dual
 traversal from the root leaves out node pairs whose greatest possible overlap is too small, and pairs that are already
@@ -28,6 +29,7 @@ PERCENT = 80
 BATCH = 4 << 20
 FREQUENT, SEEN = 1 << 16, 4  # how many frequent shingles come last; in how many sets of a batch one must be
 GROUP = 1000
+SHARE = 20
 FAN, LEAF = 8, 32
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
 
@@ -79,6 +81,11 @@ def set_names(found: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.where(names == 0, np.uint64(1), names), np.uint64(0))
 
 
+def shared_least(size):
+    """How many early shingles two sets of the size, or one of them larger, must share."""
+    return 1 + size // SHARE
+
+
 def _nodes(n: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, BATCH):
@@ -113,7 +120,7 @@ def _prefixes(n: int, percent: int, parts: int, hot: np.ndarray):
                 late = np.where(ordered[at] == found, rank[at], 0)
             place = np.lexsort((found, late, owner))
             size = np.diff(begin)
-            length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+            length = np.where(size > 0, size - (percent * size + 99) // 100 + shared_least(size), 0)
             keep_set = np.zeros(len(size), bool)
             keep_set[once] = True
             early = (np.arange(len(found)) - begin[owner] < length[owner]) & keep_set[owner]
@@ -128,8 +135,8 @@ def _prefixes(n: int, percent: int, parts: int, hot: np.ndarray):
     return run
 
 
-def _meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the sets with a common early shingle, the least and each other one; rows of a task may hold several parts."""
+def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The early shingles that several sets have, with each of these; a task may hold several parts."""
     held: dict[int, list] = {}
     for batch in rows:
         for part, tokens, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "nodes"))):
@@ -140,12 +147,11 @@ def _meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node = token[by], node[by]
         new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         token, node = token[new], node[new]
-        head = np.append(True, token[1:] != token[:-1])
-        hub = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([hub[~head], node[~head]], axis=1), axis=0) if (~head).any() else np.zeros((0, 2), np.uint64)
-        for a in range(0, len(pairs), 100_000):
-            cut = pairs[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cut[:, k]).view(np.int64)) for k in (0, 1)], names=["hub", "node"])
+        again = np.append(False, token[1:] == token[:-1])
+        again[:-1] |= again[1:]
+        token, node = token[again].view(np.int64), node[again].view(np.int64)
+        for a in range(0, len(token), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(node[a : a + 100_000])], names=["token", "node"])
 
 
 class SignatureTree:
@@ -304,14 +310,19 @@ def jaccard_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[
     hot = np.array([r["hot"] for r in reversed(often)], np.int64).view(np.uint64)
 
     early = slim.mapInArrow(_prefixes(n, percent, parts, hot), "part int, tokens binary, nodes binary").repartitionById(parts, F.col("part"))
-    meet = keep(early.mapInArrow(_meetings, "hub long, node long").distinct(), "jaccard-meetings")
+    shared = keep(early.mapInArrow(_shared, "token long, node long"), "jaccard-shared")
+    first = keep(nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-first")
+    least = 1 + F.floor(F.floor(F.col("n") * percent / 100) / SHARE)
+    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(first, "node").where(F.col("s") >= least).select("node")
+    shared = keep(shared.join(able, "node"), "jaccard-shared")
+    tokens = shared.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    total = max(shared.count(), 1)
+    meet = keep(skew_join(shared, tokens, "token", "rows", total).where("hub <> node").select("hub", "node").distinct(), "jaccard-meetings")
     sizes = meet.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
     meet = meet.unionByName(sizes.select("hub", F.col("hub").alias("node")))
-    total = meet.count()
-    meet = skew_join(meet, sizes, "hub", "size", max(total, 1))
+    meet = skew_join(meet, sizes, "hub", "size", total)
     meet = meet.groupBy("node").agg(F.collect_list(F.struct("hub", "size")).alias("hubs"))
-    first = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = slim.join(first.join(meet, "node"), "doc_id")
+    texts = slim.join(first.join(meet, "node").select("doc_id", "node", "hubs"), "doc_id")
     cut = texts.select("node", "text", F.explode("hubs").alias("h")).withColumn("blocks", F.ceil(F.col("h.size") / GROUP))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
