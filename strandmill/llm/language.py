@@ -175,7 +175,7 @@ def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_wor
     langs = sorted(found)
     words = sorted(set().union(*found.values()))
     counts = np.array([[found[x].get(w, 0) for x in langs] for w in words], float).reshape(len(words), len(langs))
-    return langs, learn(words, counts, path) if langs else np.zeros((1, 0))
+    return langs, learn(words, counts, path) if langs else np.zeros((len(pieces(path).names) + 1, 0))
 
 
 def held_out(doc_id):
