@@ -99,7 +99,7 @@ def int_list(text: C, trim_ends: int = 0) -> Column:
     """Integers of a comma-separated list, without trim_ends at either end. Brackets and spaces are ignored, as are items
     that are no numbers; null, '', nan and none give an empty list."""
     bare = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[\[\]()\s]", "")
-    items = F.filter(F.transform(F.split(bare, ","), lambda x: x.try_cast("double").cast("int")), lambda x: x.isNotNull())
+    items = F.filter(F.transform(F.split(bare, ","), lambda x: x.try_cast("double").try_cast("int")), lambda x: x.isNotNull())
     return items if not trim_ends else F.slice(items, trim_ends + 1, F.greatest(F.size(items) - 2 * trim_ends, F.lit(0)))
 
 

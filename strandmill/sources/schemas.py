@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema of 'name kind, name kind', made without a session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (field.split() for field in spec.split(","))])
 
 
 #: Columns of a centred-read file that are used, by their position in it.
