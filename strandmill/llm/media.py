@@ -24,7 +24,7 @@ CHUNK_SAMPLES = 32
 KEY_EVERY = 16
 TIMESCALE = 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
-SCHEMA = "codec string, timescale long, duration double, n_samples long, keyframes array<struct<sample:int,offset:long,size:long>>"
+SCHEMA = "struct<codec:string,timescale:long,duration:double,n_samples:long,keyframes:array<struct<sample:int,offset:long,size:long>>>"
 
 
 def box(kind: bytes, *body: bytes) -> bytes:
@@ -128,22 +128,20 @@ def media_columns(rows: DataFrame, column: str = "media") -> DataFrame:
     Null, empty and broken files give nulls. Columns of rows by these names are replaced.
     """
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for data in batch.column(0).to_pylist():
-                try:
-                    t = read_track(data)
-                    keys = [{"sample": int(s), "offset": int(t["offsets"][s - 1]), "size": int(t["sizes"][s - 1])} for s in t["sync"]]
-                    out.append((data, {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": keys}))
-                except (KeyError, ValueError, IndexError, TypeError, struct.error):
-                    out.append((data, None))
-            kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("sample", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])))])
-            yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], kind)], names=["track"])
-
-    @F.arrow_udf(f"struct<{SCHEMA.replace(' array', ':array').replace(' string', ':string').replace(' long', ':long').replace(' double', ':double')}>")
+    key = pa.struct([("sample", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
+    kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(key))])
+
+    def one(data: bytes | None) -> dict | None:
+        try:
+            t = read_track(data)
+            keys = [{"sample": int(s), "offset": int(t["offsets"][s - 1]), "size": int(t["sizes"][s - 1])} for s in t["sync"]]
+        except (KeyError, ValueError, IndexError, TypeError, struct.error):
+            return None
+        return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": keys}
+
+    @F.arrow_udf(SCHEMA)
     def track(data: pa.Array) -> pa.Array:
-        return next(run(iter([pa.RecordBatch.from_arrays([data], names=["d"])]))).column(0)
+        return pa.array(map(one, data.to_pylist()), kind)
 
     names = ["codec", "timescale", "duration", "n_samples", "keyframes"]
     kept = rows.drop(*names).withColumn("_track", track(F.col(column)))
