@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm import words as W
@@ -313,13 +313,15 @@ def jaccard_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[
     shared = keep(early.mapInArrow(_shared, "token long, node long"), "jaccard-shared")
     first = keep(nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-first")
     least = 1 + F.floor(F.floor(F.col("n") * percent / 100) / SHARE)
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(first, "node").where(F.col("s") >= least).select("node")
+    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(first, "node").where(F.col("s") >= least).select("node", least.alias("least"))
     shared = keep(shared.join(able, "node"), "jaccard-shared")
     tokens = shared.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     total = max(shared.count(), 1)
-    meet = keep(skew_join(shared, tokens, "token", "rows", total).where("hub <> node").select("hub", "node").distinct(), "jaccard-meetings")
-    sizes = meet.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
-    meet = meet.unionByName(sizes.select("hub", F.col("hub").alias("node")))
+    each = skew_join(shared, tokens, "token", "rows", total).groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
+    # two similar sets share at least `least` shingles; if each leaves groups in which it has under half of that, one is left
+    weak = F.sum("c").over(Window.partitionBy("node").orderBy("c", "hub").rowsBetween(Window.unboundedPreceding, 0))
+    meet = keep(each.withColumn("weak", weak).where(F.col("weak") * 2 > F.col("least") - 1).select("hub", "node"), "jaccard-meetings")
+    sizes = meet.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     meet = skew_join(meet, sizes, "hub", "size", total)
     meet = meet.groupBy("node").agg(F.collect_list(F.struct("hub", "size")).alias("hubs"))
     texts = slim.join(first.join(meet, "node").select("doc_id", "node", "hubs"), "doc_id")
