@@ -96,7 +96,7 @@ s AS (SELECT id, sample, motif, unnest(string_split(head, motif)) AS piece, gene
 h AS (SELECT id, sample, motif, k, n, sum(length(piece) + 6) OVER (PARTITION BY id, motif ORDER BY k) - 6 AS at FROM s),
 c AS (SELECT h.*, EXISTS (SELECT 1 FROM a WHERE a.id = h.id AND a.called AND a.k >= h.at AND a.k < h.at + 6) AS meth FROM h WHERE k < n),
 b AS (SELECT DISTINCT sample, motif FROM x)
-SELECT b.sample, b.motif, count_if(c.meth) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
+SELECT b.sample, b.motif, coalesce(count_if(c.meth), 0) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
 def motif_call_counts(spark, sf):
     out = methylation.motif_counts(_called(spark, sf), "sample", "head", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
