@@ -23,7 +23,7 @@ from strandmill.llm import vocabulary
 from strandmill.llm.pretokens import as_words, pretokens
 from strandmill.llm.shared import batches, string_buffers
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, LIST_BLOCK_BYTES = 24 << 20, 8 << 20  # smaller where ids themselves are returned
 KNOWN_WORDS = 500_000
 BLOCKS = "block long, part int, place int, doc_ids array<long>, firsts binary, lengths binary, data binary"
 CODEC = "zstd"
@@ -151,7 +151,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null counts as empty and has no ids. Null and repeated doc_ids are rows like others; further columns are not read.
     Special strings in a text are special tokens, as is the library's default.
     """
-    return encode_with(docs, _lists, "doc_id long, ids array<int>", path)
+    return encode_with(docs, _lists, "doc_id long, ids array<int>", path, LIST_BLOCK_BYTES)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -220,7 +220,7 @@ def _checked(path: str):
 def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the text that the ids decode to, of each row of docs."""
     path = path or vocabulary.default_path()
-    return encode_with(docs, _checked(path), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", path)
+    return encode_with(docs, _checked(path), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", path, LIST_BLOCK_BYTES)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
