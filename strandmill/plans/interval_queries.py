@@ -115,7 +115,7 @@ def motif_bins_zero_filled(spark, sf):
 _PRIMARY = "(flag & 2308) = 0"
 
 
-@query(f"""WITH {ctes('alignments')} SELECT rname, count(*) AS total, {', '.join(f'count_if(mapq >= {q}) AS mapq_{q}' for q in (20, 30, 40, 50, 60))} FROM alignments WHERE {_PRIMARY} GROUP BY 1""")
+@query(f"""WITH {ctes('alignments')} SELECT rname, count(*) AS total, {', '.join(f'CAST(count_if(mapq >= {q}) AS BIGINT) AS mapq_{q}' for q in (20, 30, 40, 50, 60))} FROM alignments WHERE {_PRIMARY} GROUP BY 1""")
 def mapq_threshold(spark, sf):
     return alignments.mapq_summary(relation(spark, sf, "alignments"), [20, 30, 40, 50, 60], ["rname"])
 

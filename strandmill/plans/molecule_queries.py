@@ -56,20 +56,20 @@ def bound_site_gaps(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT event_type, event_id % 4000 AS length, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 1 + CAST(floor(value) AS BIGINT) END AS calls FROM events)
-SELECT event_type, count(*) AS n, count_if(calls >= greatest(1, ceil(length * 0.001))) AS kept FROM e GROUP BY 1""")
+SELECT event_type, count(*) AS n, CAST(count_if(calls >= greatest(1, ceil(length * 0.001))) AS BIGINT) AS kept FROM e GROUP BY 1""")
 def adaptive_call_gate(spark, sf):
     calls = "CASE WHEN event_id % 5 = 0 THEN '' ELSE array_join(transform(sequence(0L, CAST(floor(value) AS BIGINT)), k -> CAST(k AS STRING)), ',') END AS m6a_qual"
     rows = table(spark, sf, "events").selectExpr("event_type", "event_id % 4000 AS length", calls)
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(identity.enough_calls("m6a_qual", "length")).alias("kept"))
 
 
-@query("""SELECT event_type, count(*) AS n, count_if(event_id % 40000 >= 15000 AND user_id >= 100 AND CAST(user_id AS DOUBLE) / (event_id % 40000) >= 0.005 AND value >= 10 AND event_id % 25000 BETWEEN 1500 AND 20000) AS kept FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, CAST(count_if(event_id % 40000 >= 15000 AND user_id >= 100 AND CAST(user_id AS DOUBLE) / (event_id % 40000) >= 0.005 AND value >= 10 AND event_id % 25000 BETWEEN 1500 AND 20000) AS BIGINT) AS kept FROM events GROUP BY 1""")
 def molecule_gates(spark, sf):
     rows = table(spark, sf, "events").selectExpr("event_type", "event_id % 40000 AS q", "user_id AS m", "value AS nuc", "event_id % 25000 AS telo")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(identity.molecule_gates("q", "m", "nuc", "telo")).alias("kept"))
 
 
-@query(f"WITH {_CALLED} SELECT assignment, CAST(k AS INT) AS pos, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1, 2")
+@query(f"WITH {_CALLED} SELECT assignment, CAST(k AS INT) AS pos, CAST(count_if(called) AS BIGINT) AS calls, count(*) AS targets FROM a GROUP BY 1, 2")
 def positional_rate(spark, sf):
     return methylation.positional_rate(_called(spark, sf), ["assignment"], "head", "calls")
 
@@ -96,7 +96,7 @@ s AS (SELECT id, sample, motif, unnest(string_split(head, motif)) AS piece, gene
 h AS (SELECT id, sample, motif, k, n, sum(length(piece) + 6) OVER (PARTITION BY id, motif ORDER BY k) - 6 AS at FROM s),
 c AS (SELECT h.*, EXISTS (SELECT 1 FROM a WHERE a.id = h.id AND a.called AND a.k >= h.at AND a.k < h.at + 6) AS meth FROM h WHERE k < n),
 b AS (SELECT DISTINCT sample, motif FROM x)
-SELECT b.sample, b.motif, coalesce(count_if(c.meth), 0) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
+SELECT b.sample, b.motif, CAST(coalesce(count_if(c.meth), 0) AS BIGINT) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
 def motif_call_counts(spark, sf):
     out = methylation.motif_counts(_called(spark, sf), "sample", "head", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))

@@ -59,7 +59,7 @@ r AS (SELECT assignment, tech, load, rank() OVER (PARTITION BY assignment ORDER
 
 
 @query(f"""WITH {ctes('loads')}, {_WINS}
-SELECT assignment, count_if(tech = 'ONT') AS n1, count_if(tech = 'PacBio') AS n2, round(sum(CASE WHEN tech = 'ONT' THEN r ELSE 0 END) - count_if(tech = 'ONT') * (count_if(tech = 'ONT') + 1) / 2.0, 4) AS u1 FROM r GROUP BY 1""")
+SELECT assignment, CAST(count_if(tech = 'ONT') AS BIGINT) AS n1, CAST(count_if(tech = 'PacBio') AS BIGINT) AS n2, round(sum(CASE WHEN tech = 'ONT' THEN r ELSE 0 END) - count_if(tech = 'ONT') * (count_if(tech = 'ONT') + 1) / 2.0, 4) AS u1 FROM r GROUP BY 1""")
 def mann_whitney_u(spark, sf):
     out = stats.mann_whitney(relation(spark, sf, "loads"), ["assignment"], "tech", "load", "ONT", "PacBio")
     return out.select("assignment", "n1", "n2", F.round("u1", 4).alias("u1"))
@@ -155,7 +155,7 @@ def first_of_group(spark, sf):
     return relation(spark, sf, "loads").withColumn("k", F.row_number().over(w)).where("k = 1").select("assignment", "id", "load")
 
 
-@query(f"""WITH {ctes('loads')} SELECT count(*) AS n, count_if(NOT (starts_with(assignment, 'chr13') OR starts_with(assignment, 'chr14') OR starts_with(assignment, 'chr21'))) AS kept, count_if(isfinite(1.0 / nullif(id % 3, 0))) AS finite FROM loads""")
+@query(f"""WITH {ctes('loads')} SELECT count(*) AS n, CAST(count_if(NOT (starts_with(assignment, 'chr13') OR starts_with(assignment, 'chr14') OR starts_with(assignment, 'chr21'))) AS BIGINT) AS kept, CAST(count_if(isfinite(1.0 / nullif(id % 3, 0))) AS BIGINT) AS finite FROM loads""")
 def prefix_and_finite_filters(spark, sf):
     rows = relation(spark, sf, "loads").withColumn("v", F.try_divide(F.lit(1.0), F.col("id") % 3))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~identity.any_prefix("assignment", ["chr13", "chr14", "chr21"])).alias("kept"), F.count_if(identity.finite("v")).alias("finite"))
