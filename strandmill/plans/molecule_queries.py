@@ -15,17 +15,25 @@ QUERIES, ORACLES, query = registry()
 _SITES = "concat('m', user_id % 60, ',m', event_id % 60) AS names, concat(CAST(floor(value) AS INT) % 4, ',', CAST(floor(value * 3) AS INT) % 4) AS codes"
 
 
-def _called(spark, sf) -> DataFrame:
-    """Telomere reads with calls at every fifth A of the telomere's first kilobase, by the read's id."""
+def _called(spark, sf, text="telo") -> DataFrame:
+    """Telomere reads with calls at every fifth A of the telomere (telo) or of its first kilobase (head), by the read's id."""
     rows = telomere_reads(spark, sf).withColumn("head", F.substr("telo", F.lit(1), F.lit(1000)))
-    letters = F.sequence(F.lit(0), F.length("head") - 1)
-    calls = F.filter(letters, lambda k: (F.substr("head", k + 1, F.lit(1)) == "A") & ((k + F.col("id")) % 5 == 0))
-    return rows.withColumn("calls", calls)
+    found = F.transform(F.split(text, ""), lambda base, k: F.when((base == "A") & ((k + F.col("id")) % 5 == 0), k))
+    return rows.withColumn("calls", F.array_compact(found))
 
 
 _CALLED = f"""{READS}, t AS (SELECT id, sample, assignment, substr(right(seq, CAST(least(qend, length(seq)) AS INT)), 1, 1000) AS head FROM reads WHERE qend >= 100),
 p AS (SELECT id, sample, assignment, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
 a AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = 'A')"""
+#: The same over the whole telomere.
+_WHOLE = f"""{READS}, t AS (SELECT id, sample, assignment, right(seq, CAST(least(qend, length(seq)) AS INT)) AS head FROM reads WHERE qend >= 100),
+p AS (SELECT id, sample, assignment, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
+a AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = 'A')"""
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query of the first kilobase, over the whole telomere."""
+    return ORACLES[name].replace(_CALLED, _WHOLE)
 
 
 @query(f"""WITH e AS (SELECT event_type, {_SITES} FROM events),
@@ -71,13 +79,24 @@ def molecule_gates(spark, sf):
 
 @query(f"WITH {_CALLED} SELECT assignment, CAST(k AS INT) AS pos, CAST(count_if(called) AS BIGINT) AS calls, count(*) AS targets FROM a GROUP BY 1, 2")
 def positional_rate(spark, sf):
-    return methylation.positional_rate(_called(spark, sf), ["assignment"], "head", "calls")
+    return methylation.positional_rate(_called(spark, sf, "head"), ["assignment"], "head", "calls")
+
+
+@query(_whole("positional_rate"))
+def positional_rate_whole(spark, sf):
+    return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls")
 
 
 @query(f"""WITH {_CALLED}, g AS (SELECT k, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1)
 SELECT CAST(k AS INT) AS pos, round(sum(calls) OVER w / nullif(sum(targets) OVER w, 0), 6) AS ratio FROM g WINDOW w AS (ORDER BY k ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)""")
 def rolling_ratio(spark, sf):
-    rates = methylation.positional_rate(_called(spark, sf), [], "head", "calls").withColumn("all", F.lit(0))
+    rates = methylation.positional_rate(_called(spark, sf, "head"), [], "head", "calls").withColumn("all", F.lit(0))
+    return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
+
+
+@query(_whole("rolling_ratio"))
+def rolling_ratio_whole(spark, sf):
+    rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls").withColumn("all", F.lit(0))
     return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
 
 
@@ -85,7 +104,12 @@ def rolling_ratio(spark, sf):
 s AS (SELECT assignment, sample, bin, avg(r) AS m FROM m GROUP BY 1, 2, 3)
 SELECT assignment, CAST(bin AS BIGINT) AS bin, round(median(m), 6) AS rate FROM s GROUP BY 1, 2""")
 def binned_rate(spark, sf):
-    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "head", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
+    return methylation.binned_rate(_called(spark, sf, "head"), ["assignment"], "sample", "head", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
+
+
+@query(_whole("binned_rate"))
+def binned_rate_whole(spark, sf):
+    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
 
 
 _MOTIFS = ["TTAGGG", "TGAGGG", "TTGGGG", "CCCTAA", "CCCTCA", "CCCCAA"]
@@ -98,27 +122,33 @@ c AS (SELECT h.*, EXISTS (SELECT 1 FROM a WHERE a.id = h.id AND a.called AND a.k
 b AS (SELECT DISTINCT sample, motif FROM x)
 SELECT b.sample, b.motif, CAST(coalesce(count_if(c.meth), 0) AS BIGINT) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
 def motif_call_counts(spark, sf):
-    out = methylation.motif_counts(_called(spark, sf), "sample", "head", "calls", _MOTIFS)
+    out = methylation.motif_counts(_called(spark, sf, "head"), "sample", "head", "calls", _MOTIFS)
+    return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
+
+
+@query(_whole("motif_call_counts"))
+def motif_call_counts_whole(spark, sf):
+    out = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
 
 
 @query()
 def motif_ratios(spark, sf):
-    counts = methylation.motif_counts(_called(spark, sf), "sample", "head", "calls", _MOTIFS)
+    counts = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     genome = counts.groupBy("motif").agg(F.sum("meth").alias("meth_count"), F.sum("total").alias("total_count"))
     return methylation.motif_ratios(counts, genome, "sample").select("sample", "motif", F.round("ratio", 6).alias("ratio"), F.round("normalised", 6).alias("normalised"))
 
 
 @query()
 def variant_call_rates(spark, sf):
-    rows = methylation.variant_rates(_called(spark, sf).where("length(telo) >= 1000"), "head", "calls", "spans")
+    rows = methylation.variant_rates(_called(spark, sf).where("length(telo) >= 1000"), "telo", "calls", "spans")
     return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("inside_rate"), 6).alias("inside"), F.round(F.avg("outside_rate"), 6).alias("outside"))
 
 
 @query()
 def mean_autocorrelation(spark, sf):
-    rows = _called(spark, sf).withColumn("size", F.length("head"))
-    return kernels.mean_autocorrelation(rows, ["tech"], "calls", "size", 1000, 400).select("tech", "lag", F.round("value", 6).alias("value"))
+    rows = _called(spark, sf).withColumn("size", F.length("telo"))
+    return kernels.mean_autocorrelation(rows, ["tech"], "calls", "size", 5000, 2000).select("tech", "lag", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {SPANS}, l AS (SELECT t.id, t.sample, t.assignment, t.tech, coalesce(sum(s.length) FILTER (WHERE s.length >= 5), 0) AS load FROM telos t LEFT JOIN spans s ON s.id = t.id GROUP BY 1, 2, 3, 4),
