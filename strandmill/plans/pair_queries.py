@@ -96,13 +96,17 @@ def ancestry_distances(spark, sf):
     return pairwise.ancestry_distance(pairs, windows, spans).select("assignment", "label_i", "label_j", "windows", F.round("distance", 4).alias("distance"))
 
 
+#: The caps of the reference.
+_CAPS = list(range(50, 4050, 50))
+
+
 @query()
 def kmer_sw_similarity(spark, sf):
-    """Similarities of the consensus of each sample and end, at two caps, between the samples of an end."""
-    made = aggregates.consensus(reads(spark, sf).withColumnRenamed("sample", "label"), ["assignment", "label"], "seq", "qend", least=1, most=300)
+    """Similarities of the consensus of each sample and end, at the caps from 50 to 4,000, between the samples of an end."""
+    made = aggregates.consensus(reads(spark, sf).withColumnRenamed("sample", "label"), ["assignment", "label"], "seq", "qend", least=1, most=max(_CAPS))
     made = made.withColumns({"contig": F.col("label"), "centering_position": F.lit(0)})
-    out = pairwise.widen(pairwise.pairwise_similarity(made, ["assignment"], [100, 300]), [100, 300])
-    return out.select("assignment", "label_i", "label_j", *(F.round(c, 6).alias(c) for c in ("sim_t100", "sim_t300")))
+    out = pairwise.widen(pairwise.pairwise_similarity(made, ["assignment"], _CAPS, partitions=4 * spark.sparkContext.defaultParallelism), _CAPS)
+    return out.select("assignment", "label_i", "label_j", *(F.round(c, 6).alias(c) for c in (f"sim_t{cap}" for cap in _CAPS)))
 
 
 @query()

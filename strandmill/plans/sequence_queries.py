@@ -111,6 +111,11 @@ def telomere_consensus(spark, sf):
     return aggregates.consensus(reads(spark, sf), ["assignment"], "seq", "qend", least=3, most=400)
 
 
+@query(ORACLES["telomere_consensus"].replace("least(CAST(floor(median(length(tail))) AS INT), 400)", "CAST(floor(median(length(tail))) AS INT)"))
+def telomere_consensus_whole(spark, sf):
+    return aggregates.consensus(reads(spark, sf), ["assignment"], "seq", "qend", least=3)
+
+
 @query()
 def phase_disruption_spans(spark, sf):
     rows = telomere_reads(spark, sf).select("id", F.explode(kernels.phase_disruption("telo")).alias("s"))
