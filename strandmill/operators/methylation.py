@@ -42,19 +42,53 @@ def call_vector(calls: str, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.array_contains(calls, k).cast("int"))
 
 
-def positional_rate(df: DataFrame, keys: list[str], seq: str, calls: str, base: str = "A") -> DataFrame:
-    """keys, pos, calls, targets over all molecules: each position's calls on the base, and its bases."""
-    letters = df.select(*keys, calls, F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == base)
+def target_base(seq: str, calls: str) -> Column:
+    """The base at the molecule's first call within the sequence; null where there is no call in it."""
+    first = F.array_min(F.filter(calls, lambda p: p >= 0))
+    return F.nullif(F.substr(F.col(seq), first + 1, F.lit(1)), F.lit(""))
+
+
+def positional_rate(df: DataFrame, keys: list[str], seq: str, calls: str, base: str | None = "A") -> DataFrame:
+    """keys, pos, calls, targets over all molecules: each position's calls on the base, and its bases. Without a base, each
+    molecule's own target base counts, and molecules without calls don't."""
+    rows = df.withColumn("_target", F.lit(base) if base else target_base(seq, calls))
+    letters = rows.select(*keys, calls, "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == F.col("_target"))
     return letters.groupBy(*keys, "pos").agg(F.count_if(F.array_contains(calls, F.col("pos"))).alias("calls"), F.count(F.lit(1)).alias("targets"))
 
 
-def binned_rate(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, width: int = 50, base: str = "A") -> DataFrame:
-    """keys, bin, rate: each sample's mean over its molecules of calls by bases in bins, and of these the median."""
-    each = df.withColumn("_id", F.monotonically_increasing_id()).select(*keys, sample, "_id", calls, F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == base)
+def binned_rate(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, width: int = 50, base: str | None = "A") -> DataFrame:
+    """keys, bin, rate: each sample's mean over its molecules of calls by bases in bins, and of these the median. Without a base,
+    each molecule's own target base counts, and molecules without calls don't."""
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_target", F.lit(base) if base else target_base(seq, calls))
+    each = rows.select(*keys, sample, "_id", calls, "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == F.col("_target"))
     molecule = each.groupBy(*keys, sample, "_id", F.floor(F.col("pos") / width).alias("bin")).agg((F.count_if(F.array_contains(calls, F.col("pos"))) / F.count(F.lit(1))).alias("_r"))
     return molecule.groupBy(*keys, sample, "bin").agg(F.avg("_r").alias("_m")).groupBy(*keys, "bin").agg(F.median("_m").alias("rate"))
 
 
+def binned_variant_rates(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, spans: str, width: int = 50) -> DataFrame:
+    """keys, bin, inside_rate, outside_rate: binned rates within the spans that hold a molecule's own target base, and elsewhere.
+
+    The first and last span don't count, nor does a call at position 0; all other calls of a bin are divided by its target
+    bases, as in variant_rates. Bins without a target base on a side are left out of that side's means.
+    """
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("_calls", F.filter(calls, lambda p: (p > 0) & (p < F.length(seq)))).withColumn("_target", target_base(seq, "_calls")).where("_target IS NOT NULL")
+    held = F.filter(F.slice(F.col(spans), 2, F.greatest(F.size(spans) - 2, F.lit(0))), lambda x: F.contains(F.substr(F.col(seq), x["start"] + 1, x["length"]), F.col("_target")))
+    each = rows.withColumn("_used", held).select(*keys, sample, "_id", "_calls", "_used", "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b"))
+    each = each.withColumns({"_called": F.array_contains("_calls", F.col("pos")), "_own": F.col("_b") == F.col("_target")}).where("_called OR _own")
+    each = each.withColumn("_in", F.exists("_used", lambda x: (F.col("pos") >= x["start"]) & (F.col("pos") < x["start"] + x["length"])))
+    sides = {"inside_rate": F.col("_in"), "outside_rate": ~F.col("_in")}
+    molecule = each.groupBy(*keys, sample, "_id", F.floor(F.col("pos") / width).alias("bin")).agg(*(F.try_divide(F.count_if(on & F.col("_called")), F.count_if(on & F.col("_own"))).alias(n) for n, on in sides.items()))
+    means = molecule.groupBy(*keys, sample, "bin").agg(*(F.avg(n).alias(n) for n in sides))
+    return means.groupBy(*keys, "bin").agg(*(F.median(n).alias(n) for n in sides))
+
+
+def subtelomere_calls(calls: str, query: str, telomere: str) -> Column:
+    """Calls below 0 as positions in the query's part before the telomere, whose last base is at -1."""
+    size = F.col(query) - F.col(telomere)
+    return F.filter(F.transform(F.filter(calls, lambda p: p < 0), lambda p: p + size), lambda p: p >= 0)
+
+
 def motif_counts(df: DataFrame, sample: str, seq: str, calls: str, motifs: list[str]) -> DataFrame:
     """sample, motif, meth, total: places of each motif, and those with a call in them; absent motifs with 0."""
     hits = [F.struct(F.lit(m).alias("motif"), sequence.motif_hits(seq, m).alias("at")) for m in motifs]

@@ -84,7 +84,7 @@ def positional_rate(spark, sf):
 
 @query(_whole("positional_rate"))
 def positional_rate_whole(spark, sf):
-    return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls")
+    return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls", base=None)
 
 
 @query(f"""WITH {_CALLED}, g AS (SELECT k, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1)
@@ -96,7 +96,7 @@ def rolling_ratio(spark, sf):
 
 @query(_whole("rolling_ratio"))
 def rolling_ratio_whole(spark, sf):
-    rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls").withColumn("all", F.lit(0))
+    rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls", base=None).withColumn("all", F.lit(0))
     return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
 
 
@@ -109,7 +109,13 @@ def binned_rate(spark, sf):
 
 @query(_whole("binned_rate"))
 def binned_rate_whole(spark, sf):
-    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
+    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls", base=None).select("assignment", "bin", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def binned_variant_rates(spark, sf):
+    out = methylation.binned_variant_rates(_called(spark, sf).where("length(telo) >= 1000"), ["assignment"], "sample", "telo", "calls", "spans")
+    return out.select("assignment", "bin", F.round("inside_rate", 6).alias("inside"), F.round("outside_rate", 6).alias("outside"))
 
 
 _MOTIFS = ["TTAGGG", "TGAGGG", "TTGGGG", "CCCTAA", "CCCTCA", "CCCCAA"]
