@@ -1,160 +1,207 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-The leading bits of a text's SHA-256 are its hash key. The directory starts with one bucket and doubles
-while a bucket holds more bytes than a bucket may; buckets that fit keep their shorter prefix. Map tasks
-fold equal texts of a batch into one entry, entries go to the bucket that owns their key range, and an owner
-task streams its entries in key order, chains those with equal keys and tells them apart by their bytes.
-The index is a Parquet table in the shared folder, one file for each bucket.
+The leading bits of a text's SHA-256 are its key, and the directory's leading bits of a key name its bucket. The
+directory begins with as many buckets as the table's bytes ask for; a bucket that turns out overfull splits by the next
+bit of its keys, and where it is as deep as the directory, the directory doubles. Map tasks
+fold equal texts of a batch into one entry, entries go to the task that owns their bucket's range of keys, and an owner
+task streams its entries in key order, chains those with equal keys and tells them apart by their bytes. The chains
+decide what is a copy of what: a document belongs to the one chain of its key, or, where a key has several, to that with
+its bytes. The index is a Parquet table in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandmill.llm.shared import batches, keep, skew_join
+from strandmill.llm.shared import batches, keep, numbered, skew_join
 
-BUCKET_BYTES = 16 << 20
-MAX_DEPTH = 16
-KEYS = "doc_id long, cell int, digest binary, n_bytes long"
-ENTRIES = "bucket int, digest binary, body binary, keep_id long, copies long"
-INDEX = "bucket int, chain int, digest binary, body binary, keep_id long, group_size long"
+BITS = 63  # of a key
+BUCKET_BYTES, PER_ROOT = 16 << 20, 13
+ENTRIES = "slot int, key long, body binary, keep_id long, keep_uid long, copies long"
+INDEX = "bucket long, key long, chain int, chains int, n_bytes long, body binary, keep_id long, keep_uid long, group_size long"
 
 
-def directory(cell_bytes: np.ndarray, bucket_bytes: int, max_depth: int = MAX_DEPTH) -> tuple[int, np.ndarray]:
-    """Global depth and the bucket of each finest cell, from the bytes in each of the 2**max_depth cells.
+def bucket_size(total: int) -> int:
+    """Bytes that a bucket may hold: the number of buckets and their size both grow with the square root of the table."""
+    return max(BUCKET_BYTES, PER_ROOT * math.isqrt(total))
 
-    Buckets are numbered in key order. A bucket at max_depth may stay overfull: its owner streams.
-    """
-    sums = np.concatenate(([0], np.cumsum(cell_bytes)))
-    bucket, depth = np.zeros(len(cell_bytes), np.int32), 0
-    leaves, todo = [], [(0, len(cell_bytes), 0)]
-    while todo:
-        begin, end, local = todo.pop()
-        if sums[end] - sums[begin] > bucket_bytes and local < max_depth:
-            depth = max(depth, local + 1)  # the directory doubles whenever a bucket at its depth splits
-            middle = (begin + end) // 2
-            todo += [(middle, end, local + 1), (begin, middle, local + 1)]
-        else:
-            leaves.append((begin, end))
-    for number, (begin, end) in enumerate(sorted(leaves)):
-        bucket[begin:end] = number
-    return depth, bucket
+
+class Directory:
+    """2**depth slots, by the leading bits of a key. A bucket whose local depth is under the directory's fills several
+    neighbouring slots; so only the first slot of each is held, with the bucket's name: a 1 and then its leading bits."""
+
+    def __init__(self, depth: int = 0):
+        self.depth = depth
+        self.first = np.arange(1 << depth, dtype=np.int64)
+        self.names = self.first + (1 << depth)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place among the buckets, in key order, of each key."""
+        return np.searchsorted(self.first, keys >> (BITS - self.depth), side="right") - 1
+
+    def split(self, names: Iterable[int]) -> None:
+        """Each of the named buckets becomes two, by its next bit; the directory doubles if one is as deep as itself."""
+        names = np.array(sorted(names), np.int64)
+        local = np.array([int(n).bit_length() - 1 for n in names], np.int64)
+        if len(names) and local.max() >= self.depth:
+            self.depth += 1
+            self.first = self.first * 2
+        stay = ~np.isin(self.names, names)
+        halves = np.concatenate((2 * names, 2 * names + 1))
+        deep = np.concatenate((local, local)) + 1
+        begin = (halves - (np.int64(1) << deep)) << (self.depth - deep)
+        first, names = np.concatenate((self.first[stay], begin)), np.concatenate((self.names[stay], halves))
+        order = np.argsort(first)
+        self.first, self.names = first[order], names[order]
+
+
+def _key(digest: bytes, bits: int) -> int:
+    """The first bits of a digest as a number of BITS bits; fewer bits serve to force collisions."""
+    return int.from_bytes(digest[:8], "big") >> (64 - bits) << (BITS - bits)
+
+
+def _normal(batch: pa.RecordBatch) -> list[bytes]:
+    return pc.ascii_lower(batch.column("text").fill_null("")).cast(pa.binary()).to_pylist()
 
 
-def _normal(batch: pa.RecordBatch) -> tuple[list[int | None], list[bytes], list[bytes]]:
-    text = pc.ascii_lower(batch.column("text").fill_null("")).cast(pa.binary()).to_pylist()
-    return batch.column("doc_id").to_pylist(), text, [hashlib.sha256(t).digest() for t in text]
+def _documents(bits: int, with_body: bool):
+    """doc_id, key, digest and, if asked for, body of each row."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            texts = _normal(batch)
+            digests = [hashlib.sha256(t).digest() for t in texts]
+            columns = [batch.column("doc_id"), pa.array([_key(d, bits) for d in digests], pa.int64()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_body, names=["doc_id", "key", "digest", "body"][: 3 + with_body])
 
-def _cell(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> (32 - MAX_DEPTH)
+    return run
 
 
-def _keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows):
-        ids, texts, digests = _normal(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(_cell, digests), pa.int32()), pa.array(digests, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["doc_id", "cell", "digest", "n_bytes"])
+def _better(a: tuple, b: tuple) -> tuple:
+    """Of two (doc_id, uid), the one with the larger id, null last, then with the smaller uid."""
+    return max(a, b, key=lambda x: (x[0] is not None, x[0] or 0, -x[1]))
 
 
-def _entries(buckets: np.ndarray):
+def _entries(directory: Directory, bits: int):
     def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             found: dict[bytes, list] = {}
-            for i, text, digest in zip(*_normal(batch)):
-                entry = found.setdefault(text, [int(buckets[_cell(digest)]), digest, text, None, 0])
-                entry[3] = i if entry[3] is None else entry[3] if i is None else max(i, entry[3])
-                entry[4] += 1
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found.values()), kinds)], names=["bucket", "digest", "body", "keep_id", "copies"])
+            for i, uid, text in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), _normal(batch)):
+                entry = found.get(text)
+                if entry is None:
+                    found[text] = [i, uid, 1]
+                else:
+                    entry[0], entry[1] = _better((entry[0], entry[1]), (i, uid))
+                    entry[2] += 1
+            keys = np.fromiter((_key(hashlib.sha256(t).digest(), bits) for t in found), np.int64, len(found))
+            ids, uids, copies = zip(*found.values())
+            columns = [pa.array(directory.find(keys).astype(np.int32)), pa.array(keys), pa.array(list(found), pa.binary()), pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), pa.array(copies, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "key", "body", "keep_id", "keep_uid", "copies"])
 
     return fold
 
 
-def _own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in key order; a chain holds the different texts of one key."""
-    key, chain = None, []
-
-    def flush() -> list[tuple]:
-        return [(b, n, key[1], body, top, size) for n, (b, body, top, size) in enumerate(chain)]
+def _own(names: np.ndarray):
+    """Entries in key order become chains; a chain holds the different texts of one key, told apart by their bytes."""
+    kinds = {"bucket": pa.int64(), "key": pa.int64(), "chain": pa.int32(), "chains": pa.int32(), "n_bytes": pa.int64(), "body": pa.binary(), "keep_id": pa.int64(), "keep_uid": pa.int64(), "group_size": pa.int64()}
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (("bucket", pa.int32()), ("chain", pa.int32()), ("digest", pa.binary()), ("body", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
-
-    done, held = [], 0
-    for batch in rows:
-        for bucket, digest, body, top, copies in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "body", "keep_id", "copies"))):
-            if key != (bucket, digest):
-                done += flush() if chain else []
-                held += sum(len(x[1]) for x in chain)
-                key, chain = (bucket, digest), []
-                if held > 8 << 20:
-                    yield out(done)
-                    done, held = [], 0
-            for entry in chain:
-                if entry[1] == body:
-                    entry[2] = top if entry[2] is None else entry[2] if top is None else max(top, entry[2])
-                    entry[3] += copies
-                    break
-            else:
-                chain.append([bucket, body, top, copies])
-    done += flush() if chain else []
-    if done:
-        yield out(done)
-
-
-def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The keys of all rows and the index, both in the shared folder."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = keep(slim.mapInArrow(_keys, KEYS), "dedup-keys")
-    one = keys.groupBy("digest").agg(F.first("cell").alias("cell"), F.first("n_bytes").alias("n_bytes"))
-    cells = np.zeros(1 << MAX_DEPTH, np.int64)
-    for row in one.groupBy("cell").agg(F.sum("n_bytes").alias("n")).collect():  # 2**MAX_DEPTH rows at most
-        cells[row["cell"]] = row["n"]
-    _, buckets = directory(cells, bucket_bytes)
-    entries = slim.mapInArrow(_entries(buckets), ENTRIES).repartitionById(int(buckets[-1]) + 1, F.col("bucket"))
-    owned = entries.sortWithinPartitions("bucket", "digest").mapInArrow(_own, INDEX)
-    return keys, keep(owned, "dedup-index")
-
-
-def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chain, done, held = None, [], [], 0
+        for batch in rows:
+            for slot, k, body, top, uid, copies in zip(*(batch.column(c).to_pylist() for c in ("slot", "key", "body", "keep_id", "keep_uid", "copies"))):
+                if key != (slot, k):
+                    done += [(int(names[key[0]]), key[1], n, len(chain), len(x[0]), *x) for n, x in enumerate(chain)]
+                    held += sum(len(x[0]) for x in chain)
+                    key, chain = (slot, k), []
+                    if held > 8 << 20:
+                        yield out(done)
+                        done, held = [], 0
+                for entry in chain:
+                    if entry[0] == body:
+                        entry[1], entry[2] = _better((entry[1], entry[2]), (top, uid))
+                        entry[3] += copies
+                        break
+                else:
+                    chain.append([body, top, uid, copies])
+        done += [(int(names[key[0]]), key[1], n, len(chain), len(x[0]), *x) for n, x in enumerate(chain)]
+        if done:
+            yield out(done)
+
+    return run
+
+
+def build_index(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BITS) -> tuple[DataFrame, Directory]:
+    """The index of docs (doc_id, text, uid), in the shared folder, and its directory.
+
+    A row for each different text: bucket, key, its place in the key's chain, how many chains the key has, its bytes, the id
+    and uid of the row that stays, and the number of its rows. A bucket is overfull if it holds more than bucket_bytes
+    besides its longest text, and splits unless all its keys are one.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bytes = bucket_bytes or bucket_size(total)
+    directory = Directory(max(0, math.ceil(math.log2(max(total, 1) / bucket_bytes))))
+    slots = len(directory.names)
+    entries = docs.mapInArrow(_entries(directory, bits), ENTRIES).repartitionById(slots, F.col("slot"))
+    index = keep(entries.sortWithinPartitions("slot", "key").mapInArrow(_own(directory.names), INDEX), "dedup-index")
+    while True:
+        sizes = index.groupBy("bucket").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("m"), F.min("key").alias("k0"), F.max("key").alias("k1"))
+        over = sizes.where((F.col("b") - F.col("m") > bucket_bytes) & (F.col("k0") < F.col("k1"))).select("bucket")
+        found = [r["bucket"] for r in over.collect()]  # buckets, whose number grows with the square root of the table
+        if not found:
+            return index, directory
+        directory.split(found)
+        over = F.broadcast(index.sparkSession.createDataFrame([(b,) for b in found], "bucket long"))
+        local = F.length(F.bin("bucket")) - 1
+        bit = F.expr("shiftright(key, CAST(_next AS INT))").bitwiseAND(1)
+        halves = index.join(over, "bucket", "left_semi").withColumn("_next", BITS - 1 - local).withColumn("bucket", F.col("bucket") * 2 + bit).drop("_next")
+        index = index.join(over, "bucket", "left_anti").unionByName(keep(halves, "dedup-split"))  # only what splits is written again
+
+
+def exact_groups(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BITS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty. The largest doc_id of a
-    group stays. Null ids are never kept unless all ids of the group are null, when none is. Rows that repeat
-    the kept id with the same text are one document and are all marked kept. Further columns are not read.
+    group stays; where all ids of a group are null, null does. Rows that repeat the kept id with the same text are one
+    document and are all marked kept. An empty table gives no rows. Further columns are not read.
     """
-    keys, index = build_index(docs, bucket_bytes)
-    groups = index.select("digest", "keep_id", "group_size")
-    found = skew_join(keys.select("doc_id", "digest"), groups, "digest", "group_size", keys.count())
-    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows that repeat an id and its text, one. Groups without an id go."""
-
-    def tag(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            yield batch.append_column("_digest", pa.array(_normal(batch)[2], pa.binary()))
-
-    _, index = build_index(docs, bucket_bytes)
-    kept = index.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("_digest"))
-    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema, T.StructField("_digest", T.BinaryType())]))
-    return tagged.join(kept, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("uid"))
+    index, _ = build_index(slim, bucket_bytes, bits)
+    keys = keep(slim.mapInArrow(_documents(bits, False), "doc_id long, key long, digest binary"), "dedup-keys")
+    groups = index.select("key", "chains", "keep_id", "group_size")
+    found = skew_join(keys, groups.where("chains = 1").drop("chains"), "key", "group_size", keys.count())
+    if not index.where("chains > 1").isEmpty():  # keys that several texts share: their documents go by their bytes
+        several = index.where("chains > 1").select("key", "body", "keep_id", "group_size")
+        rows = slim.mapInArrow(_documents(bits, True), "doc_id long, key long, digest binary, body binary")
+        found = found.unionByName(rows.join(several, ["key", "body"]).drop("body"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def deduplicate(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BITS) -> DataFrame:
+    """Of docs, one row for each different text, with its columns: that with the largest doc_id, or any of those that have it.
+
+    Null counts as the empty text. A text whose ids are all null keeps one row too. Other columns may have any names.
+    """
+    rows, uid = numbered(docs)
+    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(uid).alias("uid"))
+    index, _ = build_index(slim, bucket_bytes, bits)
+    return rows.join(index.select(F.col("keep_uid").alias(uid)), uid, "left_semi").select(*docs.columns)
 
 
 SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, coalesce(n.doc_id = g.keep_id, false) AS kept, sha256(n.t) AS text_sha256
+SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t
 """
 

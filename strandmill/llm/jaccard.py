@@ -1,18 +1,23 @@
 """N-gram Jaccard join with signature trees.
 
-A document is the set of its 5-word shingles, as 64-bit hashes. Two sets of similarity t or more share k shingles
-among the first |x| - ceil(t |x|) + k of each, in any order that all sets keep to; frequent shingles come last in ours,
-and k grows with the size. Sets that share fewer than that with all others together have no partner. The least set of
-the others that share an early shingle names a group, and all that share one of its shingles
+A document is the set of its 5-word shingles, as 64-bit hashes with a key of the run. Two sets of similarity t or more
+share k shingles among the first |x| - ceil(t |x|) + k of each, in any order that all sets keep to; frequent shingles come
+last in ours, and k grows with the size. Sets that share fewer than that with all others together have no partner. The
+least set of the others that share an early shingle names a group, and all that share one of its shingles
 meet there; so two similar sets meet in some group, and copies count as one set. A group is searched with
 a signature tree: leaves hold sets, nodes the OR of their token bitmaps and the range of their sizes. A dual
 traversal from the root leaves out node pairs whose greatest possible overlap is too small, and pairs that are already
-connected; the others are compared by their whole sets. Groups too large for a task are cut into blocks, and
-each pair of blocks is searched.
+connected; the others are compared by their whole sets.
+
+A group too large for a task is dealt into blocks, which are searched one by one. A few sets of each component that this
+finds are then searched together, which joins the components of a group of near copies. Only sets outside of a group's
+largest component still have unsearched partners in other blocks: they meet every block. So a group of near copies
+costs its own size, and no link is lost.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,26 +27,26 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import words as W
 from strandmill.llm.bpe import pack, unpack
-from strandmill.llm.shared import batches, keep, skew_join, string_buffers
+from strandmill.llm.shared import batches, drop, keep, numbered, skew_join, string_buffers
 
 N = 5
 PERCENT = 80
 BATCH = 4 << 20
 FREQUENT, SEEN = 1 << 16, 4  # how many frequent shingles come last; in how many sets of a batch one must be
-GROUP = 1000
+GROUP, GROUP_WORDS, SPEAKERS = 250, 1 << 20, 4  # sets and shingles of a block; sets that stand for a component
 SHARE = 20
 FAN, LEAF = 8, 32
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, key: bytes, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each text, the text of each, and where each text's begin and end.
 
     A text with fewer words than n has one shingle of all of them; one without words has none.
     """
     data = W.lower(data)
-    starts, ends, first = W.words(data, offsets)
-    h = W.hashes(data, starts, ends)
+    starts, _, first = W.words(data, offsets)
+    h = W.hashes(data, starts, key)
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
     last = len(h) - n + 1
@@ -86,10 +91,13 @@ def shared_least(size):
     return 1 + size // SHARE
 
 
-def _nodes(n: int):
+NODES = ["uid", "doc_id", "n", "node", "hot", "seen"]
+
+
+def _nodes(n: int, key: bytes):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, BATCH):
-            found, _, begin = shingle_sets(*string_buffers(batch.column("text")), n)
+            found, _, begin = shingle_sets(*string_buffers(batch.column("text")), key, n)
             names = set_names(found, begin)
             _, once = np.unique(names, return_index=True)
             of_once = np.concatenate([found[begin[i] : begin[i + 1]] for i in once]) if len(once) else found
@@ -97,21 +105,22 @@ def _nodes(n: int):
             hot, seen = hot[seen >= SEEN], seen[seen >= SEEN]
             some = np.argsort(-seen, kind="stable")[:FREQUENT]
             more = len(batch) * [None]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(names.view(np.int64)), pa.array(more, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "hot", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(names.view(np.int64)), pa.array(more, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], names=NODES)
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([hot[some].view(np.int64)]), pa.array([seen[some].astype(np.int64)])], names=["doc_id", "n", "node", "hot", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([hot[some].view(np.int64)]), pa.array([seen[some].astype(np.int64)])], names=NODES)
 
     return run
 
 
-def _prefixes(n: int, percent: int, parts: int, hot: np.ndarray):
+def _prefixes(n: int, percent: int, parts: int, hot: np.ndarray, key: bytes):
+    """Early shingles with their sets, by the part that a shingle belongs to. What sets a frequent shingle is in needs
+    no search, so these pairs are dealt by shingle and set, and no part holds all sets of one."""
     order = np.argsort(hot)
     ordered, rank = hot[order], order.astype(np.int64) + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, BATCH):
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            found, owner, begin = shingle_sets(*string_buffers(batch.column("text")), n)
+            found, owner, begin = shingle_sets(*string_buffers(batch.column("text")), key, n)
             names = set_names(found, begin)
             _, once = np.unique(names, return_index=True)
             late = np.zeros(len(found), np.int64)
@@ -125,31 +134,33 @@ def _prefixes(n: int, percent: int, parts: int, hot: np.ndarray):
             keep_set[once] = True
             early = (np.arange(len(found)) - begin[owner] < length[owner]) & keep_set[owner]
             token, node = found[place[early]], names[owner[early]]
-            part = (token >> np.uint64(40)).astype(np.int64) * parts >> 24
-            by = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[by], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(edges))
-            cut = [by[edges[p] : edges[p + 1]] for p in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([pack(node[c]) for c in cut], pa.binary())], names=["part", "tokens", "nodes"])
+            often = late[place[early]] > 0
+            part = (np.where(often, W.mixed(token ^ node), token) >> np.uint64(40)).astype(np.int64) * parts >> 24
+            slot = 2 * part + often
+            by = np.argsort(slot, kind="stable")
+            full, at = np.unique(slot[by], return_index=True)
+            cut = np.split(by, at[1:]) if len(full) else []
+            yield pa.RecordBatch.from_arrays([pa.array((full >> 1).astype(np.int32)), pa.array(full % 2 == 1), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([pack(node[c]) for c in cut], pa.binary())], names=["part", "often", "tokens", "nodes"])
 
     return run
 
 
 def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The early shingles that several sets have, with each of these; a task may hold several parts."""
-    held: dict[int, list] = {}
+    held: dict[tuple, list] = {}
     for batch in rows:
-        for part, tokens, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "nodes"))):
-            held.setdefault(part, []).append((unpack(tokens, np.uint64), unpack(nodes, np.uint64)))
-    for some in held.values():
+        for part, often, tokens, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "often", "tokens", "nodes"))):
+            held.setdefault((part, often), []).append((unpack(tokens, np.uint64), unpack(nodes, np.uint64)))
+    for (_, often), some in held.items():
         token, node = (np.concatenate(x) for x in zip(*some))
         by = np.lexsort((node, token))
         token, node = token[by], node[by]
         new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node = token[new], node[new]
-        again = np.append(False, token[1:] == token[:-1])
-        again[:-1] |= again[1:]
-        token, node = token[again].view(np.int64), node[again].view(np.int64)
+        token, node = token[new].view(np.int64), node[new].view(np.int64)
+        if not often:
+            again = np.append(False, token[1:] == token[:-1])
+            again[:-1] |= again[1:]
+            token, node = token[again], node[again]
         for a in range(0, len(token), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(node[a : a + 100_000])], names=["token", "node"])
 
@@ -199,11 +210,12 @@ def _find(parent: list[int], k: int) -> int:
     return k
 
 
-def search(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def search(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect all that is linked: pairs of places in left (and right, counted on after left's).
 
     A pair of sets is linked when 100 * overlap >= percent * union. With right None, pairs within left. Pairs that
-    earlier links connect are left out. Sets are sorted arrays without repeats and not empty.
+    earlier links connect are left out, as are those of sets with the same known component. Sets are sorted arrays
+    without repeats and not empty.
     """
     if not left or right is not None and not right:
         return []
@@ -212,7 +224,8 @@ def search(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     a = SignatureTree(left, bits)
     b, shift = (a, 0) if right is None else (SignatureTree(right, bits), len(left))
     everything = left + (right or [])
-    parent = list(range(len(everything)))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(c, k) for k, c in enumerate(known)] if known else list(range(len(everything)))
     links: list[tuple[int, int]] = []
 
     def leaves(i: int, j: int) -> None:
@@ -255,19 +268,21 @@ def search(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return links
 
 
-def _join(n: int, percent: int):
+def _join(n: int, percent: int, key: bytes):
+    """Links of a group of rows (right, node, root, text): within the rows that aren't right, or of these with those that are."""
+
     def run(group: pa.Table) -> pa.Table:
-        left: dict[int, np.ndarray] = {}
-        right: dict[int, np.ndarray] = {}
-        bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
+        sides: tuple[dict, dict] = {}, {}
+        roots: dict[int, int] = {}
         for batch in batches(iter(group.combine_chunks().to_batches()), BATCH):
-            found, _, begin = shingle_sets(*string_buffers(batch.column("text")), n)
-            names = set_names(found, begin).view(np.int64)
-            for k, (node, block) in enumerate(zip(batch.column("node").to_pylist(), batch.column("block").to_pylist())):
-                if names[k] == node:  # another row with the same doc_id has another text
-                    (left if block == bi else right)[node] = found[begin[k] : begin[k + 1]].copy()
+            found, _, begin = shingle_sets(*string_buffers(batch.column("text")), key, n)
+            for k, (node, right, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "right", "root")))):
+                sides[right][node] = found[begin[k] : begin[k + 1]].copy()
+                roots[node] = root
+        left, right = sides
         ids = [*left, *right]
-        links = search(list(left.values()), list(right.values()) if bi != bj else None, percent)
+        two = group.column("two")[0].as_py()
+        links = search(list(left.values()), list(right.values()) if two else None, percent, [roots[i] for i in ids])
         return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
     return run
@@ -277,18 +292,22 @@ def components(links: DataFrame) -> DataFrame:
     """node and root of all nodes of links (a, b): the least node that links reach.
 
     Each round hangs a node's larger neighbours, then its smaller ones, on the least of them; the number of rounds
-    grows with the logarithm of the longest chain.
+    grows with the logarithm of the longest chain. A node's own row in a round is its least neighbour, so rows of a node
+    with very many neighbours are joined to it by skew_join.
     """
     pairs = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        total = max(2 * pairs.count(), 1)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+        large = skew_join(both, least, "a", "_n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = keep(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = skew_join(large, least, "a", "_n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, pairs = pairs, keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        drop(large)
+        drop(last)
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -296,61 +315,136 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def jaccard_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The sets, doc_id, n, node, and links a, b between nodes, which connect all that is linked.
+def _blocks(size, words):
+    """How many blocks a group of so many sets with so many shingles is dealt into."""
+    return F.ceil(F.greatest(F.col(size) / GROUP, F.col(words) / GROUP_WORDS)).cast("int")
+
+
+def _of(blocks, seed: int = 3):
+    return F.pmod(F.xxhash64("node", F.lit(seed)), blocks).cast("int")
+
+
+def _large_groups(members: DataFrame, links: DataFrame, texts: DataFrame, find, total: int) -> DataFrame:
+    """The links of groups that were dealt into blocks, with those of their blocks.
 
-    Sets with equal members are one node, a 64-bit hash of them.
+    members: hub, node, n, block; texts: node, text; find: links of rows (hub, x, y, two, right, node, root, text).
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = min(max(slim.rdd.getNumPartitions(), 16), 8192)
-    rows = keep(slim.mapInArrow(_nodes(n), "doc_id long, n long, node long, hot array<long>, seen array<long>"), "jaccard-nodes")
-    nodes = rows.where("n IS NOT NULL").select("doc_id", "n", "node")
-    each = rows.where("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "seen")).alias("x")).select("x.hot", "x.seen")
+
+    def now(links: DataFrame) -> DataFrame:
+        """members with the root of each node's component."""
+        roots = components(links)
+        return keep(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")
+
+    found = now(links)
+    while True:  # sets that stand for components, a block of a group at a time, until nothing joins
+        order = Window.partitionBy("hub", "root").orderBy(F.xxhash64("node"), "node")
+        few = found.groupBy("hub", "root", F.pmod(F.xxhash64("node"), F.lit(64)).alias("p")).agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("s"))
+        speakers = few.select("hub", "root", "s.node", "s.n").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPEAKERS).drop("k")
+        sizes = speakers.groupBy("hub").agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("roots > 1")
+        met = skew_join(speakers, sizes, "hub", "size", total).withColumn("x", F.pmod(F.xxhash64("root"), _blocks("size", "words")).cast("int"))
+        met = met.select("hub", "x", F.lit(0).alias("y"), F.lit(False).alias("two"), F.lit(False).alias("right"), "node", "root")
+        more = keep(find(met.join(texts, "node")), "jaccard-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = now(links)
+
+    counts = found.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"))
+    per_hub = counts.groupBy("hub").agg(F.max(F.struct("c", F.col("root").alias("giant"))).alias("g"), F.sum("c").alias("size")).where("g.c < size")
+    words = found.groupBy("hub").agg(F.max("block").alias("top"), F.sum("n").alias("words"))
+    per_hub = keep(per_hub.join(words, "hub").select("hub", "size", "g.giant", (F.col("top") + 1).alias("blocks"), _blocks("size", "words").alias("most"), (F.col("size") - F.col("g.c")).alias("strays")), "jaccard-hubs")
+    if per_hub.isEmpty():
+        return links
+    own = skew_join(found, per_hub, "hub", "size", total).withColumn("chunks", F.ceil(F.col("most") * F.col("strays") / F.col("size")).cast("int"))
+    left = own.select("hub", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"), F.lit(True).alias("two"), F.lit(False).alias("right"), "node", "root")
+    strays = own.where("root <> giant").withColumn("y", _of(F.col("chunks"), 5))
+    right = strays.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(True).alias("two"), F.lit(True).alias("right"), "node", "root")
+    return links.unionByName(keep(find(left.unionByName(right).join(texts, "node")), "jaccard-links"))
+
+
+def jaccard_links(rows: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The sets of rows (uid, doc_id, text), as uid, doc_id, n, node, and links a, b between nodes, which connect all that is linked.
+
+    rows is a table whose uid is never repeated. Sets with equal members are one node, a 64-bit hash of them.
+    """
+    key = secrets.token_bytes(16)
+    parts = max(rows.rdd.getNumPartitions(), 16)
+    made = keep(rows.mapInArrow(_nodes(n, key), "uid long, doc_id long, n long, node long, hot array<long>, seen array<long>"), "jaccard-nodes")
+    nodes = made.where("n IS NOT NULL").select("uid", "doc_id", "n", "node")
+    each = made.where("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "seen")).alias("x")).select("x.hot", "x.seen")
     often = each.groupBy("hot").agg(F.sum("seen").alias("s")).orderBy(F.desc("s"), "hot").limit(FREQUENT).collect()  # FREQUENT rows at most
     hot = np.array([r["hot"] for r in reversed(often)], np.int64).view(np.uint64)
 
-    early = slim.mapInArrow(_prefixes(n, percent, parts, hot), "part int, tokens binary, nodes binary").repartitionById(parts, F.col("part"))
-    shared = keep(early.mapInArrow(_shared, "token long, node long"), "jaccard-shared")
-    first = keep(nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-first")
+    early = rows.mapInArrow(_prefixes(n, percent, parts, hot, key), "part int, often boolean, tokens binary, nodes binary").repartitionById(parts, F.col("part"))
+    pairs = keep(early.mapInArrow(_shared, "token long, node long"), "jaccard-shared")
+    first = keep(nodes.where("n > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n")), "jaccard-first")
     least = 1 + F.floor(F.floor(F.col("n") * percent / 100) / SHARE)
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(first, "node").where(F.col("s") >= least).select("node", least.alias("least"))
-    shared = keep(shared.join(able, "node"), "jaccard-shared")
+    able = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(first, "node").where(F.col("s") >= least).select("node", "n")
+    shared = keep(pairs.join(able, "node"), "jaccard-shared")
+    drop(pairs)
     tokens = shared.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     total = max(shared.count(), 1)
-    each = skew_join(shared, tokens, "token", "rows", total).groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
+    each = skew_join(shared, tokens, "token", "rows", total).groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     # two similar sets share at least `least` shingles; if each leaves groups in which it has under half of that, one is left
     weak = F.sum("c").over(Window.partitionBy("node").orderBy("c", "hub").rowsBetween(Window.unboundedPreceding, 0))
-    meet = keep(each.withColumn("weak", weak).where(F.col("weak") * 2 > F.col("least") - 1).select("hub", "node"), "jaccard-meetings")
-    sizes = meet.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    meet = skew_join(meet, sizes, "hub", "size", total)
-    meet = meet.groupBy("node").agg(F.collect_list(F.struct("hub", "size")).alias("hubs"))
-    texts = slim.join(first.join(meet, "node").select("doc_id", "node", "hubs"), "doc_id")
-    cut = texts.select("node", "text", F.explode("hubs").alias("h")).withColumn("blocks", F.ceil(F.col("h.size") / GROUP))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    pairs = cut.select(F.col("h.hub").alias("hub"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "text")
-    links = pairs.groupBy("hub", "bi", "bj").applyInArrow(_join(n, percent), "a long, b long")
-    return nodes, keep(links, "jaccard-links")
+    meet = keep(each.withColumn("weak", weak).where(F.col("weak") * 2 > least - 1).select("hub", "node", "n"), "jaccard-meetings")
+    sizes = meet.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
+    meet = skew_join(meet, sizes.withColumn("blocks", _blocks("size", "words")), "hub", "size", total)
+    meet = keep(meet.select("hub", "node", "n", "blocks", _of(F.col("blocks")).alias("block")), "jaccard-groups")
+    drop(shared)
+
+    def find(met: DataFrame) -> DataFrame:
+        return met.groupBy("hub", "x", "y").applyInArrow(_join(n, percent, key), "a long, b long")
+
+    hubs = meet.groupBy("node").agg(F.collect_list(F.struct("hub", "block")).alias("hubs"))
+    texts = rows.select("uid", "text").join(first.select("node", "uid").join(hubs, "node"), "uid").select("node", "text", F.explode("hubs").alias("h"))
+    links = keep(find(texts.select("h.hub", F.col("h.block").alias("x"), F.lit(0).alias("y"), F.lit(False).alias("two"), F.lit(False).alias("right"), "node", F.col("node").alias("root"), "text")), "jaccard-links")
+    large = meet.where("blocks > 1").drop("blocks")
+    if not large.isEmpty():
+        large = keep(large, "jaccard-large")
+        own = rows.select("uid", "text").join(first.select("node", "uid").join(large.select("node").distinct(), "node"), "uid").select("node", "text")
+        links = _large_groups(large, links, own, find, total)
+    return nodes, links
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """uid, doc_id, n, root of the rows with shingles."""
+    full, total = nodes.where("n > 0"), max(nodes.count(), 1)
+    each = full.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).join(components(links), "node", "left")
+    each = each.select("node", "rows", F.coalesce("root", "node").alias("root"))
+    return keep(skew_join(full, each, "node", "rows", total).drop("node", "rows"), "jaccard-roots")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
-    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Null and empty texts have no shingles and no links. Rows
-    that repeat an id are sets of their own, with the id in common. A null id takes no part in links and has a
-    null component. An empty table gives no rows; further columns are not read.
+    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Null and empty texts have no shingles and no links; their
+    component is their own id. Rows that repeat an id are sets of their own, with the id in common. Rows without an id
+    link as others do; the component is the smallest id that links reach, null if they reach none. An empty table gives no rows;
+    further columns are not read.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keep(slim.withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
+    nodes, links = jaccard_links(rows, n, percent)
+    rooted = _rooted(nodes, links)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    out = skew_join(rooted, least, "root", "members", max(rooted.count(), 1)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows that are linked to one that stays, directly or by others, with their columns.
+
+    Of each group of linked rows the one with the smallest doc_id stays, null last; of several that have it, any. Rows
+    whose texts are null or have no words are linked with nothing and all stay. Other columns may have any names.
     """
-    nodes, links = jaccard_links(docs, n, percent)
-    groups = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    rooted = groups.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = keep(rooted, "jaccard-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    total = nodes.count()
-    found = skew_join(rooted.select("node", "rows", "root"), least, "root", "members", max(total, 1)).select("node", "rows", "component_id")
-    full = nodes.where("n > 0 AND doc_id IS NOT NULL")
-    out = skew_join(full, found, "node", "rows", max(total, 1)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = nodes.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest)
+    rows, uid = numbered(docs)
+    slim = rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes, links = jaccard_links(slim, n, percent)
+    rooted = _rooted(nodes, links)
+    stay = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("s"))
+    kept = stay.select(F.col("s.uid").alias(uid)).unionByName(nodes.where("n = 0").select(F.col("uid").alias(uid)))
+    return rows.join(kept, uid, "left_semi").select(*docs.columns)
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

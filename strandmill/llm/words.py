@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import functools
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@functools.cache
-def byte_values() -> np.ndarray:
-    """A random 64-bit value for each byte."""
-    return np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    ones = np.full((2, n), _BASE, np.uint64)
-    ones[1] = _INVERSE
-    ones[:, 0] = 1
-    return tuple(np.cumprod(ones, axis=1, dtype=np.uint64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,12 +40,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end), np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the runs of bytes; equal runs have equal hashes wherever they stand."""
+def hashes(data: np.ndarray, starts: np.ndarray, key: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from where words() finds them; each different word is hashed once, with the key.
+
+    Whoever doesn't know the key can't write words that share a hash.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values()[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    codes, words = coded(data, starts)
+    found = np.fromiter((int.from_bytes(blake2b(w.encode(), digest_size=8, key=key).digest(), "little") for w in words), np.uint64, len(words))
+    return found[codes]
+
+
+def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The place of each word among the different ones, and these."""
+    edges = np.append(starts, len(data)).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data.tobytes())])
+    found = pc.ascii_rtrim(runs.cast(pa.string()), " \t\n\x0b\x0c\r").dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()

@@ -112,21 +112,37 @@ def test_exact_groups(spark, odd, documents, sf_dir, same):
     for r in rows:
         ids = groups[low(r.text)]
         top = max((i for i in ids if i is not None), default=None)
-        want.append((str(r.doc_id), str(top), len(ids), r.doc_id is not None and r.doc_id == top, hashlib.sha256(low(r.text).encode()).hexdigest()))
-    for size in (1 << 20, 100):
-        assert sorted((str(r[0]), str(r[1]), *r[2:]) for r in exact_dedup.exact_groups(odd, size).collect()) == sorted(want)
+        want.append((str(r.doc_id), str(top), len(ids), r.doc_id == top, hashlib.sha256(low(r.text).encode()).hexdigest()))
+    for size, bits in ((None, 63), (100, 63), (100, 2), (None, 1)):  # few bits: many texts share a key
+        assert sorted((str(r[0]), str(r[1]), *r[2:]) for r in exact_dedup.exact_groups(odd, size, bits).collect()) == sorted(want)
     same(exact_dedup.op3_exact_dedup(spark, sf_dir), exact_dedup.SQL)
-    kept = exact_dedup.deduplicate(odd)
-    assert kept.columns == odd.columns and kept.count() == len({x[4] for x in want if x[3]})
+    for bits in (63, 2):
+        kept = exact_dedup.deduplicate(odd, 100, bits)
+        assert kept.columns == odd.columns
+        assert sorted((str(r.doc_id), low(r.text)) for r in kept.collect()) == sorted((str(max((i for i in ids if i is not None), default=None)), t) for t, ids in groups.items())
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
 def test_directory_doubles():
-    cells = np.zeros(16, np.int64)
-    cells[5] = 90
-    depth, bucket = exact_dedup.directory(cells, 50, 4)
-    assert depth == 4 and bucket[5] != bucket[4] and bucket[0] == bucket[3] and (np.diff(bucket) >= 0).all()
-    assert exact_dedup.directory(cells, 100, 4)[0] == 0
+    directory = exact_dedup.Directory(1)
+    keys = np.arange(16, dtype=np.int64) << (exact_dedup.BITS - 4)
+    assert directory.find(keys).tolist() == [0] * 8 + [1] * 8
+    directory.split([2])
+    assert directory.depth == 2 and directory.names.tolist() == [4, 5, 3] and directory.find(keys).tolist() == [0] * 4 + [1] * 4 + [2] * 8
+    directory.split([3])
+    directory.split([7, 4])
+    assert directory.depth == 3 and directory.names.tolist() == [8, 9, 5, 6, 14, 15] and directory.find(keys).tolist() == [0, 0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 5, 5]
+
+
+def test_overfull_buckets_split(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS uid")
+    index, directory = exact_dedup.build_index(docs, 77)
+    rows = index.collect()
+    assert (directory.names[directory.find(np.array([r.key for r in rows]))] == [r.bucket for r in rows]).all()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.bucket, []).append(r.n_bytes)
+    assert max(sum(v) - max(v) for v in sizes.values()) <= 77 and len({int(n).bit_length() for n in directory.names}) > 1
 
 
 def shingles(text, n=5):
@@ -178,6 +194,43 @@ def test_jaccard_on_odd_rows(spark, odd, documents, texts):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    rnd = random.Random(4)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(120):  # two chains of near copies and strays, many of them in one group
+        words = list(base if k % 3 else base[:30] + [f"c{j}" for j in range(30)])
+        for j in range(k % 5):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in jaccard.jaccard_components(docs).collect()} == brute_components(rows)
+
+
+def test_near_copies_by_row(spark):
+    """Rows that share an id or have none are told apart; of a group of linked rows one stays."""
+    rows = [(1, "one two three"), (1, "four five six seven"), (0, "one two three"), (None, "alone"), (None, "ONE two  three"), (5, None), (5, " "), (None, ""), (6, "u v w x y z"), (6, "u v w x y z")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, _uid int")
+    kept = jaccard.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    want = [(1, "four five six seven"), (0, "one two three"), (None, "alone"), (5, None), (5, " "), (None, ""), (6, "u v w x y z")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in want)
+    assert jaccard.drop_near_copies(empty(spark)).count() == 0
+    got = jaccard.jaccard_components(docs).collect()
+    assert [r.component_id for r in got if r.doc_id is None and r.n_shingles == 1] in ([None, 0], [0, None])
+
+
+def test_words_made_to_collide_are_told_apart():
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2**64, whatever its base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    pair = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    data = np.frombuffer(" ".join(pair).encode(), np.uint8)
+    starts, _, _ = jaccard.W.words(data, np.array([0, len(data)]))
+    one, two = jaccard.W.hashes(data, starts, b"k" * 16)
+    assert one != two and jaccard.W.hashes(data, starts, b"j" * 16)[0] != one
+
+
 def test_signature_tree_search():
     rows = near_copies(3, 200)
     sets = [np.unique(np.array([zlib.crc32(repr(s).encode()) * 2654435761 % (1 << 61) for s in shingles(t)], np.uint64)) for _, t in rows]
@@ -221,9 +274,39 @@ def test_mixing(spark, documents, odd):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Rows alike in id, source and size are numbered apart; the mix is the same however they are partitioned."""
+    docs = spark.range(3000).selectExpr("CAST(IF(id % 3 = 0, NULL, id % 2) AS LONG) AS doc_id", "repeat('w ', CAST(1 + id % 5 AS INT)) AS text", "concat('s', id % 7 % 3) AS source")
+    runs = [sorted((str(r.doc_id), r.source, r.size, r.taken) for r in mixing.mix(docs.repartition(k)).collect()) for k in (2, 7)]
+    assert runs[0] == runs[1]
+    taken, rows = {}, mixing.mix(docs).collect()
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[r.source] - r.target) <= 3 for r in rows)
+
+
+def test_a_long_document_is_made_up_for(spark):
+    """One document of 5,000 words among small ones: its rounding is settled by the others."""
+    rows = [(k, "w " * (5000 if k == 0 else 1 + k % 9), "abc"[k % 3]) for k in range(9000)]
+    rows_out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = {}
+    for r in rows_out:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[r.source] - r.target) <= 9 for r in rows_out)
+
+
+def test_mixed_documents_by_row(spark, odd):
+    rows = odd.drop("copies").withColumn("_uid", F.lit("clash"))
+    got = mixing.mixed_documents(rows)
+    copies = mixing.mix(rows).where("copies > 0").collect()
+    assert got.columns == rows.columns and got.count() == sum(r.copies for r in copies)
+    assert got.where("doc_id IS NULL").count() == sum(r.copies for r in copies if r.doc_id is None)
+    assert mixing.mixed_documents(empty(spark)).count() == 0
+
+
 def test_mixing_keeps_probabilities(spark):
-    units = spark.range(600).selectExpr("0 AS group", "600L AS n", "id AS uid", "id", "0.3D * (1 + id % 7) AS mass", "CAST(1 + id % 7 AS DOUBLE) AS size")
-    out = units.join(mixing.pivotal_copies(units, 13), "uid")
+    units = spark.range(600).selectExpr("0 AS group", "600L AS n", "id AS uid", "xxhash64(id) AS h", "0.3D * (1 + id % 7) AS mass", "CAST(1 + id % 7 AS DOUBLE) AS size")
+    out = units.join(mixing.pivotal_copies(units, 600, 600), "uid")
     r = out.agg(F.count("*"), F.sum(F.col("copy") * F.col("size")), F.sum("mass"), F.avg("copy")).first()
     assert r[0] == 600 and abs(r[1] - r[2]) < 1 and abs(r[3] - 0.3) < 0.08
 
