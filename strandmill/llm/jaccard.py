@@ -45,8 +45,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, key: bytes, n: int = N)
     A text with fewer words than n has one shingle of all of them; one without words has none.
     """
     data = W.lower(data)
-    starts, _, first = W.words(data, offsets)
-    h = W.hashes(data, starts, key)
+    starts, ends, first = W.words(data, offsets)
+    h = W.hashes(data, starts, ends, key)
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
     last = len(h) - n + 1

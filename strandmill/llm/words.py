@@ -12,6 +12,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+LONG = 64  # bytes
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,16 +41,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end), np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, key: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, from where words() finds them; each different word is hashed once, with the key.
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """A 64-bit hash of each of the runs of bytes, with a key of 16 bytes.
 
-    Whoever doesn't know the key can't write words that share a hash.
+    Eight bytes at a time are mixed in, so whoever doesn't know the key can't write words that share a hash; long
+    runs are hashed one by one.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    codes, words = coded(data, starts)
-    found = np.fromiter((int.from_bytes(blake2b(w.encode(), digest_size=8, key=key).digest(), "little") for w in words), np.uint64, len(words))
-    return found[codes]
+    size = ends - starts
+    first, last = np.frombuffer(key, np.uint64, 2)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    out = np.full(len(starts), first, np.uint64)
+    short = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = size[short] - k
+        short, left = short[left > 0], left[left > 0]
+        if not len(short):
+            break
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        out[short] = mixed(out[short] ^ (eights[starts[short] + k] & mask))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return mixed(out ^ (last + size.astype(np.uint64)))
 
 
 def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
