@@ -1,7 +1,7 @@
 """Media columns: ISO base media files (MP4 and its kin) in a binary column.
 
-A file is a tree of boxes. The sample tables of a track say how long each sample lasts (stts), how large it is
-(stsz), which chunk it is in (stsc), where the chunks begin (stco, co64) and which samples are keyframes (stss). From
+A file is a tree of boxes. The sample tables of each track say how long a sample lasts (stts), how large it is
+(stsz, stz2), which chunk it is in (stsc), where the chunks begin (stco, co64) and which samples are keyframes (stss). From
 these come codec, duration and the byte ranges of the keyframes, without decoding a payload.
 """
 
@@ -24,7 +24,11 @@ CHUNK_SAMPLES = 32
 KEY_EVERY = 16
 TIMESCALE = 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
-SCHEMA = "struct<codec:string,timescale:long,duration:double,n_samples:long,keyframes:array<struct<sample:int,offset:long,size:long>>>"
+_KEY = pa.struct([("sample", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
+_TRACK = [("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(_KEY))]
+TRACK = "struct<handler:string,codec:string,timescale:long,duration:double,n_samples:long,keyframes:array<struct<sample:long,offset:long,size:long>>>"
+#: The unity matrix of mvhd and tkhd.
+_MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
 def box(kind: bytes, *body: bytes) -> bytes:
@@ -39,10 +43,13 @@ def full(kind: bytes, *body: bytes, version: int = 0, flags: int = 0) -> bytes:
     return box(kind, struct.pack(">I", version << 24 | flags), *body)
 
 
-def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, first and last byte of the body of every box, in order, those within boxes too."""
-    end = len(data) if end is None else end
-    while begin + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """Path, first and last byte of the body of every box, in order, those within boxes too, however deep."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        begin, end, path = todo.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         head = 8
         if size == 1 and begin + 16 <= end:
@@ -51,10 +58,10 @@ def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - begin
         if size < head or begin + size > end:
             raise ValueError(f"box {kind!r} at byte {begin} has size {size}")
-        yield (*path, kind), begin + head, begin + size
+        yield (*path[-4:], kind), begin + head, begin + size
+        todo.append((begin + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, begin + head, begin + size, (*path, kind))
-        begin += size
+            todo.append((begin + head, begin + size, (*path[-4:], kind)))
 
 
 def store(payload: bytes, codec: bytes = b"raw ") -> bytes:
@@ -83,69 +90,119 @@ def store(payload: bytes, codec: bytes = b"raw ") -> bytes:
     version, form = (1, ">QQIQ") if lasts >= 1 << 32 else (0, ">IIII")
     mdhd = full(b"mdhd", struct.pack(form, 0, 0, TIMESCALE, lasts), struct.pack(">HH", 0x55C4, 0), version=version)
     hdlr = full(b"hdlr", bytes(4), b"soun", bytes(12), b"samples\0")
-    media = box(b"mdia", mdhd, hdlr, box(b"minf", full(b"smhd", bytes(4)), table))
-    return ftyp + box(b"mdat", payload) + box(b"moov", box(b"trak", media))
-
-
-def _numbers(data: bytes, at: int, form: str, n: int) -> np.ndarray:
-    return np.frombuffer(data, form, n, at)
-
-
-def read_track(data: bytes) -> dict:
-    """codec, timescale, duration in seconds, and for each sample its byte offset and size; sync: numbers of the keyframes."""
-    found: dict[bytes, tuple[int, int]] = {}
+    here = box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1)))
+    media = box(b"mdia", mdhd, hdlr, box(b"minf", full(b"smhd", bytes(4)), here, table))
+    mvhd = full(b"mvhd", struct.pack(form, 0, 0, TIMESCALE, lasts), struct.pack(">IH10x", 0x10000, 0x100), _MATRIX, bytes(24), struct.pack(">I", 2), version=version)
+    times = struct.pack(">QQIIQ" if version else ">IIIII", 0, 0, 1, 0, lasts)
+    tkhd = full(b"tkhd", times, bytes(8), struct.pack(">HHHH", 0, 0, 0x100, 0), _MATRIX, bytes(8), version=version, flags=7)
+    return ftyp + box(b"mdat", payload) + box(b"moov", mvhd, box(b"trak", tkhd, media))
+
+
+def _entries(data: bytes, at: tuple[int, int], width: int, form: str = ">u4", head: int = 4) -> np.ndarray:
+    """The entries of a table of a box, whose number stands before them; they must lie within the box."""
+    begin, end = at
+    n = struct.unpack_from(">I", data, begin + head)[0]
+    kind = np.dtype(form)
+    if begin + head + 4 + n * width * kind.itemsize > end:
+        raise ValueError("a table is longer than its box")
+    return np.frombuffer(data, kind, n * width, begin + head + 4).astype(np.int64).reshape(n, width)
+
+
+class Track:
+    """The tables of one track. Sizes that all samples share are not expanded."""
+
+    def __init__(self, data: bytes, found: dict[bytes, tuple[int, int]]):
+        at = found[b"hdlr"][0] if b"hdlr" in found else None
+        self.handler = data[at + 8 : at + 12].decode("latin-1") if at else ""
+        at = found[b"stsd"][0]
+        if at + 16 > found[b"stsd"][1]:
+            raise ValueError("a track has no sample entry")
+        self.codec = data[at + 12 : at + 16].decode("latin-1")
+        at = found[b"mdhd"][0]
+        self.timescale = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        self.runs = _entries(data, found[b"stts"], 2)
+        self.one, self.sizes = 0, None
+        if b"stsz" in found:
+            at = found[b"stsz"][0]
+            self.one, self.n = struct.unpack_from(">II", data, at + 4)
+            if not self.one:
+                self.sizes = _entries(data, found[b"stsz"], 1, head=8)[:, 0]
+            elif self.n * self.one > len(data):
+                raise ValueError("the samples are longer than the file")
+        else:
+            at, end = found[b"stz2"]
+            bits, self.n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+            if bits == 4:
+                if at + 12 + (self.n + 1) // 2 > end:
+                    raise ValueError("a table is longer than its box")
+                pairs = np.frombuffer(data, np.uint8, (self.n + 1) // 2, at + 12)
+                self.sizes = np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[: self.n].astype(np.int64)
+            else:
+                self.sizes = _entries(data, found[b"stz2"], 1, {8: ">u1", 16: ">u2"}[bits], 8)[:, 0]
+        self.before = None if self.sizes is None else np.concatenate(([0], np.cumsum(self.sizes)))
+        self.chunks = (_entries(data, found[b"stco"], 1) if b"stco" in found else _entries(data, found[b"co64"], 1, ">u8"))[:, 0]
+        spans = _entries(data, found[b"stsc"], 3)
+        self.last = np.cumsum(np.repeat(spans[:, 1], np.diff(np.append(spans[:, 0], len(self.chunks) + 1))))  # samples up to each chunk's end
+        self.sync = _entries(data, found[b"stss"], 1)[:, 0] if b"stss" in found else np.arange(1, self.n + 1)  # without the box, every sample is one
+        if len(self.sync) and not 1 <= self.sync.min() <= self.sync.max() <= self.n:
+            raise ValueError("a keyframe is no sample")
+
+    @property
+    def duration(self) -> float:
+        """In seconds."""
+        return float((self.runs[:, 0] * self.runs[:, 1]).sum() / max(self.timescale, 1))
+
+    def ranges(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte offsets and sizes of samples, counted from 0."""
+        chunk = np.searchsorted(self.last, samples, side="right")
+        first = np.concatenate(([0], self.last))[chunk]
+        if self.sizes is None:
+            return self.chunks[chunk] + (samples - first) * self.one, np.full(len(samples), self.one, np.int64)
+        return self.chunks[chunk] + self.before[samples] - self.before[first], self.sizes[samples]
+
+
+def read_tracks(data: bytes) -> list[Track]:
+    """The tracks of a file, in order. A file with fragments (moof) has tables elsewhere and is not read: ValueError."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, begin, end in walk(data):
-        found.setdefault(path[-1], (begin, end))  # the first track
-    at = found[b"stsd"][0]
-    codec = data[at + 12 : at + 16].decode("latin-1")
-    at = found[b"mdhd"][0]
-    timescale = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
-    at = found[b"stts"][0]
-    runs = _numbers(data, at + 8, ">u4", 2 * struct.unpack_from(">I", data, at + 4)[0]).astype(np.int64).reshape(-1, 2)
-    at = found[b"stsz"][0]
-    one, n = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(n, one, np.int64) if one else _numbers(data, at + 12, ">u4", n).astype(np.int64)
-    at, form = (found[b"stco"][0], ">u4") if b"stco" in found else (found[b"co64"][0], ">u8")
-    chunks = _numbers(data, at + 8, form, struct.unpack_from(">I", data, at + 4)[0]).astype(np.int64)
-    at = found[b"stsc"][0]
-    spans = _numbers(data, at + 8, ">u4", 3 * struct.unpack_from(">I", data, at + 4)[0]).astype(np.int64).reshape(-1, 3)
-    of_chunk = np.repeat(spans[:, 1], np.diff(np.append(spans[:, 0], len(chunks) + 1)))
-    first = np.concatenate(([0], np.cumsum(of_chunk)))[:-1]
-    chunk = np.repeat(np.arange(len(chunks)), of_chunk)[:n]
-    before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    offsets = chunks[chunk] + before - before[first[chunk]]
-    if b"stss" in found:
-        at = found[b"stss"][0]
-        sync = _numbers(data, at + 8, ">u4", struct.unpack_from(">I", data, at + 4)[0]).astype(np.int64)
-    else:
-        sync = np.arange(1, n + 1)  # without the box, every sample is one
-    return {"codec": codec, "timescale": timescale, "duration": float((runs[:, 0] * runs[:, 1]).sum() / max(timescale, 1)), "offsets": offsets, "sizes": sizes, "sync": sync}
+        if path[-1] == b"moof":
+            raise ValueError("the file has fragments")
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif tracks and b"trak" in path:
+            tracks[-1].setdefault(path[-1], (begin, end))
+    return [Track(data, found) for found in tracks]
 
 
 def media_columns(rows: DataFrame, column: str = "media") -> DataFrame:
-    """rows with codec, timescale, duration, n_samples and keyframes (sample, offset, size) of the files in a binary column.
+    """rows with handler, codec, timescale, duration, n_samples and keyframes (sample, offset, size) of the files in a binary
+    column, those of the main track, and tracks with those of each.
 
-    Null, empty and broken files give nulls. Columns of rows by these names are replaced.
+    Null, empty and broken files give nulls, as do files without tracks and those with fragments, whatever is in them. Columns of
+    rows by these names are replaced.
     """
 
-    key = pa.struct([("sample", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
-    kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(key))])
-
-    def one(data: bytes | None) -> dict | None:
+    def one(data: bytes | None) -> list[dict] | None:
         try:
-            t = read_track(data)
-            keys = [{"sample": int(s), "offset": int(t["offsets"][s - 1]), "size": int(t["sizes"][s - 1])} for s in t["sync"]]
-        except (KeyError, ValueError, IndexError, TypeError, struct.error):
+            out = []
+            for t in read_tracks(data):
+                offsets, sizes = t.ranges(t.sync - 1)
+                keys = [{"sample": s, "offset": o, "size": z} for s, o, z in zip(t.sync.tolist(), offsets.tolist(), sizes.tolist())]
+                out.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": t.n, "keyframes": keys})
+            return out or None
+        except (KeyError, ValueError, IndexError, TypeError, OverflowError, struct.error):
             return None
-        return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": keys}
 
-    @F.arrow_udf(SCHEMA)
-    def track(data: pa.Array) -> pa.Array:
-        return pa.array(map(one, data.to_pylist()), kind)
+    @F.arrow_udf(f"array<{TRACK}>")
+    def read(data: pa.Array) -> pa.Array:
+        return pa.array(map(one, data.to_pylist()), pa.list_(pa.struct(_TRACK)))
 
-    names = ["codec", "timescale", "duration", "n_samples", "keyframes"]
-    kept = rows.drop(*names).withColumn("_track", track(F.col(column)))
-    return kept.select(*(c for c in kept.columns if c != "_track"), *(F.col(f"_track.{n}").alias(n) for n in names))
+    names = [n for n, _ in _TRACK]
+    kept = rows.drop(*(n for n in [*names, "tracks"] if n.lower() != column.lower())).withColumn("tracks", read(F.col(column)))
+    handlers = F.transform("tracks", lambda t: t["handler"])
+    place = F.coalesce(*(F.nullif(F.array_position(handlers, h), F.lit(0)) for h in ("vide", "soun")), F.lit(1)).cast("int")
+    main = F.try_element_at("tracks", place)
+    return kept.select(*(c for c in kept.columns if c != "tracks"), *(main[n].alias(n) for n in names), "tracks")
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -168,12 +225,11 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 payload, n = payload_of(text)
                 media = store(payload)
-                t = read_track(media)
-                back = b"".join(media[o : o + s] for o, s in _runs(t["offsets"], t["sizes"]))
-                keys = t["sync"] - 1
-                ranges = zlib.crc32(np.stack([t["offsets"][keys], t["sizes"][keys]]).astype(">i8").tobytes())
+                t = read_tracks(media)[0]
+                back = b"".join(media[o : o + s] for o, s in _runs(*t.ranges(np.arange(t.n))))
+                ranges = zlib.crc32(np.stack(t.ranges(t.sync - 1)).astype(">i8").tobytes())
                 levels = np.frombuffer(back, np.uint8)
-                feature = f"{t['codec'].strip()};{t['duration']:.3f}s;{len(t['sizes'])} samples;{len(keys)} keyframes;ranges {ranges:08x};mean {levels.mean():.4f};peak {levels.max()}"
+                feature = f"{t.codec.strip()};{t.duration:.3f}s;{t.n} samples;{len(t.sync)} keyframes;ranges {ranges:08x};mean {levels.mean():.4f};peak {levels.max()}"
                 out.append((i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(media), hashlib.sha256(media).hexdigest(), feature, media)[: 8 + with_media])
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
