@@ -14,20 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm import words as W
 from strandmill.llm.shared import batches, in_docs, string_buffers, uniform
 
-SAMPLE_DOCS = 3000
-SAMPLE_WORDS = 6000
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 20  # labelled documents of a language to learn from; none is longer than that
 ROUNDS = 4
-LONGEST = 8
 PRIOR = 0.01
 BATCH = 16 << 20
 FOREIGN = 1e-7  # the probability of a character that no piece covers
+RESCALE = 8  # letters after which the sums are scaled, so that those of long words don't vanish
 
 
 def default_path() -> str:
@@ -37,7 +35,7 @@ def default_path() -> str:
 
 
 class Pieces:
-    """The vocabulary's pieces of letters, lower-cased, at most LONGEST letters long; every letter is a piece too."""
+    """The vocabulary's pieces of letters, lower-cased; every letter is a piece too."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -45,7 +43,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)}
         found |= {c for p in found for c in p}
-        self.names = sorted(p for p in found if p.isalpha() and len(p) <= LONGEST)
+        self.names = sorted(p for p in found if p.isalpha())
         self.longest = max(map(len, self.names))
         keys = self.keys([p for p in self.names])
         self.order = np.argsort(keys)
@@ -62,17 +60,16 @@ class Pieces:
             out[k] = h
         return out
 
-    def windows(self, points: np.ndarray) -> list[list[np.ndarray]]:
-        """For words of one length, rows of points: at [i][s - 1], the piece that the s letters from i on are, or -1."""
-        n, out = points.shape[1], []
+    def windows(self, points: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For words of one length, rows of points, at each letter: the pieces that the letter, it and the next, ... are, or -1."""
+        n = points.shape[1]
         for i in range(n):
             h, row = np.zeros(len(points), np.uint64), []
             for s in range(1, min(self.longest, n - i) + 1):
                 h = h * np.uint64(0x100000001B3) + points[:, i + s - 1].astype(np.uint64) + np.uint64(1)
                 at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-                row.append(np.where(self.sorted[at] == h, self.order[at], -1))
-            out.append(row)
-        return out
+                row.append(np.where(self.sorted[at] == h, self.order[at], -1).astype(np.int32))
+            yield row
 
 
 @functools.cache
@@ -81,7 +78,7 @@ def pieces(path: str) -> Pieces:
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and code points of the words of each length; a word of over 64 letters is cut into runs of 64 by its caller."""
+    """Places and code points of the words of each length."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(length):
         if n:
@@ -90,92 +87,113 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, np.frombuffer(raw, np.uint32).reshape(len(at), n)
 
 
-def forward(windows: list[list[np.ndarray]], prob: np.ndarray) -> np.ndarray:
-    """Of words of one length: [position, word, language], the summed probability of all cuts of the letters before it.
+def _step(piece: np.ndarray, size: int, prob: np.ndarray) -> np.ndarray:
+    """The probabilities of a piece of so many letters in each language. prob has a last row of zeros for -1."""
+    return np.where((piece < 0)[:, None], FOREIGN, prob[piece]) if size == 1 else prob[piece]
 
-    prob has a row for each piece and a last one of zeros, for runs of letters that are none.
-    """
-    n, m = len(windows), len(windows[0][0])
-    alpha = np.zeros((n + 1, m, prob.shape[1]))
-    alpha[0] = 1
-    for i in range(n):
-        for s, piece in enumerate(windows[i], 1):
-            p = prob[piece]
-            if s == 1:
-                p = np.where((piece < 0)[:, None], FOREIGN, p)
-            alpha[i + s] += alpha[i] * p
-    return alpha
 
+def forward(points: np.ndarray, prob: np.ndarray, own: Pieces) -> np.ndarray:
+    """Of words of one length: [word, language], the log of the summed probability of all cuts into pieces.
 
-def backward(windows: list[list[np.ndarray]], prob: np.ndarray) -> np.ndarray:
-    n, m = len(windows), len(windows[0][0])
-    beta = np.zeros((n + 1, m, prob.shape[1]))
-    beta[n] = 1
+    Only the sums that pieces still reach are held, so a word may be of any length.
+    """
+    m, n = points.shape
+    ring = np.zeros((own.longest + 1, m, prob.shape[1]))  # sums of the letters before i at i modulo its length
+    ring[0], scale = 1, np.zeros((m, prob.shape[1]))
+    for i, row in enumerate(own.windows(points)):
+        here = ring[i % len(ring)].copy()
+        ring[i % len(ring)] = 0
+        for s, piece in enumerate(row, 1):
+            ring[(i + s) % len(ring)] += here * _step(piece, s, prob)
+        if i % RESCALE == RESCALE - 1:
+            most = ring.max(axis=0)
+            ring /= most
+            scale += np.log(most)
+    return np.log(ring[n % len(ring)]) + scale
+
+
+def _sums(windows: list[list[np.ndarray]], prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward sums [position, word, language] of words of one length, and the logs of what each is scaled by."""
+    n, m, k = len(windows), len(windows[0][0]), prob.shape[1]
+    alpha, beta = np.zeros((n + 1, m, k)), np.zeros((n + 1, m, k))
+    up, down = np.zeros((n + 1, m, k)), np.zeros((n + 1, m, k))
+    alpha[0], beta[n] = 1, 1
+    longest = max(map(len, windows))
+    for i, row in enumerate(windows):
+        for s, piece in enumerate(row, 1):
+            alpha[i + s] += alpha[i] * _step(piece, s, prob)
+        if i % RESCALE == RESCALE - 1 and i < n - 1:
+            ahead = slice(i + 1, min(i + longest, n) + 1)
+            most = alpha[ahead].max(axis=0)
+            alpha[ahead] /= most
+            up[i + 1 :] += np.log(most)
     for i in range(n - 1, -1, -1):
         for s, piece in enumerate(windows[i], 1):
-            p = prob[piece]
-            if s == 1:
-                p = np.where((piece < 0)[:, None], FOREIGN, p)
-            beta[i] += p * beta[i + s]
-    return beta
+            # sums from further on may have been scaled less than those here
+            beta[i] += _step(piece, s, prob) * beta[i + s] * np.exp(down[i + s] - down[i])
+        if (n - i) % RESCALE == 0 and i:
+            most = beta[i].copy()
+            beta[i] = 1
+            down[: i + 1] += np.log(most)
+    return alpha, up, beta, down
 
 
 def learn(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities [piece + 1, language] from words and how often each language has them [word, language]."""
     own = pieces(path)
-    groups = [(at, own.windows(points)) for at, points in by_length(words)]
+    groups = [(at[a : a + 5000], points[a : a + 5000]) for at, points in by_length(words) for a in range(0, len(at), 5000)]
     prob = np.full((len(own.names) + 1, counts.shape[1]), 1 / len(own.names))
     prob[-1] = 0
     for _ in range(rounds):
         expected = np.full_like(prob, PRIOR)
-        for at, windows in groups:
-            alpha, beta = forward(windows, prob), backward(windows, prob)
-            weight = counts[at] / np.maximum(alpha[-1], 1e-300)
+        for at, points in groups:
+            windows = list(own.windows(points))
+            alpha, up, beta, down = _sums(windows, prob)
+            whole = np.log(alpha[-1]) + up[-1]
             for i, row in enumerate(windows):
                 for s, piece in enumerate(row, 1):
                     known = piece >= 0
-                    np.add.at(expected, piece[known], (alpha[i] * prob[piece] * beta[i + s] * weight)[known])
+                    share = alpha[i] * prob[piece] * beta[i + s] * np.exp(up[i] + down[i + s] - whole) * counts[at]
+                    if known.any():
+                        np.add.at(expected, piece[known], share[known])
         expected[-1] = 0
         prob = expected / expected.sum(axis=0)
     return prob
 
 
 def word_scores(words: list[str], prob: np.ndarray, path: str) -> np.ndarray:
-    """Log probability of each word in each language, [word, language]; words that aren't letters have 0."""
+    """Log probability of each word in each language, [word, language]; an empty word has 0."""
     own, out = pieces(path), np.zeros((len(words), prob.shape[1]))
-    cut = [w[k : k + 64] for w in words for k in range(0, max(len(w), 1), 64)]
-    owner = np.repeat(np.arange(len(words)), [max(1, -(-len(w) // 64)) for w in words])
-    for at, points in by_length(cut):
+    for at, points in by_length(words):
         for a in range(0, len(at), 20_000):
-            some = at[a : a + 20_000]
-            alpha = forward(own.windows(points[a : a + 20_000]), prob)[-1]
-            np.add.at(out, owner[some], np.log(np.maximum(alpha, 1e-300)))
+            out[at[a : a + 20_000]] = forward(points[a : a + 20_000], prob, own)
     return out
 
 
-_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS, _WORDS = re.compile(r"[\W\d_]+"), re.compile(r"[^\W\d_]+")
 
 
 def letters_of(word: str) -> str:
     return _LETTERS.sub("", word.lower())
 
 
-def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities from about sample_docs documents with text and lang that aren't held out.
+def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+    """Languages and piece probabilities from about sample_docs documents of each language that have a text and aren't held out.
 
-    The sample is by a hash of doc_id; of its words, the sample_words most frequent of each language are learned from.
+    The sample is by a hash of doc_id and text, among those of at most SAMPLE_BYTES; all its words are learned from.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    share = sample_docs / max(rows.count(), 1)
-    rows = rows.where(uniform("doc_id", seed=4) < share).select("lang", "text")
-    each = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    each = each.where(F.length("word") <= 64).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = each.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "word")))), 1, sample_words).alias("top"))
-    found = {r["lang"]: {x["word"]: x["n"] for x in r["top"]} for r in top.collect()}
-    langs = sorted(found)
-    words = sorted(set().union(*found.values()))
-    counts = np.array([[found[x].get(w, 0) for x in langs] for w in words], float).reshape(len(words), len(langs))
-    return langs, learn(words, counts, path) if langs else np.zeros((len(pieces(path).names) + 1, 0))
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    langs = sorted(sizes)
+    if not langs:
+        return [], np.zeros((len(pieces(path).names) + 1, 0))
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in sizes.items() for x in (pair[0], sample_docs / pair[1]))), F.col("lang"))
+    rows = known.where(uniform("doc_id", "text", seed=4) < share).select("lang", "text")
+    each = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where("word <> ''")
+    found = each.groupBy("word").agg(*(F.count_if(F.col("lang") == x).alias(f"n{k}") for k, x in enumerate(langs))).toArrow().sort_by("word")
+    words = found.column("word").to_pylist()
+    counts = np.stack([found.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1).astype(float).reshape(len(words), len(langs))
+    return langs, learn(words, counts, path)
 
 
 def held_out(doc_id):
@@ -184,18 +202,20 @@ def held_out(doc_id):
 
 def score_texts(data: np.ndarray, offsets: np.ndarray, prob: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Summed log probabilities [text, language], and the letters of each text."""
-    starts, ends, first = W.words(data, offsets)
+    starts, _, first = W.words(data, offsets)
     if not len(starts):
         return np.zeros((len(offsets) - 1, prob.shape[1])), np.zeros(len(offsets) - 1, np.int64)
-    edges = np.append(starts, len(data)).astype(np.int32)
-    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data.tobytes())])
-    coded = pc.ascii_rtrim(coded.cast(pa.string()), " \t\n\x0b\x0c\r").dictionary_encode()
-    words = [letters_of(w) for w in coded.dictionary.to_pylist()]
-    score = word_scores(words, prob, path)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    codes = coded.indices.to_numpy()
-    total = np.stack([in_docs(score[codes, k], first) for k in range(score.shape[1])], axis=1) if score.shape[1] else np.zeros((len(first) - 1, 0))
-    return total, in_docs(length[codes], first)
+    codes, runs = W.coded(data, starts)
+    found = [_WORDS.findall(r.lower()) for r in runs]  # a run between blanks may hold several words
+    owner = np.repeat(np.arange(len(runs)), list(map(len, found)))
+    coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    places = coded.indices.to_numpy()
+    score = word_scores(words, prob, path)[places]
+    length = np.fromiter(map(len, words), np.int64, len(words))[places]
+    sums = [np.bincount(owner, score[:, k], len(runs)) for k in range(score.shape[1])]
+    total = np.stack([in_docs(x[codes], first) for x in sums], axis=1) if sums else np.zeros((len(first) - 1, 0))
+    return total, in_docs(np.bincount(owner, length, len(runs)).astype(np.int64)[codes], first)
 
 
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
