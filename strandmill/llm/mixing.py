@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.shared import drop, keep, numbered, ranked, skew_join, uniform
+from strandmill.llm.shared import drop, keep, numbered, ranked, skew_join, told_apart, uniform
 
 FAN_IN = 48
 POOL = 256
-REPEATS = 256  # rows in a bucket when those that repeat a source, an id and a size are told apart
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 17
 
@@ -128,21 +127,6 @@ def pivotal_copies(units: DataFrame, largest: int, total: int) -> DataFrame:
     return spread.where(~in_pool).select("uid", "copy").unionByName(settled)
 
 
-def _apart(units: DataFrame, total: int) -> DataFrame:
-    """units (source, id, size, uid) with h, which tells them apart and is the same set of numbers however they are partitioned.
-
-    Units that have source, id and size in common, such as those without an id, are alike for the mix; they are numbered
-    within buckets, so that none is too large for a task.
-    """
-    keyed = units.withColumn("k", F.xxhash64("source", "id", "size"))
-    again = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
-    met = skew_join(keyed, again, "k", "_same", total, "left")
-    met = keep(met.withColumn("_place", F.pmod(F.xxhash64("uid"), F.ceil(F.col("_same") / REPEATS))), "mixing-units")
-    alike = ranked(met.where("_same IS NOT NULL"), ["k"], "_place", ["uid"])
-    one = met.where("_same IS NULL").withColumn("rank", F.lit(0).cast("long"))
-    return one.unionByName(alike.select(*one.columns)).withColumn("h", F.xxhash64("k", "rank")).drop("k", "_same", "_place", "rank")
-
-
 def mix_sized(sized: DataFrame, cap: float = 3.0) -> DataFrame:
     """uid, source_size, target and copies of each row of sized (uid, id, source, size), a table in the shared folder."""
     sources = keep(source_targets(sized, cap), "mixing-targets")
@@ -153,7 +137,7 @@ def mix_sized(sized: DataFrame, cap: float = 3.0) -> DataFrame:
     rows = rows.withColumns({"whole": F.floor("rate").cast("int"), "part": F.col("rate") - F.floor("rate")})
     units = rows.where("size > 0 AND part > 0").select(F.col("rank").alias("group"), F.col("units").alias("n"), "uid", "source", "id", (F.col("part") * F.col("size")).alias("mass"), F.col("size").cast("double").alias("size"))
     largest = sources.agg(F.max("units")).first()[0] or 0
-    copies = pivotal_copies(keep(_apart(units, max(total, 1)), "mixing-apart"), largest, max(total, 1))
+    copies = pivotal_copies(told_apart(units, ["source", "id", "size"], total), largest, max(total, 1))
     more = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("copy", F.lit(0))).otherwise(0)
     return rows.join(copies, "uid", "left").select("uid", "source_size", "target", more.alias("copies"), "id", "source", "size")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A group that holds more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE such groups.
 HOT_SHARE = 512
+REPEATS = 256  # rows in a bucket when those that are alike are numbered
 
 
 @functools.cache
@@ -98,6 +99,22 @@ def ranked(rows: DataFrame, by: list[str], bucket: str, order: list[str], wide:
     return rows.withColumn("_within", within).join(first, [*by, bucket]).withColumn("rank", F.col("_first") + F.col("_within")).drop("_within", "_first")
 
 
+def told_apart(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """rows (uid and others, total in number), in the shared folder, with h, a number that tells them apart.
+
+    However rows are partitioned, h is the same set of numbers for the same values of columns. Rows that have all of these in
+    common, such as those without an id, are numbered within buckets of some hundreds, so that none is too large for a task.
+    """
+    keyed = rows.withColumn("_k", F.xxhash64(*columns))
+    again = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
+    met = skew_join(keyed, again, "_k", "_same", max(total, 1), "left")
+    met = keep(met.withColumn("_place", F.pmod(F.xxhash64("uid"), F.ceil(F.col("_same") / REPEATS))), "apart")
+    alike = ranked(met.where("_same IS NOT NULL"), ["_k"], "_place", ["uid"])
+    one = met.where("_same IS NULL").withColumn("rank", F.lit(0).cast("long"))
+    both = one.unionByName(alike.select(*one.columns)).withColumn("h", F.xxhash64("_k", "rank"))
+    return keep(both.drop("_k", "_same", "_place", "rank"), "apart")
+
+
 def uniform(*columns: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the columns and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
