@@ -10,6 +10,7 @@ as the vocabulary file has pieces, some 50,000, so each task holds it.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ from strandmill.llm.shared import batches, string_buffers
 
 BLOCK_BYTES, LIST_BLOCK_BYTES = 24 << 20, 8 << 20  # smaller where ids themselves are returned
 KNOWN_WORDS = 500_000
-BLOCKS = "block long, part int, place int, doc_ids array<long>, firsts binary, lengths binary, data binary"
+BLOCKS = "block long, part int, place int, doc_ids array<long>, firsts binary, lengths binary, data binary"  # place: in the row of texts, the number of words
 CODEC = "zstd"
 
 
@@ -53,7 +54,7 @@ def _blocks(path: str, parts: int, size: int):
         from pyspark import TaskContext
 
         special = vocabulary.load(path).special
-        block = TaskContext.get().partitionId() << 32
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches(rows, size):
             data, offsets = string_buffers(batch.column("text"))
             bounds, first = pretokens(data, offsets, special)
@@ -63,7 +64,12 @@ def _blocks(path: str, parts: int, size: int):
             order = np.argsort(part, kind="stable")  # words of a part get neighbouring places
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words), dtype=np.int32)
-            out = [(block, -1, 0, batch.column("doc_id").to_pylist(), pack(first.astype(np.int32)), b"", pack(place[codes] if len(codes) else codes))]
+            # The name holds the contents too: should a task run again over rows in another order, its blocks have other names
+            seen = hashlib.blake2b(repr((task, number, batch.column("doc_id").to_pylist())).encode(), digest_size=8)
+            seen.update(offsets.tobytes())
+            seen.update(np.ascontiguousarray(data))
+            block = int.from_bytes(seen.digest(), "little", signed=True)
+            out = [(block, -1, len(words), batch.column("doc_id").to_pylist(), pack(first.astype(np.int32)), b"", pack(place[codes] if len(codes) else codes))]
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 some = [words[k] for k in order[edges[p] : edges[p + 1]]]
@@ -71,7 +77,7 @@ def _blocks(path: str, parts: int, size: int):
                     lengths = np.fromiter(map(len, some), np.int32, len(some))
                     out.append((block, p, int(edges[p]), None, b"", pack(lengths), pack(np.frombuffer(b"".join(some), np.uint8))))
             yield _row(NAMES, **dict(zip(NAMES, zip(*out))))
-            block += 1
+            number += 1
 
     return run
 
@@ -109,11 +115,13 @@ def _assemble(finish: Callable[[list, np.ndarray, np.ndarray], pa.RecordBatch],
     """Ids of the texts of a block, for runs of about step words: finish(doc ids, ids, where each text's begin)."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        row = next(r for r in block.to_pylist() if r["part"] == -1)
-        first, codes = unpack(row["firsts"], np.int32), unpack(row["data"], np.int32)
+        row = next((r for r in block.to_pylist() if r["part"] == -1), None)
         parts = sorted(zip(*(words.column(c).to_pylist() for c in ("place", "lengths", "data"))))
         sizes = np.concatenate([np.zeros(0, np.int32), *(unpack(p[1], np.int32) for p in parts)])
         ids = np.concatenate([np.zeros(0, np.int32), *(unpack(p[2], np.int32) for p in parts)])
+        if row is None or len(sizes) != row["place"]:
+            raise RuntimeError("a block and its words come from different runs of a task: write the documents to a table first")
+        first, codes = unpack(row["firsts"], np.int32), unpack(row["data"], np.int32)
         begin = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         out, a = [], 0
         while a < len(first) - 1:
@@ -133,7 +141,8 @@ def encode_with(docs: DataFrame, finish: Callable, schema: str, path: str | None
     """Encodes docs (doc_id, text); finish makes rows of schema from runs of whole texts."""
     path = path or vocabulary.default_path()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = min(max(slim.rdd.getNumPartitions(), 16), 2048)
+    tasks = slim.rdd.getNumPartitions()
+    parts = min(max(tasks, 16), max(2048, 8 * math.isqrt(tasks)))  # a block has a row for each, so they grow slower than blocks
     # one exchange serves both branches: each takes its own rows of it
     blocks = slim.mapInArrow(_blocks(path, parts, block_bytes), BLOCKS).repartition(F.col("block"))
     words = blocks.mapInArrow(_words_only, "block long, part int, place int, lengths binary, data binary").repartitionById(parts, F.col("part"))

@@ -44,11 +44,11 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points, at
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray, special: str = "") -> tuple[np.ndarray, np.ndarray]:
+def pretokens(data: np.ndarray, offsets: np.ndarray, special: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the pre-tokens (one more than there are), and the first pre-token of each text (one more).
 
-    data, offsets: the bytes of all texts and where each begins and ends. Each occurrence of special is a token
-    of its own, and the text before it ends there.
+    data, offsets: the bytes of all texts and where each begins and ends. Each occurrence of a string of special, the
+    first of them that fits, is a token of its own, and the text before it ends there.
     """
     points, at = code_points(data)
     n = len(points)
@@ -59,7 +59,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, special: str = "") -> tuple
     first[n] = True
     inside = []
     if special:
-        for m in re.finditer(re.escape(special.encode()), data.tobytes()):
+        for m in re.finditer(b"|".join(re.escape(t.encode()) for t in special), data.tobytes()):
             i, j = np.searchsorted(at, [m.start(), m.end()])
             if not first[i + 1 : j].any():
                 first[i] = first[j] = True

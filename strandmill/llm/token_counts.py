@@ -155,8 +155,9 @@ def _run_counts(data, offsets, bounds, first, codes, flat, begin, counter) -> tu
         head = raw[bounds[k] : bounds[k + 1]].decode()[0]
         if run.isspace() and head.isspace():
             counts[place[k]] = before[k - 1] + counter.count((run + head).encode())
-    if counter.vocab.special and counter.vocab.special.encode() in raw:
-        mark = counter.vocab.special.encode()
+    for mark in (t.encode() for t in counter.vocab.special):
+        if mark not in raw:
+            continue
         for k in np.flatnonzero(np.diff(bounds) == len(mark)):
             if raw[bounds[k] : bounds[k + 1]] == mark and not starts[k]:  # its first characters join what stands before
                 b = k - 1

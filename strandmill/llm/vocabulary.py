@@ -42,7 +42,7 @@ class Vocabulary:
         self.ids = {bytes(map(back.__getitem__, piece)): i for piece, i in file["model"]["vocab"].items()}
         pieces = {i: piece for piece, i in self.ids.items()} | {i: text.encode() for text, i in self.specials.items()}
         self.pieces = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
-        self.special = next(iter(self.specials), "")
+        self.special = tuple(sorted(self.specials, key=lambda t: (-len(t), t)))  # of two that begin alike, the longer one counts
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens."""
