@@ -15,8 +15,8 @@ def _c(c: C) -> Column:
 
 
 def reverse_complement(s: C) -> Column:
-    """Case stays, N stays N."""
-    return F.translate(F.reverse(_c(s)), "ACGTacgtnN", "TGCAtgcanN")
+    """Letters keep their case, but that N becomes n and n becomes N."""
+    return F.translate(F.reverse(_c(s)), "ACGTacgtnN", "TGCAtgcaNn")
 
 
 def rotations(motif: str) -> list[str]:
@@ -95,6 +95,30 @@ def hash_scalar(key: C) -> Column:
     return F.crc32(_c(key).cast("binary")) / F.lit(4294967295.0)
 
 
+def merged_fragments(s: C, k: int = 6) -> Column:
+    """The text in pieces of k letters from its start, equal neighbours as one: an array of (start, length, fragment)."""
+    s = F.coalesce(_c(s), F.lit(""))
+    last = F.ceil(F.length(s) / k).cast("int") - 1
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda i: F.substr(s, i * k + 1, F.lit(k)))
+
+    def runs(p: Column) -> Column:
+        begin = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x != F.get(p, i - 1)), i)), lambda i: i.isNotNull())
+        size = F.length(F.array_join(p, ""))
+        return F.transform(F.array(begin), lambda b: F.transform(b, lambda i, n: F.struct(
+            (i * k).cast("int").alias("start"), (F.least(F.coalesce(F.get(b, n + 1) * k, size), size) - i * k).cast("int").alias("length"), F.get(p, i).alias("fragment"))))[0]
+
+    return F.transform(F.array(pieces), runs)[0]  # bound once, not made again for each piece
+
+
+def phase_disruption(s: C) -> Column:
+    """(start, length) of the runs of letters that aren't covered by all six rotations of the strand's hexamer, nor by the hexamer.
+
+    Six windows in a row that are rotations hold the hexamer itself, so these are the runs that the hexamer doesn't cover.
+    """
+    return variant_spans(s, longest=None)
+
+
 def int_list(text: C, trim_ends: int = 0) -> Column:
     """Integers of a comma-separated list, without trim_ends at either end. Brackets and spaces are ignored, as are items
     that are no numbers; null, '', nan and none give an empty list."""

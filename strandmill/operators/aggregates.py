@@ -14,6 +14,86 @@ def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "n", *(F.col("_p")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(points)))
 
 
+def box_whiskers(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
+    """keys, low and high: the least and greatest value within reach interquartile ranges of the box."""
+    box = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    inside = df.join(box, keys).where(F.col(value).between(q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)))
+    return inside.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each value of keys; tasks keep one row of each before anything is shuffled."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    return first.select(*keys, "_f.*").select(*df.columns)
+
+
+def with_first(df: DataFrame, keys: list[str], order: list[Column], attributes: list[str]) -> DataFrame:
+    """df with the attributes of the first row of its keys in place of its own."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*attributes), F.struct(*order)).alias("_f"))
+    met = df.join(first, keys)
+    return met.withColumns({a: F.col(f"_f.{a}") for a in attributes}).drop("_f")
+
+
+def spans_up_to(df: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """keys, total and up_to_<width>: the bases of spans (start, stop), in all and before each width."""
+    upto = lambda w: F.sum(F.greatest(F.lit(0), F.least(F.col("stop"), F.lit(w)) - F.col("start")))
+    return df.groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias("total"), *(upto(w).alias(f"up_to_{w}") for w in widths))
+
+
+def median_ratio(df: DataFrame, key: str, own: Column, value: str) -> DataFrame:
+    """key and ratio: the median of the rows for which own holds over that of the others; keys that lack either, or have 0 there, go."""
+    h = df.groupBy(key).agg(F.median(F.when(own, F.col(value))).alias("_a"), F.median(F.when(~own, F.col(value))).alias("_b"))
+    return h.where("_a IS NOT NULL AND _b > 0").select(key, (F.col("_a") / F.col("_b")).alias("ratio"))
+
+
+def site_list(df: DataFrame, names: str, codes: str, start: str = "start") -> DataFrame:
+    """name, sites: each molecule's sites (start, bound), in the order of start, from sites whose names and footprint codes are
+    comma-separated lists in parallel."""
+    from strandmill.functions.sequence import bound_flags
+
+    pairs = df.select(F.col(start).alias("start"), F.explode(F.arrays_zip(F.split(names, ",").alias("name"), bound_flags(codes).alias("bound"))).alias("m"))
+    return pairs.groupBy(F.col("m.name").alias("name")).agg(F.array_sort(F.collect_list(F.struct("start", F.col("m.bound").alias("bound")))).alias("sites"))
+
+
+def bound_gaps(sites: DataFrame) -> DataFrame:
+    """name, gap: the distances between neighbouring bound sites of a site_list; molecules with fewer than two have none."""
+    at = F.transform(F.filter("sites", lambda s: s["bound"]), lambda s: s["start"])
+    rest = F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0)))
+    gaps = F.zip_with(F.slice(at, 1, F.size(rest)), rest, lambda a, b: b - a)
+    return sites.select("name", F.explode(gaps).alias("gap"))
+
+
+def distinct_ratio(part: DataFrame, whole: DataFrame, key: str, name: str) -> DataFrame:
+    """key, part_names, whole_names and ratio of the numbers of different names; 0 where a side has none, null where whole has."""
+    count = lambda df, n: df.groupBy(key).agg(F.count_distinct(name).alias(n))
+    both = outer_fill(count(whole, "whole_names"), count(part, "part_names"), [key])
+    return both.withColumn("ratio", F.try_divide(F.col("part_names"), F.col("whole_names")))
+
+
+def duplication_distances(df: DataFrame) -> DataFrame:
+    """One row, in kb: means of the size of the first copy, of the distances from its end and its start to the second's start, of its start's and its
+    midpoint's distance from the boundary, and of the midpoint between both copies. Rows with a missing place count where they can."""
+    a, b, c = F.col("code_start_1"), F.col("code_end_1"), F.col("code_start_2")
+    each = {"size": b - a, "end_to_start": c - b, "start_to_start": c - a, "start": a, "midpoint": (a + b) / 2, "between": (b + c) / 2}
+    return df.agg(*(F.avg(F.nanvl(v, F.lit(None).cast("double")) / 1000.0).alias(n) for n, v in each.items()))
+
+
+def share_decrease(df: DataFrame, same: Column, value: str, cut: float) -> DataFrame:
+    """One row: how many rows there are of which same holds and of which it doesn't, their percentages above cut, and by how many percent the
+    second is lower."""
+    own = lambda c: 100.0 * F.avg(F.when(c, (F.col(value) > cut).cast("int")))
+    out = df.agg(F.count_if(same).alias("same"), F.count_if(~same).alias("other"), own(same).alias("same_pct"), own(~same).alias("other_pct"))
+    return out.withColumn("decrease", 100.0 * (1 - F.try_divide(F.col("other_pct"), F.col("same_pct"))))
+
+
+def ordered_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """name and place of the different names of df that order lists, by its order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(name)).cast("int")
+    return df.select(name).distinct().withColumn("place", place).where("place > 0").orderBy("place")
+
+
 def mean_sd(value: Column) -> list[Column]:
     """mean, null without values, and population sd, null unless there are two."""
     n = F.count(value)
@@ -91,11 +171,20 @@ def outer_fill(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "full_outer").na.fill(0)
 
 
-def top_and_other(df: DataFrame, group: str, item: str, count: str, k: int, other: str = "OTHER") -> DataFrame:
-    """Counts of the k items with most in all, ties by name, and of the others together, in each group."""
-    top = df.groupBy(item).agg(F.sum(count).alias("_n")).orderBy(F.desc("_n"), item).limit(k).select(item, F.lit(True).alias("_top"))
-    named = df.join(top, item, "left").withColumn(item, F.when(F.col("_top"), F.col(item)).otherwise(other))
-    return named.groupBy(group, item).agg(F.sum(count).alias(count))
+def top_and_other(df: DataFrame, group: str, item: str, count: str, k: int, other: str = "OTHER", normalise: bool = False) -> DataFrame:
+    """Counts of the k items with most in all, ties by name, and of the others together, in each group; normalised, as shares of the group.
+
+    The table is counted once by group and item; what else is asked for comes from these counts.
+    """
+    counts = df.groupBy(item, group).agg(F.sum(count).alias(count))
+    whole = counts.groupBy(item).agg(F.sum(count).alias("_n"), F.collect_list(F.struct(group, count)).alias("_groups"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_n"), item))
+    part = whole.withColumn("_p", F.pmod(F.xxhash64(item), F.lit(64))).withColumn("_k", place)
+    # k of each part are enough to find the k of all
+    among = F.row_number().over(Window.partitionBy(F.col("_k") <= k, F.when(F.col("_k") <= k, F.lit(0)).otherwise(F.col("_p"))).orderBy(F.desc("_n"), item))
+    named = part.withColumn(item, F.when((F.col("_k") <= k) & (among <= k), F.col(item)).otherwise(other))
+    each = named.select(item, F.explode("_groups").alias("_g")).groupBy(F.col(f"_g.{group}").alias(group), item).agg(F.sum(f"_g.{count}").alias(count))
+    return each.withColumn(count, F.col(count) / F.sum(count).over(Window.partitionBy(group))) if normalise else each
 
 
 def composition_trace(spans: DataFrame, reads: DataFrame, keys: list[str], min_cov: int = 5, min_len: int = 1000) -> DataFrame:
@@ -104,19 +193,15 @@ def composition_trace(spans: DataFrame, reads: DataFrame, keys: list[str], min_c
     reads: keys, length; spans: keys, start, stop. Positions need more than min_cov reads, and keys more than min_len such
     positions.
     """
-    depth = _steps(reads.select(*keys, F.lit(0).alias("start"), F.col("length").alias("stop")), keys, "den")
-    cover = _steps(spans.select(*keys, "start", "stop"), keys, "num")
-    full = depth.join(cover, [*keys, "pos"], "left").where(F.col("den") > min_cov).withColumn("ratio", F.coalesce("num", F.lit(0)) / F.col("den"))
-    long = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_len).select(*keys)
-    return full.join(long, keys, "left_semi").groupBy("pos").agg(F.avg("ratio").alias("value"), F.count(F.lit(1)).alias("n"))
-
-
-def _steps(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The number of intervals over each position."""
     from strandmill.operators.intervals import coverage_runs
 
-    runs = coverage_runs(df.where("stop > start"), keys).where("depth > 0")
-    return runs.select(*keys, F.explode(F.sequence(F.col("start").cast("long"), F.col("stop").cast("long") - 1)).alias("pos"), F.col("depth").alias(name))
+    kinds = {"den": reads.select(*keys, F.lit("den").alias("_kind"), F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("stop")), "num": spans.select(*keys, F.lit("num").alias("_kind"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))}
+    runs = coverage_runs(kinds["den"].unionByName(kinds["num"]).where("stop > start"), [*keys, "_kind"]).where("depth > 0")
+    steps = runs.select(*keys, "_kind", "depth", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+    pick = lambda kind: F.sum(F.when(F.col("_kind") == kind, F.col("depth")).otherwise(0)).alias(kind)
+    full = steps.groupBy(*keys, "pos").agg(*map(pick, kinds)).where(F.col("den") > min_cov)
+    full = full.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") > min_len)
+    return full.groupBy("pos").agg(F.avg(F.col("num") / F.col("den")).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def rolling_ratio(df: DataFrame, keys: list[str], pos: str, num: str, den: str, window: int) -> DataFrame:
@@ -135,3 +220,9 @@ def best_kmer_coverage(spans: DataFrame, key: str, text: str, k: int) -> DataFra
     each = own.groupBy(key, "_n", "_kmer").agg(F.sum("_new").alias("_c"))
     best = each.groupBy(key).agg(F.max(100.0 * F.col("_c") / F.col("_n")).alias("_best"))
     return spans.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit(0.0)).alias("coverage"))
+
+
+def boxcar(df: DataFrame, keys: list[str], pos: str, value: str, width: int) -> DataFrame:
+    """keys, pos, value: the moving average over width places, with zeros past the ends."""
+    around = Window.partitionBy(*keys).orderBy(pos).rowsBetween(-(width // 2), (width - 1) // 2)
+    return df.select(*keys, pos, (F.sum(value).over(around) / F.lit(float(width))).alias(value))

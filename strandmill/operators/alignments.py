@@ -47,15 +47,15 @@ def tag_summary(df: DataFrame, regions: DataFrame, tags: dict[str, str]) -> Data
 def filter_by_quality(df: DataFrame, regions: DataFrame, least: float, mapq: int = 0, flags: int = NOT_PRIMARY, every: bool = False) -> DataFrame:
     """Alignments whose mean base quality in some touched region (every: in all) is at least least, with these means.
 
-    df: rname, pos, cigar, flag, mapq, quality (array of numbers). Regions are merged, and a contig's come as one array;
-    alignments that touch none are left out.
+    df: rname, pos, cigar, flag, mapq, quality (array of numbers). Regions are merged; alignments that touch none are left out.
+    Alignments and regions meet in bins of the contig, without the sequences; a hash of the row brings an alignment its own regions.
     """
     merged = intervals.merge_intervals(regions.select("contig", "start", "stop"), ["contig"])
-    held = merged.groupBy(F.col("contig").alias("rname")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_iv"))
-    rows = df.where(~has_flags("flag", flags) & (F.col("mapq") >= mapq)).join(held, "rname")
-    end = F.col("pos") + reference_length()
-    touched = F.filter("_iv", lambda x: (x["start"] < end) & (x["stop"] > F.col("pos")))
-    rows = rows.withColumn("_iv", touched).where(F.size("_iv") > 0).withColumn("means", kernels.mean_quality("cigar", "quality", "pos", "_iv")).drop("_iv")
+    rows = df.where(~has_flags("flag", flags) & (F.col("mapq") >= mapq))
+    rows = rows.withColumns({"_end": F.col("pos") + reference_length(), "_h1": F.xxhash64(*df.columns), "_h2": F.xxhash64(F.lit(1), *df.columns)})
+    slim = rows.select(F.col("rname").alias("contig"), F.col("pos").alias("start"), F.col("_end").alias("stop"), "_h1", "_h2").distinct()
+    met = intervals.overlap_join(slim, merged).groupBy("_h1", "_h2").agg(F.sort_array(F.collect_set(F.struct(F.col("r_start").alias("start"), F.col("r_stop").alias("stop")))).alias("_iv"))
+    rows = rows.join(met, ["_h1", "_h2"]).withColumn("means", kernels.mean_quality("cigar", "quality", "pos", "_iv")).drop("_iv", "_end", "_h1", "_h2")
     good = F.forall("means", lambda m: m >= least) if every else F.exists("means", lambda m: m >= least)
     return rows.where((F.size("means") > 0) & good)
 

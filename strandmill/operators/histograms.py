@@ -43,3 +43,12 @@ def curve_quantile(curves: DataFrame, keys: list[str], q: float = 0.5) -> DataFr
     x = F.when(F.col("cdf0").isNull() | (F.col("cdf") == F.col("cdf0")), F.col("edge")).otherwise(F.col("edge0") + (F.lit(q) - F.col("cdf0")) / (F.col("cdf") - F.col("cdf0")) * (F.col("edge") - F.col("edge0")))
     found = step.groupBy(*keys).agg(F.min_by(F.when(F.col("cdf") >= q, x), F.when(F.col("cdf") >= q, F.col("edge"))).alias("_at"), F.max("edge").alias("_last"))
     return found.select(*keys, F.coalesce("_at", "_last").alias("x"))
+
+
+def mean_density(df: DataFrame, keys: list[str], sample: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """keys, bin, density: each sample's density histogram over the range, and the mean of these; a sample without a value in a bin has 0 there."""
+    each = histogram(df.where(F.col(value).isNotNull()), [*keys, sample], value, low, high, bins)
+    samples = each.select(*keys, sample).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sums = each.groupBy(*keys, "bin").agg(F.sum("density").alias("_d"))
+    full = samples.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")))).join(sums, [*keys, "bin"], "left")
+    return full.select(*keys, "bin", (F.coalesce("_d", F.lit(0.0)) / F.col("_n")).alias("density"))

@@ -15,9 +15,6 @@ from pyspark.sql import types as T
 from strandmill.functions.sequence import MINUS, PLUS, rotations
 
 CANONICAL = (MINUS, PLUS)
-_SPAN = [T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]
-SPANS = T.ArrayType(T.StructType(_SPAN))
-FRAGMENTS = T.ArrayType(T.StructType([*_SPAN, T.StructField("fragment", T.StringType())]))
 
 
 def runs(mask: np.ndarray) -> list[dict]:
@@ -42,11 +39,6 @@ def disrupted_spans(text: str | None) -> list[dict]:
     return runs(depth < 6)
 
 
-@F.pandas_udf(SPANS)
-def phase_disruption(text: pd.Series) -> pd.Series:
-    return text.map(disrupted_spans)
-
-
 def kmer_codes(text: str, k: int = 6) -> np.ndarray:
     """Two bits a base; windows with another letter are left out."""
     code = np.full(256, -1, np.int64)
@@ -90,7 +82,8 @@ def similarity_udf(caps: list[int], k: int = 6):
 
     @F.pandas_udf(T.MapType(T.IntegerType(), T.DoubleType()))
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([local_scores(kmer_codes(a or "", k), kmer_codes(b or "", k), caps, k) for a, b in zip(x, y)])
+        codes = {t: kmer_codes(t or "", k) for t in {*x, *y}}
+        return pd.Series([local_scores(codes[a], codes[b], caps, k) for a, b in zip(x, y)])
 
     return similarity
 
@@ -194,7 +187,7 @@ def mean_autocorrelation(df: DataFrame, by: list[str], calls: str, size: str, fi
 
 
 def smooth(y: np.ndarray, width: int) -> np.ndarray:
-    """Moving average with the ends mirrored."""
+    """Moving average with the ends mirrored; aggregates.boxcar is the one with zeros past the ends."""
     left = width // 2
     padded = np.pad(y, (left, width - left - 1), mode="symmetric")
     return np.convolve(padded, np.ones(width) / width, mode="valid")
@@ -232,24 +225,50 @@ def trough_peak_steps(curve: np.ndarray, n: int = 4, distance: int = 80, promine
     return steps[:n]
 
 
+def trough_peak_udf(**options):
+    """A pandas UDF of curves (arrays of numbers): trough_peak_steps of each."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def steps(curve: pd.Series) -> pd.Series:
+        return curve.map(lambda c: trough_peak_steps(np.asarray(c, float), **options))
+
+    return steps
+
+
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Merges (left, right, distance, size) of clusters by mean distance; new clusters are numbered on from the rows."""
+    """Merges (left, right, distance, size) of clusters by mean distance, the nearest first; new clusters are numbered on from the rows.
+
+    By the nearest-neighbour chain: from any cluster on to its nearest one, until two are each other's; those merge, and the
+    chain goes on from what is left of it. Each step looks at one row, so all take time of the order of the matrix.
+    """
     n = len(distance)
     d = np.array(distance, float)
     np.fill_diagonal(d, np.inf)
-    name, size, merges = list(range(n)), np.ones(n), []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        left, right = sorted((name[i], name[j]))
-        merges.append((left, right, float(d[i, j]), int(size[i] + size[j])))
+    size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        here = chain[-1]
+        near = int(np.argmin(d[here]))
+        if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:
+            near = chain[-2]  # in a tie the chain turns back, so it ends
+        if len(chain) < 2 or near != chain[-2]:
+            chain.append(near)
+            continue
+        del chain[-2:]
+        i, j = min(here, near), max(here, near)
+        found.append((i, j, float(d[i, j])))
         mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         alive[j] = False
         d[i, alive], d[alive, i] = mean[alive], mean[alive]
         d[i, i] = np.inf
         d[j, :], d[:, j] = np.inf, np.inf
         size[i] += size[j]
+    name, count, merges = list(range(n)), [1] * n, []
+    for step, (i, j, dist) in enumerate(sorted(found, key=lambda m: m[2])):  # stable: a merge comes after those it is made of
+        left, right = sorted((name[i], name[j]))
+        count[i] += count[j]
+        merges.append((left, right, dist, count[i]))
         name[i] = n + step
     return merges
 
@@ -316,8 +335,3 @@ def fragments(text: str, k: int = 6) -> list[dict]:
         else:
             out.append({"start": i, "length": len(piece), "fragment": piece})
     return out
-
-
-@F.pandas_udf(FRAGMENTS)
-def merged_fragments(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: fragments(t or ""))

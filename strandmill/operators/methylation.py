@@ -38,8 +38,34 @@ def sequence_count(text: Column, base: Column) -> Column:
 
 
 def call_vector(calls: str, size: Column) -> Column:
-    """0 and 1 for each position of the sequence."""
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.array_contains(calls, k).cast("int"))
+    """0 and 1 for each position of the sequence, put together from the gaps between the calls."""
+    at = F.array_sort(F.array_distinct(F.filter(calls, lambda p: (p >= 0) & (p < size))))
+    before = F.concat(F.array(F.lit(-1)), at)
+    pieces = F.flatten(F.zip_with(F.slice(before, 1, F.size(at)), at, lambda a, b: F.concat(F.array_repeat(F.lit(0), b - a - 1), F.array(F.lit(1)))))
+    return F.concat(pieces, F.array_repeat(F.lit(0), (size - 1 - F.element_at(before, -1)).cast("int")))
+
+
+def gated_vectors(df: DataFrame, calls: str, telomere: str, subtelomere: str, spans: str, least: int = 5) -> DataFrame:
+    """df with telomere_calls and subtelomere_calls, 0 and 1 for each position, and load, the bases in spans of at least that length.
+
+    calls are positions from the boundary on: from 0 to the length telomere in the telomere, and from -subtelomere up to 0 before it,
+    which are shifted by that length. Which molecules are gated in is identity.molecule_gates.
+    """
+    rows = df.withColumn("_before", F.transform(F.filter(calls, lambda p: p < 0), lambda p: p + F.col(subtelomere)))
+    rows = rows.withColumns({"telomere_calls": call_vector(calls, F.col(telomere)), "subtelomere_calls": call_vector("_before", F.col(subtelomere)), "load": sequence.span_load(spans, least)})
+    return rows.drop("_before")
+
+
+def of_label(df: DataFrame, chrom: str, name: str, arm: str | None = None, assignment: str = "assignment") -> DataFrame:
+    """Molecules whose contig SAMPLE#HAP#... is of the sample and haplotype name ('SAMPLE#HAP'), on that arm if one is given."""
+    own = F.concat_ws("#", F.slice(F.split(F.col(chrom), "#"), 1, 2)) == name
+    return df.where(own & F.col(assignment).endswith(arm) if arm else own)
+
+
+def _bases(seq: str, base: Column) -> Column:
+    """The positions of a base in a sequence."""
+    places = F.transform(F.split(F.col(seq), ""), lambda b, k: F.when(b == base, k))
+    return F.array_compact(places)
 
 
 def target_base(seq: str, calls: str) -> Column:
@@ -50,19 +76,38 @@ def target_base(seq: str, calls: str) -> Column:
 
 def positional_rate(df: DataFrame, keys: list[str], seq: str, calls: str, base: str | None = "A") -> DataFrame:
     """keys, pos, calls, targets over all molecules: each position's calls on the base, and its bases. Without a base, each
-    molecule's own target base counts, and molecules without calls don't."""
-    rows = df.withColumn("_target", F.lit(base) if base else target_base(seq, calls))
-    letters = rows.select(*keys, calls, "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == F.col("_target"))
-    return letters.groupBy(*keys, "pos").agg(F.count_if(F.array_contains(calls, F.col("pos"))).alias("calls"), F.count(F.lit(1)).alias("targets"))
+    molecule's own target base counts, and molecules without calls don't.
+
+    A molecule gives a row for each base and for each call of it; no call is looked up for a base.
+    """
+    rows = df.withColumn("_target", F.lit(base) if base else target_base(seq, calls)).where("_target IS NOT NULL")
+    hits = F.filter(F.array_distinct(calls), lambda p: (p >= 0) & (F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
+    row = lambda n: lambda p: F.struct(p.cast("int").alias("pos"), F.lit(n).alias("hit"))
+    each = rows.select(*keys, F.explode(F.concat(F.transform(_bases(seq, F.col("_target")), row(0)), F.transform(hits, row(1)))).alias("e"))
+    return each.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.hit").alias("calls"), F.count_if(F.col("e.hit") == 0).alias("targets"))
 
 
 def binned_rate(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, width: int = 50, base: str | None = "A") -> DataFrame:
     """keys, bin, rate: each sample's mean over its molecules of calls by bases in bins, and of these the median. Without a base,
     each molecule's own target base counts, and molecules without calls don't."""
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_target", F.lit(base) if base else target_base(seq, calls))
-    each = rows.select(*keys, sample, "_id", calls, "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b")).where(F.col("_b") == F.col("_target"))
-    molecule = each.groupBy(*keys, sample, "_id", F.floor(F.col("pos") / width).alias("bin")).agg((F.count_if(F.array_contains(calls, F.col("pos"))) / F.count(F.lit(1))).alias("_r"))
-    return molecule.groupBy(*keys, sample, "bin").agg(F.avg("_r").alias("_m")).groupBy(*keys, "bin").agg(F.median("_m").alias("rate"))
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_target", F.lit(base) if base else target_base(seq, calls)).where("_target IS NOT NULL")
+    hits = F.filter(F.array_distinct(calls), lambda p: (p >= 0) & (F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
+    row = lambda bin_, own, hit: F.struct(bin_.cast("long").alias("bin"), own.cast("int").alias("own"), hit.cast("int").alias("hit"))
+    of_bins = F.transform(_bin_list(seq, width), lambda b: row(b, _own(seq, b, width), F.lit(0)))
+    each = rows.select(*keys, sample, "_id", F.explode(F.concat(of_bins, F.transform(hits, lambda p: row(F.floor(p / width), F.lit(0), F.lit(1))))).alias("e"))
+    molecule = each.groupBy(*keys, sample, "_id", F.col("e.bin").alias("bin")).agg(F.try_divide(F.sum("e.hit"), F.sum("e.own")).alias("_r"))
+    return molecule.groupBy(*keys, sample, "bin").agg(F.avg("_r").alias("_m")).where("_m IS NOT NULL").groupBy(*keys, "bin").agg(F.median("_m").alias("rate"))
+
+
+def _bin_list(seq: str, width: int) -> Column:
+    """The bins of a sequence, the last one in part; none of an empty one."""
+    last = F.floor((F.length(seq) - 1) / width).cast("int")
+    return F.when(F.length(seq) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _own(seq: str, bin_: Column, width: int) -> Column:
+    """How often the target base occurs in a bin."""
+    return sequence_count(F.substr(F.col(seq), (bin_ * width + 1).cast("int"), F.lit(width)), F.col("_target"))
 
 
 def binned_variant_rates(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, spans: str, width: int = 50) -> DataFrame:
@@ -74,13 +119,20 @@ def binned_variant_rates(df: DataFrame, keys: list[str], sample: str, seq: str,
     rows = df.withColumn("_id", F.monotonically_increasing_id())
     rows = rows.withColumn("_calls", F.filter(calls, lambda p: (p > 0) & (p < F.length(seq)))).withColumn("_target", target_base(seq, "_calls")).where("_target IS NOT NULL")
     held = F.filter(F.slice(F.col(spans), 2, F.greatest(F.size(spans) - 2, F.lit(0))), lambda x: F.contains(F.substr(F.col(seq), x["start"] + 1, x["length"]), F.col("_target")))
-    each = rows.withColumn("_used", held).select(*keys, sample, "_id", "_calls", "_used", "_target", F.posexplode(F.split(seq, "")).alias("pos", "_b"))
-    each = each.withColumns({"_called": F.array_contains("_calls", F.col("pos")), "_own": F.col("_b") == F.col("_target")}).where("_called OR _own")
-    each = each.withColumn("_in", F.exists("_used", lambda x: (F.col("pos") >= x["start"]) & (F.col("pos") < x["start"] + x["length"])))
-    sides = {"inside_rate": F.col("_in"), "outside_rate": ~F.col("_in")}
-    molecule = each.groupBy(*keys, sample, "_id", F.floor(F.col("pos") / width).alias("bin")).agg(*(F.try_divide(F.count_if(on & F.col("_called")), F.count_if(on & F.col("_own"))).alias(n) for n, on in sides.items()))
-    means = molecule.groupBy(*keys, sample, "bin").agg(*(F.avg(n).alias(n) for n in sides))
-    return means.groupBy(*keys, "bin").agg(*(F.median(n).alias(n) for n in sides))
+    rows = rows.withColumn("_used", held)
+    within = F.flatten(F.transform("_used", lambda x: F.filter(F.sequence(x["start"], x["start"] + x["length"] - 1), lambda p: F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target"))))
+    inside = lambda p: F.exists("_used", lambda x: (p >= x["start"]) & (p < x["start"] + x["length"]))
+    zero, one = F.lit(0), F.lit(1)
+    row = lambda bin_, *n: F.struct(bin_.cast("long").alias("bin"), *(c.cast("int").alias(name) for c, name in zip(n, ("own", "own_in", "hit", "hit_in"))))
+    of_bins = F.transform(_bin_list(seq, width), lambda b: row(b, _own(seq, b, width), zero, zero, zero))
+    of_spans = F.transform(F.array_distinct(within), lambda p: row(F.floor(p / width), zero, one, zero, zero))
+    of_calls = F.transform(F.array_distinct("_calls"), lambda p: row(F.floor(p / width), zero, zero, one, inside(p)))
+    each = rows.select(*keys, sample, "_id", F.explode(F.concat(of_bins, of_spans, of_calls)).alias("e"))
+    sums = {n: F.sum(f"e.{n}") for n in ("own", "own_in", "hit", "hit_in")}
+    rates = {"inside_rate": F.try_divide(sums["hit_in"], sums["own_in"]), "outside_rate": F.try_divide(sums["hit"] - sums["hit_in"], sums["own"] - sums["own_in"])}
+    molecule = each.groupBy(*keys, sample, "_id", F.col("e.bin").alias("bin")).agg((sums["own"] + sums["hit"]).alias("_any"), *(r.alias(n) for n, r in rates.items())).where("_any > 0")
+    means = molecule.groupBy(*keys, sample, "bin").agg(*(F.avg(n).alias(n) for n in rates))
+    return means.groupBy(*keys, "bin").agg(*(F.median(n).alias(n) for n in rates))
 
 
 def subtelomere_calls(calls: str, query: str, telomere: str) -> Column:

@@ -39,15 +39,15 @@ def motifs_far_from_telomeres(spark, sf):
     return intervals.far(relation(spark, sf, "motifs"), relation(spark, sf, "telomeres"), 10_000).groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {ctes('motifs', 'telomeres')}, f AS (SELECT unnest([10000, 100000, 500000]) AS flank),
+@query(f"""WITH {ctes('motifs', 'telomeres')}, f AS (SELECT unnest([10000, 100000, 500000, 1000000, 5000000, 10000000]) AS flank),
 n AS (SELECT DISTINCT f.flank, m.* FROM f JOIN motifs m ON true JOIN telomeres t ON m.contig = t.contig AND m.start < t.stop + f.flank AND m.stop > greatest(t.start - f.flank, 0))
 SELECT CAST(flank AS INT) AS flank, contig, count(*) AS n, round(avg(CASE WHEN direction = '+' THEN 1.0 ELSE 0.0 END), 6) AS skew FROM n GROUP BY 1, 2""")
 def orientation_skew_by_flank(spark, sf):
-    flanks = [10_000, 100_000, 500_000]
-    met = intervals.overlap_join(relation(spark, sf, "motifs"), intervals.flank(relation(spark, sf, "telomeres").select("contig", "start", "stop"), max(flanks)), width=1_000_000)
+    flanks = [10_000, 100_000, 500_000, 1_000_000, 5_000_000, 10_000_000]
+    ends = relation(spark, sf, "telomeres").select("contig", "start", "stop", F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
+    met = intervals.overlap_join(relation(spark, sf, "motifs"), intervals.flank(ends, max(flanks)), width=100_000)
     # one range join at the widest flank; what each narrower one keeps follows from how far its telomere is
-    inner_start, inner_stop = F.when(F.col("r_start") == 0, 0).otherwise(F.col("r_start") + max(flanks)), F.col("r_stop") - max(flanks)
-    apart = F.greatest(F.col("start") - inner_stop + 1, inner_start - F.col("stop") + 1, F.lit(0))
+    apart = F.greatest(F.col("start") - F.col("t_stop") + 1, F.col("t_start") - F.col("stop") + 1, F.lit(0))
     size = F.explode(F.filter(F.array(*map(F.lit, flanks)), lambda f: apart <= f)).alias("flank")
     rows = met.select(size, "contig", "start", "stop", "direction").distinct()
     return rows.groupBy("flank", "contig").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("direction") == "+", 1.0).otherwise(0.0)), 6).alias("skew"))
@@ -125,8 +125,8 @@ g AS (SELECT CASE WHEN i.qname IS NOT NULL THEN 'inside' ELSE 'outside' END AS g
 SELECT grp AS "group", count(nm) AS nm_n, round(avg(nm), 6) AS nm_mean, round(CASE WHEN count(nm) > 1 THEN stddev_pop(nm) END, 6) AS nm_sd,
 count(score) AS as_n, round(avg(score), 6) AS as_mean, round(CASE WHEN count(score) > 1 THEN stddev_pop(score) END, 6) AS as_sd FROM g GROUP BY 1""")
 def nm_as_summary(spark, sf):
-    rows = relation(spark, sf, "alignments").withColumn("as", F.col("score"))
-    out = alignments.tag_summary(rows, relation(spark, sf, "telomeres"), {"nm": "nm", "as": "as"})
+    rows = relation(spark, sf, "alignments").withColumn("tags", F.array(F.lit("RG:Z:x"), F.concat(F.lit("NM:i:"), "nm"), F.concat(F.lit("AS:i:"), "score")))
+    out = alignments.tag_summary(rows.drop("nm", "score"), relation(spark, sf, "telomeres"), {"nm": "NM:i:", "as": "AS:i:"})
     return out.select(*(F.round(c, 6).alias(c) if c.endswith(("mean", "sd")) else F.col(c) for c in out.columns))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import identity, sequence
 from strandmill.operators import aggregates, kernels, methylation
-from strandmill.plans.derived import READS, SPANS, ctes, reads, relation, table, telomere_reads
+from strandmill.plans.derived import READS, SPANS, reads, table, telomere_reads
 from strandmill.plans.register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -15,25 +15,16 @@ QUERIES, ORACLES, query = registry()
 _SITES = "concat('m', user_id % 60, ',m', event_id % 60) AS names, concat(CAST(floor(value) AS INT) % 4, ',', CAST(floor(value * 3) AS INT) % 4) AS codes"
 
 
-def _called(spark, sf, text="telo") -> DataFrame:
-    """Telomere reads with calls at every fifth A of the telomere (telo) or of its first kilobase (head), by the read's id."""
-    rows = telomere_reads(spark, sf).withColumn("head", F.substr("telo", F.lit(1), F.lit(1000)))
-    found = F.transform(F.split(text, ""), lambda base, k: F.when((base == "A") & ((k + F.col("id")) % 5 == 0), k))
+def _called(spark, sf) -> DataFrame:
+    """Telomere reads with calls at every fifth A of the telomere, by the read's id."""
+    rows = telomere_reads(spark, sf)
+    found = F.transform(F.split("telo", ""), lambda base, k: F.when((base == "A") & ((k + F.col("id")) % 5 == 0), k))
     return rows.withColumn("calls", F.array_compact(found))
 
 
-_CALLED = f"""{READS}, t AS (SELECT id, sample, assignment, substr(right(seq, CAST(least(qend, length(seq)) AS INT)), 1, 1000) AS head FROM reads WHERE qend >= 100),
+_CALLED = f"""{READS}, t AS (SELECT id, sample, assignment, right(seq, CAST(least(qend, length(seq)) AS INT)) AS head FROM reads WHERE qend >= 100),
 p AS (SELECT id, sample, assignment, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
 a AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = 'A')"""
-#: The same over the whole telomere.
-_WHOLE = f"""{READS}, t AS (SELECT id, sample, assignment, right(seq, CAST(least(qend, length(seq)) AS INT)) AS head FROM reads WHERE qend >= 100),
-p AS (SELECT id, sample, assignment, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
-a AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = 'A')"""
-
-
-def _whole(name: str) -> str:
-    """The SQL of a query of the first kilobase, over the whole telomere."""
-    return ORACLES[name].replace(_CALLED, _WHOLE)
 
 
 @query(f"""WITH e AS (SELECT event_type, {_SITES} FROM events),
@@ -53,14 +44,26 @@ def footprint_decode(spark, sf):
     return flags.groupBy(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {ctes('molecules')}, g AS (SELECT name, position - lag(position) OVER (PARTITION BY name ORDER BY position, id) AS gap FROM molecules WHERE value > 20)
+_PLACE = "CAST((event_id * 6151 + user_id * 97) % 1000000 AS BIGINT) AS start"
+_SITE_LIST = f"""e AS (SELECT {_PLACE}, {_SITES} FROM events), m AS (SELECT start, unnest(string_split(names, ',')) AS name, unnest(string_split(codes, ',')) AS code FROM e),
+s AS (SELECT name, start, (CAST(code AS INT) & 3) = 3 AS bound FROM m)"""
+
+
+def _sites(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").selectExpr(_PLACE, _SITES.split(" AS names, ")[0] + " AS names", _SITES.split(" AS names, ")[1])
+    return aggregates.site_list(rows, "names", "codes")
+
+
+@query(f"WITH {_SITE_LIST} SELECT name, count(*) AS sites, CAST(count_if(bound) AS BIGINT) AS bound, min(start) AS first FROM s GROUP BY 1")
+def molecule_sites(spark, sf):
+    size = F.size("sites").cast("long")
+    return _sites(spark, sf).select("name", size.alias("sites"), F.size(F.filter("sites", lambda s: s["bound"])).cast("long").alias("bound"), F.col("sites")[0]["start"].alias("first"))
+
+
+@query(f"""WITH {_SITE_LIST}, g AS (SELECT name, start - lag(start) OVER (PARTITION BY name ORDER BY start) AS gap FROM s WHERE bound)
 SELECT name, count(*) AS gaps, round(avg(gap), 6) AS mean_gap FROM g WHERE gap IS NOT NULL GROUP BY 1""")
 def bound_site_gaps(spark, sf):
-    from pyspark.sql import Window
-
-    bound = relation(spark, sf, "molecules").where("value > 20")
-    gap = F.col("position") - F.lag("position").over(Window.partitionBy("name").orderBy("position", "id"))
-    return bound.withColumn("gap", gap).where("gap IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+    return aggregates.bound_gaps(_sites(spark, sf)).groupBy("name").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.avg("gap"), 6).alias("mean_gap"))
 
 
 @query(f"""WITH e AS (SELECT event_type, event_id % 4000 AS length, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 1 + CAST(floor(value) AS BIGINT) END AS calls FROM events)
@@ -79,10 +82,10 @@ def molecule_gates(spark, sf):
 
 @query(f"WITH {_CALLED} SELECT assignment, CAST(k AS INT) AS pos, CAST(count_if(called) AS BIGINT) AS calls, count(*) AS targets FROM a GROUP BY 1, 2")
 def positional_rate(spark, sf):
-    return methylation.positional_rate(_called(spark, sf, "head"), ["assignment"], "head", "calls")
+    return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls")
 
 
-@query(_whole("positional_rate"))
+@query(ORACLES["positional_rate"])
 def positional_rate_whole(spark, sf):
     return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls", base=None)
 
@@ -90,11 +93,11 @@ def positional_rate_whole(spark, sf):
 @query(f"""WITH {_CALLED}, g AS (SELECT k, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1)
 SELECT CAST(k AS INT) AS pos, round(sum(calls) OVER w / nullif(sum(targets) OVER w, 0), 6) AS ratio FROM g WINDOW w AS (ORDER BY k ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)""")
 def rolling_ratio(spark, sf):
-    rates = methylation.positional_rate(_called(spark, sf, "head"), [], "head", "calls").withColumn("all", F.lit(0))
+    rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls").withColumn("all", F.lit(0))
     return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
 
 
-@query(_whole("rolling_ratio"))
+@query(ORACLES["rolling_ratio"])
 def rolling_ratio_whole(spark, sf):
     rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls", base=None).withColumn("all", F.lit(0))
     return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
@@ -104,10 +107,10 @@ def rolling_ratio_whole(spark, sf):
 s AS (SELECT assignment, sample, bin, avg(r) AS m FROM m GROUP BY 1, 2, 3)
 SELECT assignment, CAST(bin AS BIGINT) AS bin, round(median(m), 6) AS rate FROM s GROUP BY 1, 2""")
 def binned_rate(spark, sf):
-    return methylation.binned_rate(_called(spark, sf, "head"), ["assignment"], "sample", "head", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
+    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
 
 
-@query(_whole("binned_rate"))
+@query(ORACLES["binned_rate"])
 def binned_rate_whole(spark, sf):
     return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls", base=None).select("assignment", "bin", F.round("rate", 6).alias("rate"))
 
@@ -128,24 +131,35 @@ c AS (SELECT h.*, EXISTS (SELECT 1 FROM a WHERE a.id = h.id AND a.called AND a.k
 b AS (SELECT DISTINCT sample, motif FROM x)
 SELECT b.sample, b.motif, CAST(coalesce(count_if(c.meth), 0) AS BIGINT) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
 def motif_call_counts(spark, sf):
-    out = methylation.motif_counts(_called(spark, sf, "head"), "sample", "head", "calls", _MOTIFS)
+    out = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
 
 
-@query(_whole("motif_call_counts"))
+@query(ORACLES["motif_call_counts"])
 def motif_call_counts_whole(spark, sf):
     out = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
 
 
-@query()
+@query(f"""WITH n AS ({ORACLES["motif_call_counts"]}), g AS (SELECT motif, sum(meth) / nullif(sum(total), 0) AS base FROM n GROUP BY 1),
+r AS (SELECT sample, n.motif, (meth / nullif(total, 0)) / nullif(base, 0) AS ratio FROM n JOIN g ON n.motif = g.motif),
+c AS (SELECT sample, ratio AS c FROM r WHERE motif = 'TTAGGG')
+SELECT r.sample, motif, round(ratio, 6) AS ratio, round(ratio / nullif(c, 0), 6) AS normalised FROM r LEFT JOIN c ON r.sample = c.sample""")
 def motif_ratios(spark, sf):
     counts = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     genome = counts.groupBy("motif").agg(F.sum("meth").alias("meth_count"), F.sum("total").alias("total_count"))
     return methylation.motif_ratios(counts, genome, "sample").select("sample", "motif", F.round("ratio", 6).alias("ratio"), F.round("normalised", 6).alias("normalised"))
 
 
-@query()
+@query(f"""WITH {SPANS}, t AS (SELECT id, sample, telo FROM telos WHERE length(telo) >= 1000),
+k AS (SELECT id, p FROM (SELECT id, telo, unnest(range(1, length(telo))) AS p FROM t) WHERE substr(telo, CAST(p + 1 AS INT), 1) = 'A' AND (p + id) % 5 = 0),
+n AS (SELECT id, start, length, piece, row_number() OVER (PARTITION BY id ORDER BY start) AS rn, count(*) OVER (PARTITION BY id) AS c FROM spans),
+u AS (SELECT * FROM n WHERE rn > 1 AND rn < c AND contains(piece, 'A')),
+h AS (SELECT k.id, count(*) AS hit FROM k JOIN u ON k.id = u.id AND k.p >= u.start AND k.p < u.start + u.length GROUP BY 1),
+o AS (SELECT id, sum(length - length(replace(piece, 'A', ''))) AS own FROM u GROUP BY 1), a AS (SELECT id, count(*) AS calls FROM k GROUP BY 1),
+m AS (SELECT t.sample, a.calls, coalesce(hit, 0) AS hit, coalesce(own, 0) AS own, length(telo) - length(replace(telo, 'A', '')) AS total
+      FROM t LEFT JOIN a ON t.id = a.id LEFT JOIN h ON t.id = h.id LEFT JOIN o ON t.id = o.id)
+SELECT sample, count(*) AS n, round(avg(CASE WHEN calls > 0 AND own > 0 THEN hit / own END), 6) AS inside, round(avg(CASE WHEN calls > 0 AND total > own THEN (calls - hit) / (total - own) END), 6) AS outside FROM m GROUP BY 1""")
 def variant_call_rates(spark, sf):
     rows = methylation.variant_rates(_called(spark, sf).where("length(telo) >= 1000"), "telo", "calls", "spans")
     return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("inside_rate"), 6).alias("inside"), F.round(F.avg("outside_rate"), 6).alias("outside"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators import aggregates, kernels, pairwise
+from strandmill.operators import aggregates, kernels, pairwise, stats
 from strandmill.plans.derived import reads, table
 from strandmill.plans.register import registry
 
@@ -121,10 +121,15 @@ def significant_clusters(spark, sf):
     return pairwise.significant_clusters(clusters, pairs, "assignment", 3, mean=0.5).select("assignment", "cluster", "members", F.round("mean_sim", 6).alias("mean_sim"))
 
 
-@query("""SELECT o_orderstatus, k AS pick, n FROM (SELECT o_orderstatus, least(20, count(*)) AS n FROM orders GROUP BY 1), (SELECT unnest(range(1, 21)) AS k) WHERE k <= n""")
+@query("""SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat(o_orderkey, '-', 1)), o_orderkey) <= 20""")
 def sampled_per_group(spark, sf):
-    from strandmill.operators.stats import sample_per_group
+    return stats.sample_per_group(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], 20, "o_orderkey", seed=1).select("o_orderstatus", "o_orderkey")
 
-    some = sample_per_group(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], 20, seed=1)
-    w = Window.partitionBy("o_orderstatus")
-    return some.select("o_orderstatus", F.row_number().over(w.orderBy("o_orderkey")).cast("long").alias("pick"), F.count(F.lit(1)).over(w).alias("n"))
+
+@query("""WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT o_orderstatus, n, unnest(range(0, 500)) AS draw FROM n),
+p AS (SELECT o_orderstatus, CAST(draw AS INT) AS draw, CAST(concat('0x', substr(md5(concat(o_orderstatus, '-', draw, '-', 3)), 1, 8)) AS BIGINT) % n AS place FROM d),
+o AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT p.o_orderstatus, draw, o_orderkey FROM p JOIN o ON p.o_orderstatus = o.o_orderstatus AND p.place = o.place""")
+def sampled_with_replacement(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return stats.sample_with_replacement(rows, ["o_orderstatus"], 500, "o_orderkey", seed=3).select("o_orderstatus", "draw", "o_orderkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmill.functions import identity, sequence
-from strandmill.operators import aggregates, kernels
+from strandmill.operators import aggregates
 from strandmill.plans.derived import READS, SPANS, reads, table, telomere_reads
 from strandmill.plans.register import registry
 
@@ -83,7 +83,7 @@ def best_k_coverage(spark, sf):
 SELECT id, md5(rc) AS rc_md5, CAST(length(seq) - length(replace(seq, 'G', '')) AS BIGINT) AS g FROM x""")
 def reverse_complements(spark, sf):
     rows = reads(spark, sf)
-    return rows.select("id", F.md5(F.translate(F.reverse("seq"), "ACGTacgtnN", "TGCAtgcaNn")).alias("rc_md5"), sequence.char_count("seq", "G").cast("long").alias("g"))
+    return rows.select("id", F.md5(sequence.reverse_complement("seq")).alias("rc_md5"), sequence.char_count("seq", "G").cast("long").alias("g"))
 
 
 @query("""WITH w AS (SELECT DISTINCT substr(replace(p_type, ' ', ''), 1, 6) AS a, substr(replace(p_name, ' ', ''), 1, 6) AS b FROM part)
@@ -116,15 +116,23 @@ def telomere_consensus_whole(spark, sf):
     return aggregates.consensus(reads(spark, sf), ["assignment"], "seq", "qend", least=3)
 
 
-@query()
+@query(f"""WITH {SPANS}, p AS (SELECT id, telo, motif, unnest(range(0, length(telo))) AS p FROM telos WHERE motif IS NOT NULL),
+w AS (SELECT id, p, motif, substr(telo, CAST(p + 1 AS INT), 6) AS w FROM p),
+f AS (SELECT id, p, CASE WHEN length(w) = 6 AND contains(concat(motif, motif), w) THEN 1 ELSE 0 END AS turn, CASE WHEN w = motif THEN 1 ELSE 0 END AS canon FROM w),
+d AS (SELECT id, p, sum(turn) OVER b < 6 AND max(canon) OVER b = 0 AS bare FROM f WINDOW b AS (PARTITION BY id ORDER BY p ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+r AS (SELECT id, p, p - row_number() OVER (PARTITION BY id ORDER BY p) AS island FROM d WHERE bare)
+SELECT id, min(p) AS start, count(*) AS length FROM r GROUP BY id, island""")
 def phase_disruption_spans(spark, sf):
-    rows = telomere_reads(spark, sf).select("id", F.explode(kernels.phase_disruption("telo")).alias("s"))
+    rows = telomere_reads(spark, sf).select("id", F.explode(sequence.phase_disruption("telo")).alias("s"))
     return rows.select("id", F.col("s.start").cast("long").alias("start"), F.col("s.length").cast("long").alias("length"))
 
 
-@query()
+@query(f"""WITH {SPANS}, p AS (SELECT id, i, substr(telo, CAST(i + 1 AS INT), 6) AS f FROM (SELECT id, telo, unnest(range(0, length(telo), 6)) AS i FROM telos)),
+n AS (SELECT *, CASE WHEN f = lag(f) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS new FROM p),
+r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM n), l AS (SELECT f, sum(length(f)) AS size FROM r GROUP BY id, run, f)
+SELECT f AS fragment, count(*) AS runs, CAST(max(size) AS INT) AS longest FROM l GROUP BY 1""")
 def merged_fragment_runs(spark, sf):
-    rows = telomere_reads(spark, sf).select("id", F.explode(kernels.merged_fragments("telo")).alias("f"))
+    rows = telomere_reads(spark, sf).select("id", F.explode(sequence.merged_fragments("telo")).alias("f"))
     return rows.groupBy("f.fragment").agg(F.count(F.lit(1)).alias("runs"), F.max("f.length").alias("longest"))
 
 
@@ -153,8 +161,7 @@ SELECT t.assignment, CAST(sum(stop - start) AS BIGINT) AS total, CAST(sum(greate
 CAST(sum(greatest(0, least(stop, 5000) - start)) AS BIGINT) AS first_5kb FROM e JOIN telos t ON t.id = e.id GROUP BY 1""")
 def span_bases_by_distance(spark, sf):
     s = telomere_reads(spark, sf).select("assignment", F.explode("spans").alias("s")).select("assignment", F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.length")).alias("stop"))
-    upto = lambda w: F.sum(F.greatest(F.lit(0), F.least(F.col("stop"), F.lit(w)) - F.col("start")))
-    return s.groupBy("assignment").agg(F.sum(F.col("stop") - F.col("start")).alias("total"), upto(1000).alias("first_1kb"), upto(5000).alias("first_5kb"))
+    return aggregates.spans_up_to(s, ["assignment"], [1000, 5000]).withColumnsRenamed({"up_to_1000": "first_1kb", "up_to_5000": "first_5kb"})
 
 
 @query(f"""WITH {SPANS}, m AS (SELECT t.assignment, t.id, max(s.start) AS top FROM telos t LEFT JOIN spans s ON s.id = t.id AND s.start < 2000 AND s.length >= 5 GROUP BY 1, 2)

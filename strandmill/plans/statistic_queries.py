@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import identity
 from strandmill.operators import aggregates, histograms, stats
 from strandmill.plans.derived import ctes, relation, table
 from strandmill.plans.register import registry
+from strandmill.sources import readers
 
 QUERIES, ORACLES, query = registry()
 _BOX = ", ".join(f"round(quantile_cont({{v}}, {q}), 6) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))
@@ -65,10 +65,23 @@ def mann_whitney_u(spark, sf):
     return out.select("assignment", "n1", "n2", F.round("u1", 4).alias("u1"))
 
 
-@query()
+def _tail(z: str) -> str:
+    """SQL: the upper tail of the normal distribution."""
+    t = f"(1 / (1 + {z} / sqrt(2) / 2))"
+    poly = str(stats._ERFC[0])
+    for c in stats._ERFC[1:]:
+        poly = f"({poly} * {t} + {c})"
+    return f"0.5 * {t} * exp({poly} - {z} * {z} / 2)"
+
+
+@query(f"""WITH {ctes('loads')}, {_WINS}, g AS (SELECT assignment, CAST(count_if(tech = 'ONT') AS DOUBLE) AS n1, CAST(count_if(tech = 'PacBio') AS DOUBLE) AS n2, sum(CASE WHEN tech = 'ONT' THEN r ELSE 0 END) AS r1 FROM r GROUP BY 1),
+t AS (SELECT assignment, sum(c * c * c - c) AS ties FROM (SELECT assignment, CAST(count(*) AS DOUBLE) AS c FROM loads GROUP BY assignment, load) GROUP BY 1),
+u AS (SELECT g.*, ties, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM g JOIN t ON g.assignment = t.assignment WHERE least(n1, n2) > {stats.EXACT_U}),
+z AS (SELECT assignment, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 0) AS z FROM u)
+SELECT assignment, round(z, 6) AS z, round(least(1, 2 * CASE WHEN z >= 0 THEN {_tail('z')} ELSE 1 - {_tail('(-z)')} END), 6) AS p_value FROM z""")
 def mann_whitney_p(spark, sf):
     out = stats.mann_whitney(relation(spark, sf, "loads"), ["assignment"], "tech", "load", "ONT", "PacBio")
-    return out.select("assignment", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"))
+    return out.where(F.least("n1", "n2") > stats.EXACT_U).select("assignment", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"))
 
 
 @query(f"""WITH {ctes('loads')}, s AS (SELECT status, load FROM loads), n AS (SELECT status, count(*) AS n FROM s GROUP BY 1),
@@ -116,7 +129,8 @@ def dominant_category(spark, sf):
 @query("""WITH a AS (SELECT c_custkey % 500 AS id, max_by(c_mktsegment, c_custkey) AS chrom FROM customer GROUP BY 1)
 SELECT coalesce(a.chrom, 'unmapped') AS chrom, count(*) AS n FROM orders o LEFT JOIN a ON o.o_custkey % 700 = a.id GROUP BY 1""")
 def lookup_last_wins(spark, sf):
-    alias = table(spark, sf, "customer").groupBy((F.col("c_custkey") % 500).alias("id")).agg(F.max_by("c_mktsegment", "c_custkey").alias("chrom"))
+    lines = table(spark, sf, "customer").select((F.col("c_custkey") % 500).alias("id"), F.col("c_mktsegment").alias("chrom"), "c_custkey")
+    alias = readers.last_alias(lines, F.col("c_custkey")).withColumnRenamed("alias_chrom", "chrom")
     o = table(spark, sf, "orders").withColumn("id", F.col("o_custkey") % 700)
     return o.join(alias, "id", "left").groupBy(F.coalesce("chrom", F.lit("unmapped")).alias("chrom")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,8 +146,7 @@ def normalised_ends(spark, sf):
 SELECT sample, round(a / b, 6) AS ratio FROM h WHERE a IS NOT NULL AND b > 0""")
 def median_ratio(spark, sf):
     own = F.col("assignment").isin("chr1p", "chr2p", "chr3p")
-    h = relation(spark, sf, "loads").groupBy("sample").agg(F.median(F.when(own, F.col("load"))).alias("a"), F.median(F.when(~own, F.col("load"))).alias("b"))
-    return h.where("a IS NOT NULL AND b > 0").select("sample", F.round(F.col("a") / F.col("b"), 6).alias("ratio"))
+    return aggregates.median_ratio(relation(spark, sf, "loads"), "sample", own, "load").select("sample", F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"""WITH {ctes('loads')} SELECT tech, round(avg(CASE WHEN load > 150000 THEN 1.0 ELSE 0.0 END), 6) AS share, count(DISTINCT assignment) AS ends, round(count(DISTINCT sample) / 40.0, 6) AS samples FROM loads GROUP BY 1""")
@@ -151,8 +164,7 @@ def pivot_means(spark, sf):
 
 @query(f"""WITH {ctes('loads')} SELECT assignment, id, load FROM loads QUALIFY row_number() OVER (PARTITION BY assignment ORDER BY load DESC, id) = 1""")
 def first_of_group(spark, sf):
-    w = Window.partitionBy("assignment").orderBy(F.desc("load"), "id")
-    return relation(spark, sf, "loads").withColumn("k", F.row_number().over(w)).where("k = 1").select("assignment", "id", "load")
+    return aggregates.first_of(relation(spark, sf, "loads"), ["assignment"], [-F.col("load"), F.col("id")]).select("assignment", "id", "load")
 
 
 @query(f"""WITH {ctes('loads')} SELECT count(*) AS n, CAST(count_if(NOT (starts_with(assignment, 'chr13') OR starts_with(assignment, 'chr14') OR starts_with(assignment, 'chr21'))) AS BIGINT) AS kept, CAST(count_if(isfinite(1.0 / nullif(id % 3, 0))) AS BIGINT) AS finite FROM loads""")

@@ -25,9 +25,9 @@ def read_alias(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, schemas.ALIAS)
 
 
-def last_alias(alias: DataFrame) -> DataFrame:
-    """One chrom for each id: where an id repeats, that of its last line."""
-    order = alias.withColumn("_line", F.monotonically_increasing_id())
+def last_alias(alias: DataFrame, line: Column | None = None) -> DataFrame:
+    """One chrom for each id: where an id repeats, that of its last line, by the file's order or by line."""
+    order = alias.withColumn("_line", F.monotonically_increasing_id() if line is None else line)
     return order.groupBy("id").agg(F.max_by("chrom", "_line").alias("alias_chrom"))
 
 
@@ -48,8 +48,9 @@ def read_centered(spark: SparkSession, path: str, alias: DataFrame | None = None
 
 
 def read_fiberseq(spark: SparkSession, path: str, columns: list[str], alias: DataFrame | None = None, share: float = 0.001) -> DataFrame:
-    """Reads from files with a header, by name, kept if they have enough m6A calls for their length."""
-    raw = spark.read.options(sep="\t", header=True).csv(path).select(*columns, sample_name().alias("sample"))
+    """Reads from files with a header, by name, kept if they have enough m6A calls for their length. Files that can't be read (cut-off or
+    damaged gzip) are left out."""
+    raw = spark.read.options(sep="\t", header=True, ignoreCorruptFiles=True).csv(path).select(*columns, sample_name().alias("sample"))
     rows = raw.withColumns({c: F.col(c).cast("long") for c in ("centering_position", "centered_query_start", "centered_query_end", "query_length") if c in columns})
     if alias is not None:
         rows = rows.join(last_alias(alias), rows["chrom"] == F.col("id"), "left").drop("id")
@@ -69,6 +70,22 @@ def read_bed_intervals(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(parts[0].alias("chrom"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"))
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, end and name of BED6 or BED12 lines, with arm and chrom_end ('chr1_p', by the start)."""
+    rows = _table(spark, path, schemas.BED_NAMES)
+    arm = F.when(F.col("start") < identity.ARM_POSITION, "p").otherwise("q")
+    return rows.withColumns({"arm": arm, "chrom_end": F.concat_ws("_", "chrom", arm)})
+
+
+def read_duplications(spark: SparkSession, path: str) -> DataFrame:
+    """Duplicated variant repeats of a CSV file with a header, which may have more columns: chrom (arm:label), note and the places of both copies,
+    with assignment and label from chrom."""
+    rows = spark.read.options(header=True).csv(path)
+    part = F.split("chrom", ":")
+    places = [F.col(c).cast("double").alias(c) for c in ("code_start_1", "code_end_1", "code_start_2")]
+    return rows.select("chrom", "note", *places, F.get(part, F.lit(0)).alias("assignment"), F.get(part, F.lit(1)).alias("label"))
+
+
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, schemas.MOTIFS)
 
@@ -109,6 +126,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*((f[k] if n != "pos" else f[k].cast("long") - 1).cast(kinds[k]).alias(n) for k, n in enumerate(names[:-1])), F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))).alias("tags"))
 
 
+def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """value: the header lines of SAM text, in their order."""
+    return spark.read.text(path).where(F.col("value").startswith("@"))
+
+
 def read_paf(spark: SparkSession, path: str, keep_tags: str = "cg:") -> DataFrame:
     """Whole-genome alignments, with the tags that begin with keep_tags."""
     f = F.split("value", r"\t")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandmill.sources.schemas import ALIGNMENT
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -14,6 +17,19 @@ def write_tsv(df: DataFrame, path: str) -> None:
     write_csv(df, path, "\t")
 
 
+def write_sam(df: DataFrame, header: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Alignments as SAM text in coordinate order: the first file is the header's lines (value), the others hold ranges of (rname, pos).
+
+    pos is 0-based in df and 1-based in the file. Without alignments there is the header alone. There is no BAM writer or reader here.
+    """
+    by = ("rname", "pos")
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("*")) if c != "pos" else (F.col("pos") + 1).cast("string") for c in ALIGNMENT.fieldNames()[:-1]]
+    line = F.concat_ws("\t", *fields, F.col("tags"))
+    header.select("value").coalesce(1).write.mode("overwrite").text(path)
+    ranged.sortWithinPartitions(*by).select(line.alias("value")).write.mode("append").text(path)
+
+
 def write_alignments(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Alignments as Parquet in coordinate order: files hold ranges of (rname, pos), sorted within."""
     by = ("rname", "pos")
