@@ -33,7 +33,7 @@ N = 5
 PERCENT = 80
 BATCH = 4 << 20
 FREQUENT, SEEN = 1 << 16, 4  # how many frequent shingles come last; in how many sets of a batch one must be
-GROUP, GROUP_WORDS, SPEAKERS = 250, 1 << 20, 4  # sets and shingles of a block; sets that stand for a component
+GROUP, GROUP_WORDS, SPEAKERS = 128, 1 << 20, 4  # sets and shingles of a block; sets that stand for a component
 SHARE = 20
 FAN, LEAF = 8, 32
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
@@ -397,12 +397,14 @@ def jaccard_links(rows: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[
         return met.groupBy("hub", "x", "y").applyInArrow(_join(n, percent, key), "a long, b long")
 
     hubs = meet.groupBy("node").agg(F.collect_list(F.struct("hub", "block")).alias("hubs"))
-    texts = rows.select("uid", "text").join(first.select("node", "uid").join(hubs, "node"), "uid").select("node", "text", F.explode("hubs").alias("h"))
+    asked = first.select("node", "uid").join(hubs, "node")  # grows with the table, so it is never broadcast
+    texts = rows.select("uid", "text").join(asked.hint("merge"), "uid").select("node", "text", F.explode("hubs").alias("h"))
     links = keep(find(texts.select("h.hub", F.col("h.block").alias("x"), F.lit(0).alias("y"), F.lit(False).alias("two"), F.lit(False).alias("right"), "node", F.col("node").alias("root"), "text")), "jaccard-links")
     large = meet.where("blocks > 1").drop("blocks")
     if not large.isEmpty():
         large = keep(large, "jaccard-large")
-        own = rows.select("uid", "text").join(first.select("node", "uid").join(large.select("node").distinct(), "node"), "uid").select("node", "text")
+        asked = first.select("node", "uid").join(large.select("node").distinct(), "node")
+        own = keep(rows.select("uid", "text").join(asked.hint("merge"), "uid").select("node", "text"), "jaccard-large-texts")
         links = _large_groups(large, links, own, find, total)
     return nodes, links
 
