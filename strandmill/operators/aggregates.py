@@ -77,7 +77,7 @@ def duplication_distances(df: DataFrame) -> DataFrame:
     midpoint's distance from the boundary, and of the midpoint between both copies. Rows with a missing place count where they can."""
     a, b, c = F.col("code_start_1"), F.col("code_end_1"), F.col("code_start_2")
     each = {"size": b - a, "end_to_start": c - b, "start_to_start": c - a, "start": a, "midpoint": (a + b) / 2, "between": (b + c) / 2}
-    return df.agg(*(F.avg(F.nanvl(v, F.lit(None).cast("double")) / 1000.0).alias(n) for n, v in each.items()))
+    return df.agg(*((F.avg(F.nanvl(v, F.lit(None).cast("double"))) / 1000.0).alias(n) for n, v in each.items()))
 
 
 def share_decrease(df: DataFrame, same: Column, value: str, cut: float) -> DataFrame:

@@ -61,17 +61,23 @@ def local_scores(a: np.ndarray, b: np.ndarray, caps: list[int], k: int = 6) -> d
     tall, wide = max((s[0] for s in sizes.values()), default=0), max((s[1] for s in sizes.values()), default=0)
     a, b = a[:tall], b[:wide]
     quiet_a, quiet_b = np.isin(a, canon), np.isin(b, canon)
-    gaps = 2 * np.arange(wide, dtype=np.int32)
-    row, best, held = np.zeros(wide + 1, np.int32), np.zeros(wide, np.int32), {0: np.zeros(wide, np.int32)}
+    kind = np.int16 if 4 * max(wide, 1) < 1 << 15 else np.int32  # what scores and gaps add up to
+    gaps = (2 * np.arange(wide)).astype(kind)
+    row, best, held = np.zeros(wide + 1, kind), np.zeros(wide, kind), {0: np.zeros(wide, kind)}
+    now, other = np.empty(wide, kind), np.empty(wide, kind)
     wanted = {s[0] for s in sizes.values()}
     scores: dict[int, np.ndarray] = {}
     for i in range(tall):
         if (score := scores.get(int(a[i]))) is None:
-            score = scores[int(a[i])] = np.where(quiet_a[i] | quiet_b, 0, np.where(b == a[i], 2, -1)).astype(np.int32)
-        now = np.maximum(np.maximum(row[:-1] + score, row[1:] - 2), 0)
-        now = np.maximum.accumulate(now + gaps) - gaps
-        row[1:] = now
-        best = np.maximum(best, now)
+            score = scores[int(a[i])] = np.where(quiet_a[i] | quiet_b, 0, np.where(b == a[i], 2, -1)).astype(kind)
+        np.add(row[:-1], score, out=now)
+        np.subtract(row[1:], 2, out=other)
+        np.maximum(now, other, out=now)
+        np.maximum(now, 0, out=now)
+        now += gaps
+        np.maximum.accumulate(now, out=other)
+        np.subtract(other, gaps, out=row[1:])
+        np.maximum(best, row[1:], out=best)
         if i + 1 in wanted:
             held[i + 1] = np.maximum.accumulate(best)
     return {c: min(1.0, float(held[ia][jb - 1]) / (2 * min(ia, jb))) if ia and jb else 0.0 for c, (ia, jb) in sizes.items()}
