@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.shared import batches, keep, numbered, skew_join
+from strandmill.llm.shared import batches, drop, keep, numbered, skew_join
 
 BITS = 63  # of a key
 BUCKET_BYTES, PER_ROOT = 16 << 20, 13
@@ -154,18 +154,21 @@ def build_index(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BI
     slots = len(directory.names)
     entries = docs.mapInArrow(_entries(directory, bits), ENTRIES).repartitionById(slots, F.col("slot"))
     index = keep(entries.sortWithinPartitions("slot", "key").mapInArrow(_own(directory.names), INDEX), "dedup-index")
+    parts = [index]
     while True:
         sizes = index.groupBy("bucket").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("m"), F.min("key").alias("k0"), F.max("key").alias("k1"))
         over = sizes.where((F.col("b") - F.col("m") > bucket_bytes) & (F.col("k0") < F.col("k1"))).select("bucket")
         found = [r["bucket"] for r in over.collect()]  # buckets, whose number grows with the square root of the table
         if not found:
+            index.parts = parts  # the tables that it is read from
             return index, directory
         directory.split(found)
         over = F.broadcast(index.sparkSession.createDataFrame([(b,) for b in found], "bucket long"))
         local = F.length(F.bin("bucket")) - 1
         bit = F.expr("shiftright(key, CAST(_next AS INT))").bitwiseAND(1)
         halves = index.join(over, "bucket", "left_semi").withColumn("_next", BITS - 1 - local).withColumn("bucket", F.col("bucket") * 2 + bit).drop("_next")
-        index = index.join(over, "bucket", "left_anti").unionByName(keep(halves, "dedup-split"))  # only what splits is written again
+        parts.append(keep(halves, "dedup-split"))  # only what splits is written again
+        index = index.join(over, "bucket", "left_anti").unionByName(parts[-1])
 
 
 def exact_groups(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BITS) -> DataFrame:
@@ -195,7 +198,10 @@ def deduplicate(docs: DataFrame, bucket_bytes: int | None = None, bits: int = BI
     rows, uid = numbered(docs)
     slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(uid).alias("uid"))
     index, _ = build_index(slim, bucket_bytes, bits)
-    return rows.join(index.select(F.col("keep_uid").alias(uid)), uid, "left_semi").select(*docs.columns)
+    kept = keep(index.select(F.col("keep_uid").alias(uid)), "dedup-kept")
+    for part in index.parts:  # it holds the bytes of all texts, and all that is asked of it is written
+        drop(part)
+    return rows.join(kept, uid, "left_semi").select(*docs.columns)
 
 
 SQL = """
