@@ -64,11 +64,11 @@ _DUPLICATES = "CAST(l_partkey AS DOUBLE) AS code_start_1, CAST(l_partkey + l_qua
 
 
 @query(f"""WITH d AS (SELECT {_DUPLICATES} FROM lineitem)
-SELECT round(avg(code_end_1 - code_start_1) / 1000, 6) AS size, round(avg(code_start_2 - code_end_1) / 1000, 6) AS end_to_start, round(avg(code_start_2 - code_start_1) / 1000, 6) AS start_to_start,
-round(avg(code_start_1) / 1000, 6) AS start, round(avg((code_start_1 + code_end_1) / 2) / 1000, 6) AS midpoint, round(avg((code_end_1 + code_start_2) / 2) / 1000, 6) AS "between" FROM d""")
+SELECT round(avg(code_end_1 - code_start_1) / 1000, 4) AS size, round(avg(code_start_2 - code_end_1) / 1000, 4) AS end_to_start, round(avg(code_start_2 - code_start_1) / 1000, 4) AS start_to_start,
+round(avg(code_start_1) / 1000, 4) AS start, round(avg((code_start_1 + code_end_1) / 2) / 1000, 4) AS midpoint, round(avg((code_end_1 + code_start_2) / 2) / 1000, 4) AS "between" FROM d""")
 def duplication_distances(spark, sf):
     out = aggregates.duplication_distances(table(spark, sf, "lineitem").selectExpr(*_DUPLICATES.replace("AS code_end_1, ", "AS code_end_1| ").replace("AS code_start_1, ", "AS code_start_1| ").split("| ")))
-    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
 
 
 _ENDS = ["chr13p", "chr14p", "chr15p", "chr21p", "chr17p", "chr8q", "chr12q"]
