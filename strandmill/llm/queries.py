@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import bpe, exact_dedup, jaccard, language, media, mixing, sharding, token_counts, toxicity, url_filter
+from strandmill.llm import bpe, byte_ranks, exact_dedup, jaccard, language, media, mixing, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shard": sharding.op10_shard,
+    "op11_byte_ranks": byte_ranks.op11_byte_ranks,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL}
