@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import bpe, byte_ranks, divergence, exact_dedup, jaccard, language, media, mixing, sharding, token_counts, toxicity, url_filter
+from strandmill.llm import bpe, byte_ranks, divergence, exact_dedup, jaccard, language, media, mixing, sharding, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_shard": sharding.op10_shard,
     "op11_byte_ranks": byte_ranks.op11_byte_ranks,
     "op12_divergence": divergence.op12_divergence,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL, "op12_divergence": divergence.SQL}
