@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandmill.plans.derived import READS, ctes, reads, relation, table
 from strandmill.plans.register import registry
-from strandmill.sources import readers, schemas, sinks
+from strandmill.sources import bam, readers, schemas, sinks
 
 QUERIES, ORACLES, query = registry()
 
@@ -182,6 +182,48 @@ def sam_files(spark, sf):
     return out.join(F.broadcast(kept))
 
 
+#: Alignments with bases and qualities where the mapping quality is low, as both BAM queries write them.
+_BAM = f"""{ctes('alignments')}, b AS (SELECT *, CASE WHEN mapq < 20 AND stop > pos THEN stop - pos ELSE 0 END AS bases FROM alignments)"""
+
+
+def _bam(spark, sf) -> str:
+    """The path of a folder of BAM files of the alignments."""
+    bases = "CASE WHEN mapq < 20 AND stop > pos THEN stop - pos ELSE 0 END"
+    rows = relation(spark, sf, "alignments").selectExpr(
+        "qname", "flag", "rname", "pos", "mapq", "concat(stop - pos, 'M') AS cigar", "'=' AS rnext", "pos + 1 AS pnext", "CAST(0 AS BIGINT) AS tlen",
+        f"IF({bases} > 0, rpad('', CAST({bases} AS INT), 'ACGTN'), '*') AS seq", f"IF({bases} > 0, repeat(chr(33 + mapq), CAST({bases} AS INT)), '*') AS qual",
+        "array(concat('NM:i:', CAST(nm AS INT)), 'RG:Z:a', concat('AS:i:', CAST(score AS INT))) AS tags",
+    )
+    header = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:ctg{k}\tLN:2000000\n" for k in range(25))
+    path = scratch(spark, "bam")
+    bam.write_bam(rows, header, path, 4)
+    return path
+
+
+@query(f"""WITH {_BAM} SELECT rname, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(mapq) AS BIGINT) AS mapq, CAST(sum(CASE WHEN stop > pos THEN stop - pos ELSE 0 END) AS BIGINT) AS bases, round(avg(nm), 6) AS nm,
+CAST(sum(bases) AS BIGINT) AS letters, CAST(sum(bases * mapq) AS BIGINT) AS quality, CAST(26 AS BIGINT) AS header FROM b GROUP BY 1""")
+def bam_files(spark, sf):
+    from strandmill.functions.sequence import tag_value
+    from strandmill.operators.alignments import reference_length
+
+    path = _bam(spark, sf)
+    lines = len(bam.read_bam_header(path).splitlines())
+    letters = F.when(F.col("seq") == "*", 0).otherwise(F.length("seq")).cast("long")
+    out = bam.read_bam(spark, path).groupBy("rname").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("mapq").alias("mapq"), F.sum(reference_length()).alias("bases"), F.round(F.avg(tag_value("tags", "NM:i:")), 6).alias("nm"),
+        F.sum(letters).alias("letters"), F.sum(letters * F.when(F.col("qual") == "*", 0).otherwise(F.ascii("qual") - 33)).alias("quality"))
+    return out.withColumn("header", F.lit(lines).cast("long"))
+
+
+@query(f"""WITH {_BAM} SELECT rname, flag, count(*) AS n, min(pos) AS first, max(pos) AS last, CAST(sum(score) AS BIGINT) AS score FROM b
+WHERE rname IN ('ctg3', 'ctg7') AND pos >= 200000 AND pos < 400000 AND (flag & 2308) = 0 GROUP BY 1, 2""")
+def bam_regions(spark, sf):
+    from strandmill.functions.sequence import tag_value
+
+    rows = bam.read_bam(spark, _bam(spark, sf), exclude_flags=2308).where("rname IN ('ctg3', 'ctg7') AND pos >= 200000 AND pos < 400000")
+    return rows.groupBy("rname", "flag").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum(tag_value("tags", "AS:i:").cast("long")).alias("score"))
+
+
 @query("SELECT concat('q', l_suppkey % 50) AS q_name, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS starts, count(*) AS tags FROM lineitem GROUP BY 1")
 def paf_files(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("q", F.concat(F.lit("q"), F.col("l_suppkey") % 50))
