@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators import positions
+
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n and the 10th, 25th, 50th, 75th and 90th percentile, linear between values."""
@@ -112,16 +116,20 @@ def consensus(reads: DataFrame, keys: list[str], sequence: str, end: str, least:
     """
     tails = reads.where(F.col(sequence).isNotNull() & (F.col(end) > 0) & (F.col(end) <= F.length(sequence)))
     tails = tails.select(*keys, F.right(F.col(sequence), F.col(end).cast("int")).alias("_tail"))
-    sizes = tails.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reads"), F.floor(F.median(F.length("_tail"))).cast("int").alias("_width")).where(F.col("n_reads") >= least)
+    lengths = tails.groupBy(*keys, F.length("_tail").alias("_length")).agg(F.count(F.lit(1)).alias("_n"))  # so the median takes each length once
+    sizes = lengths.groupBy(*keys).agg(F.sum("_n").alias("n_reads"), F.floor(F.percentile("_length", 0.5, F.col("_n"))).cast("int").alias("_width")).where(F.col("n_reads") >= least)
     if most:
         sizes = sizes.withColumn("_width", F.least("_width", F.lit(most)))
-    # A position is taken for the groups that stay, and only up to their width
-    letters = tails.join(sizes, keys).select(*keys, "_width", F.posexplode(F.split(F.substr("_tail", F.lit(1), F.col("_width")), "")).alias("_at", "_base"))
-    votes = letters.where(F.col("_base").isin("A", "C", "G", "T")).groupBy(*keys, "_at", "_base").agg(F.count(F.lit(1)).alias("_n"))
-    best = votes.groupBy(*keys, "_at").agg(F.max_by("_base", F.struct("_n", -F.ascii("_base"))).alias("_base"))
-    joined = best.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_base"))).alias("_bases"))
-    places = F.when(F.col("_width") > 0, F.sequence(F.lit(0), F.col("_width") - 1)).otherwise(F.array().cast("array<int>"))
-    text = F.array_join(F.transform(places, lambda k: F.coalesce(F.try_element_at("_bases", k), F.lit("-"))), "")
+    cut = tails.join(sizes, keys).select(*keys, F.substr("_tail", F.lit(1), F.col("_width")).alias("_tail"))
+    base = np.frombuffer(b"ACGT-", np.uint8)
+
+    def voted(first: int, counts: np.ndarray) -> list[pa.Array]:
+        best = np.where(counts.any(axis=1), counts.argmax(axis=1), 4)  # the first of equal ones
+        return [pa.array([first]), pa.array([base[best].tobytes().decode()])]
+
+    texts = positions.folded(cut, keys, ["_tail"], positions.base_counts("_tail"), 4, voted, "_first bigint, _text string")
+    joined = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_text"))), lambda x: x["_text"]), "").alias("_bases"))
+    text = F.rpad(F.coalesce("_bases", F.lit("")), F.col("_width"), F.lit("-"))
     return sizes.join(joined, keys, "left").select(*keys, "n_reads", F.col("_width").alias("length_bp"), text.alias("consensus"))
 
 
@@ -193,13 +201,14 @@ def composition_trace(spans: DataFrame, reads: DataFrame, keys: list[str], min_c
     reads: keys, length; spans: keys, start, stop. Positions need more than min_cov reads, and keys more than min_len such
     positions.
     """
-    from strandmill.operators.intervals import coverage_runs
+    own = [reads.select(*keys, F.lit("den").alias("_kind"), F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("stop")), spans.select(*keys, F.lit("num").alias("_kind"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))]
+
+    def shares(first: int, counts: np.ndarray) -> list[pa.Array]:
+        at = np.flatnonzero(counts[:, 0] > min_cov)
+        return [pa.array(first + at), pa.array(counts[at, 0]), pa.array(counts[at, 1])]
 
-    kinds = {"den": reads.select(*keys, F.lit("den").alias("_kind"), F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("stop")), "num": spans.select(*keys, F.lit("num").alias("_kind"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))}
-    runs = coverage_runs(kinds["den"].unionByName(kinds["num"]).where("stop > start"), [*keys, "_kind"]).where("depth > 0")
-    steps = runs.select(*keys, "_kind", "depth", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
-    pick = lambda kind: F.sum(F.when(F.col("_kind") == kind, F.col("depth")).otherwise(0)).alias(kind)
-    full = steps.groupBy(*keys, "pos").agg(*map(pick, kinds)).where(F.col("den") > min_cov)
+    steps = positions.coverage(keys, "start", "stop", "_kind", ["den", "num"])
+    full = positions.folded(own[0].unionByName(own[1]).where("stop > start"), keys, ["_kind", "start", "stop"], steps, 2, shares, "pos bigint, den bigint, num bigint")
     full = full.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") > min_len)
     return full.groupBy("pos").agg(F.avg(F.col("num") / F.col("den")).alias("value"), F.count(F.lit(1)).alias("n"))
 

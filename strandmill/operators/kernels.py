@@ -12,33 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.functions.sequence import MINUS, PLUS, rotations
+from strandmill.functions.sequence import MINUS, PLUS
 
 CANONICAL = (MINUS, PLUS)
 
 
-def runs(mask: np.ndarray) -> list[dict]:
-    """start and length of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
-
-
-def disrupted_spans(text: str | None) -> list[dict]:
-    """Runs that fewer than six rotations of the strand's hexamer cover, but for the hexamer itself."""
-    text = (text or "").upper()
-    found = {m: [x.start() for x in re.finditer(f"(?=(?:{'|'.join(rotations(m))}))", text)] for m in (PLUS, MINUS)}
-    motif = PLUS if len(found[PLUS]) >= len(found[MINUS]) else MINUS
-    if not found[motif]:
-        return []
-    steps = np.zeros(len(text) + 6, np.int64)
-    np.add.at(steps, found[motif], 1)
-    np.add.at(steps, np.array(found[motif]) + 6, -1)
-    depth = np.cumsum(steps)[: len(text)]
-    for m in re.finditer(motif, text):
-        depth[m.start() : m.end()] = 6
-    return runs(depth < 6)
-
-
 def kmer_codes(text: str, k: int = 6) -> np.ndarray:
     """Two bits a base; windows with another letter are left out."""
     code = np.full(256, -1, np.int64)
@@ -50,46 +28,124 @@ def kmer_codes(text: str, k: int = 6) -> np.ndarray:
     return (windows @ (4 ** np.arange(k - 1, -1, -1)))[(windows >= 0).all(axis=1)]
 
 
-def local_scores(a: np.ndarray, b: np.ndarray, caps: list[int], k: int = 6) -> dict[int, float]:
-    """Local alignment of k-mer lists, normalised, of the prefixes that each cap in bases allows.
+STACK = 65_536  # cells of a diagonal that are swept at once
+
+
+def local_scores(pairs: list[tuple[np.ndarray, np.ndarray]], caps: list[int], k: int = 6) -> np.ndarray:
+    """Pairs x caps: local alignments of lists of k-mer codes, normalised, of the prefixes that each cap in bases allows.
+
+    A match is 2, a mismatch -1, a gap -2 a k-mer; two k-mers of which one is the repeat hexamer score 0. Pairs of like length are
+    stacked and swept together by diagonals, of which a cell needs the last two only. The best score of a cap is that of all cells
+    whose later k-mer lies within the cap, so the best of each place answers all of them.
+    """
+    reach = max((c - k + 1 for c in caps), default=0)
+    out = np.zeros((len(pairs), len(caps)))
+    cut = [(a[: max(reach, 0)], b[: max(reach, 0)]) for a, b in pairs]
+    order = sorted((i for i, (a, b) in enumerate(cut) if len(a) and len(b)), key=lambda i: (len(cut[i][0]), len(cut[i][1])))
+    while order:
+        many = max(STACK // max(len(cut[order[-1]][0]), 1), 1)
+        some, order = order[-many:], order[:-many]
+        best = _swept([cut[i] for i in some], k)
+        for column, cap in enumerate(caps):
+            m = cap - k + 1
+            if m > 0:
+                ideal = np.array([2 * min(len(cut[i][0]), len(cut[i][1]), m) for i in some])
+                out[some, column] = np.minimum(best[min(m, len(best)) - 1] / ideal, 1.0)
+    return out
+
+
+def _swept(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """Places x pairs: the best score of the cells whose larger place, in either list, is at most so large."""
+    tall, wide, n = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs), len(pairs)
+    names, codes = np.unique(np.concatenate([x for p in pairs for x in p]), return_inverse=True)
+    kind = np.int16 if 2 * (tall + wide + min(tall, wide)) + 8 < 1 << 15 and 4 * (len(names) + 4) < 1 << 15 else np.int32
+    quiet = np.isin(names, np.concatenate([kmer_codes(c[:k], k) for c in CANONICAL]))
+    # Codes are multiples of 4, so those that differ do so by 3 at least; a place past the end of a list matches nothing
+    a, b = np.full((tall, n), 4 * len(names), kind), np.full((wide, n), 4 * (len(names) + 1), kind)
+    most_a, most_b = np.full((tall, n), 3, kind), np.full((wide, n), 3, kind)  # what a match's score falls by at most: 2 beside the repeat
+    at = 0
+    for p, (x, y) in enumerate(pairs):
+        for size, full, most, mark in ((len(x), a, most_a, len(names) + 2), (len(y), b, most_b, len(names) + 3)):
+            own = codes[at : at + size]
+            full[:size, p] = 4 * np.where(quiet[own], mark, own)
+            most[:size, p] -= quiet[own]
+            at += size
+    b, most_b = np.ascontiguousarray(b[::-1]), np.ascontiguousarray(most_b[::-1])
+    # Cells hold their score plus twice the number of their diagonal, so a gap costs nothing and a match gains 6
+    last, before, now = np.full((tall + 1, n), 2, kind), np.zeros((tall + 1, n), kind), np.zeros((tall + 1, n), kind)
+    best, other = np.zeros((max(tall, wide) + 1, n), kind), np.empty((tall + 1, n), kind)
+    for d in range(2, tall + wide + 1):  # cells (i, d - i), counted from 1
+        low, high = max(1, d - wide), min(tall, d - 1)
+        own, turned = slice(low - 1, high), slice(wide - d + low, wide - d + high + 1)
+        here, cells = other[low : high + 1], now[low : high + 1]
+        np.bitwise_xor(a[own], b[turned], out=here)
+        np.minimum(here, most_a[own], out=here)
+        np.minimum(here, most_b[turned], out=here)
+        np.subtract(before[low - 1 : high], here, out=here)
+        here += 6
+        np.maximum(last[low : high + 1], last[low - 1 : high], out=cells)
+        np.maximum(cells, here, out=cells)
+        np.maximum(cells, 2 * d, out=cells)
+        now[0] = 2 * d
+        if d <= tall:
+            now[d] = 2 * d
+        np.subtract(cells, 2 * d, out=here)
+        half = max((d + 1) // 2, low)  # from here on the place in the first list is the larger one
+        if high >= half:
+            np.maximum(best[half : high + 1], other[half : high + 1], out=best[half : high + 1])
+        top = min((d + 1) // 2 - 1, high)
+        if top >= low:
+            rows = best[d - top : d - low + 1]
+            np.maximum(rows, other[low : top + 1][::-1], out=rows)
+        before, last, now = last, now, before
+    return np.maximum.accumulate(best[1:], axis=0)
+
+
+def code_type(k: int) -> type:
+    return np.int16 if k < 8 else np.int32 if k < 16 else np.int64
+
+
+def kmer_column_udf(k: int = 6):
+    """A pandas UDF of sequences: their k-mer codes as bytes; null counts as empty."""
+
+    @F.pandas_udf(T.BinaryType())
+    def codes(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: kmer_codes(t or "", k).astype(code_type(k)).tobytes())
+
+    return codes
+
+
+def common_kmers(a: np.ndarray, b: np.ndarray, k: int = 6) -> int:
+    """How many k-mers two lists have in common, repeated ones as often as both have them, the repeat hexamer not counted.
+
+    An alignment matches no more of them, so its score is at most twice as many.
+    """
+    x, m = np.unique(a, return_counts=True)
+    y, n = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    loud = ~np.isin(x[i], np.concatenate([kmer_codes(c[:k], k) for c in CANONICAL]))
+    return int(np.minimum(m[i], n[j])[loud].sum())
+
+
+def similarity_udf(caps: list[int], k: int = 6, at: int | None = None, cut: float = 0.0):
+    """A pandas UDF of two columns of k-mer codes: map of cap to similarity.
 
-    A match is 2, a mismatch -1, a gap -2 a k-mer; a pair with the repeat hexamer on either side is 0. The best score in
-    a rectangle of prefixes is all that a cap needs, so one pass over the longest answers all of them.
+    With at, one of the caps, pairs whose common k-mers can't give a similarity of cut there are null, and are not aligned.
     """
-    canon = np.concatenate([kmer_codes(c[:k], k) for c in CANONICAL])
-    sizes = {c: (int(np.clip(c - k + 1, 0, len(a))), int(np.clip(c - k + 1, 0, len(b)))) for c in caps}
-    tall, wide = max((s[0] for s in sizes.values()), default=0), max((s[1] for s in sizes.values()), default=0)
-    a, b = a[:tall], b[:wide]
-    quiet_a, quiet_b = np.isin(a, canon), np.isin(b, canon)
-    kind = np.int16 if 4 * max(wide, 1) < 1 << 15 else np.int32  # what scores and gaps add up to
-    gaps = (2 * np.arange(wide)).astype(kind)
-    row, best, held = np.zeros(wide + 1, kind), np.zeros(wide, kind), {0: np.zeros(wide, kind)}
-    now, other = np.empty(wide, kind), np.empty(wide, kind)
-    wanted = {s[0] for s in sizes.values()}
-    scores: dict[int, np.ndarray] = {}
-    for i in range(tall):
-        if (score := scores.get(int(a[i]))) is None:
-            score = scores[int(a[i])] = np.where(quiet_a[i] | quiet_b, 0, np.where(b == a[i], 2, -1)).astype(kind)
-        np.add(row[:-1], score, out=now)
-        np.subtract(row[1:], 2, out=other)
-        np.maximum(now, other, out=now)
-        np.maximum(now, 0, out=now)
-        now += gaps
-        np.maximum.accumulate(now, out=other)
-        np.subtract(other, gaps, out=row[1:])
-        np.maximum(best, row[1:], out=best)
-        if i + 1 in wanted:
-            held[i + 1] = np.maximum.accumulate(best)
-    return {c: min(1.0, float(held[ia][jb - 1]) / (2 * min(ia, jb))) if ia and jb else 0.0 for c, (ia, jb) in sizes.items()}
-
-
-def similarity_udf(caps: list[int], k: int = 6):
-    """A pandas UDF of two sequences: map of cap to similarity."""
+
+    def bound(a: np.ndarray, b: np.ndarray) -> float:
+        m = at - k + 1
+        a, b = a[: max(m, 0)], b[: max(m, 0)]
+        return common_kmers(a, b, k) / min(len(a), len(b)) if len(a) and len(b) else 0.0
 
     @F.pandas_udf(T.MapType(T.IntegerType(), T.DoubleType()))
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        codes = {t: kmer_codes(t or "", k) for t in {*x, *y}}
-        return pd.Series([local_scores(codes[a], codes[b], caps, k) for a, b in zip(x, y)])
+        pairs = [(np.frombuffer(a, code_type(k)), np.frombuffer(b, code_type(k))) for a, b in zip(x, y)]
+        some = [i for i, p in enumerate(pairs) if at is None or bound(*p) >= cut]
+        out: list[dict | None] = [None] * len(pairs)
+        for i, row in zip(some, local_scores([pairs[i] for i in some], caps, k).tolist()):
+            out[i] = dict(zip(caps, row))
+        return pd.Series(out)
 
     return similarity
 
@@ -329,15 +385,3 @@ def cluster_groups(pairs: DataFrame, by: str, threshold: float) -> DataFrame:
 
     kind = dict(pairs.dtypes)
     return pairs.select(by, "label_i", "label_j", F.col("sim").cast("double").alias("sim")).groupBy(by).applyInPandas(run, f"`{by}` {kind[by]}, label {kind['label_i']}, cluster long, leaf long")
-
-
-def fragments(text: str, k: int = 6) -> list[dict]:
-    """The text in pieces of k letters from its start, equal neighbours as one: start, length, fragment."""
-    out: list[dict] = []
-    for i in range(0, len(text), k):
-        piece = text[i : i + k]
-        if out and out[-1]["fragment"] == piece:
-            out[-1]["length"] += len(piece)
-        else:
-            out.append({"start": i, "length": len(piece), "fragment": piece})
-    return out

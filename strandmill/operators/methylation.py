@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence
+from strandmill.operators import positions
 
 
 def call_positions(text: str, strand: str, trim_ends: int = 1) -> Column:
@@ -62,41 +65,50 @@ def of_label(df: DataFrame, chrom: str, name: str, arm: str | None = None, assig
     return df.where(own & F.col(assignment).endswith(arm) if arm else own)
 
 
-def _bases(seq: str, base: Column) -> Column:
-    """The positions of a base in a sequence."""
-    places = F.transform(F.split(F.col(seq), ""), lambda b, k: F.when(b == base, k))
-    return F.array_compact(places)
-
-
 def target_base(seq: str, calls: str) -> Column:
     """The base at the molecule's first call within the sequence; null where there is no call in it."""
     first = F.array_min(F.filter(calls, lambda p: p >= 0))
     return F.nullif(F.substr(F.col(seq), first + 1, F.lit(1)), F.lit(""))
 
 
-def positional_rate(df: DataFrame, keys: list[str], seq: str, calls: str, base: str | None = "A") -> DataFrame:
-    """keys, pos, calls, targets over all molecules: each position's calls on the base, and its bases. Without a base, each
-    molecule's own target base counts, and molecules without calls don't.
+def positional_rate(df: DataFrame, keys: list[str], seq: str, calls: str, base: str | None = None) -> DataFrame:
+    """keys, pos, calls, targets over all molecules: each position's calls on the target base, and its target bases.
 
-    A molecule gives a row for each base and for each call of it; no call is looked up for a base.
+    The target is each molecule's own, the base at its first call, and molecules without calls don't count; or base, for all alike.
     """
     rows = df.withColumn("_target", F.lit(base) if base else target_base(seq, calls)).where("_target IS NOT NULL")
-    hits = F.filter(F.array_distinct(calls), lambda p: (p >= 0) & (F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
-    row = lambda n: lambda p: F.struct(p.cast("int").alias("pos"), F.lit(n).alias("hit"))
-    each = rows.select(*keys, F.explode(F.concat(F.transform(_bases(seq, F.col("_target")), row(0)), F.transform(hits, row(1)))).alias("e"))
-    return each.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.hit").alias("calls"), F.count_if(F.col("e.hit") == 0).alias("targets"))
-
-
-def binned_rate(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, width: int = 50, base: str | None = "A") -> DataFrame:
-    """keys, bin, rate: each sample's mean over its molecules of calls by bases in bins, and of these the median. Without a base,
-    each molecule's own target base counts, and molecules without calls don't."""
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_target", F.lit(base) if base else target_base(seq, calls)).where("_target IS NOT NULL")
-    hits = F.filter(F.array_distinct(calls), lambda p: (p >= 0) & (F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
-    row = lambda bin_, own, hit: F.struct(bin_.cast("long").alias("bin"), own.cast("int").alias("own"), hit.cast("int").alias("hit"))
-    of_bins = F.transform(_bin_list(seq, width), lambda b: row(b, _own(seq, b, width), F.lit(0)))
-    each = rows.select(*keys, sample, "_id", F.explode(F.concat(of_bins, F.transform(hits, lambda p: row(F.floor(p / width), F.lit(0), F.lit(1))))).alias("e"))
-    molecule = each.groupBy(*keys, sample, "_id", F.col("e.bin").alias("bin")).agg(F.try_divide(F.sum("e.hit"), F.sum("e.own")).alias("_r"))
-    return molecule.groupBy(*keys, sample, "bin").agg(F.avg("_r").alias("_m")).where("_m IS NOT NULL").groupBy(*keys, "bin").agg(F.median("_m").alias("rate"))
+    counts = positions.call_counts("_seq", "_calls", "_target")
+    slim = rows.select(*keys, F.col(seq).alias("_seq"), F.col(calls).cast("array<int>").alias("_calls"), "_target")
+
+    def places(first: int, sums: np.ndarray) -> list[pa.Array]:
+        at = np.flatnonzero(sums[:, 1])
+        return [pa.array((first + at).astype(np.int32)), pa.array(sums[at, 0]), pa.array(sums[at, 1])]
+
+    return positions.folded(slim, keys, ["_seq", "_calls", "_target"], counts, 2, places, "pos int, calls bigint, targets bigint")
+
+
+def binned_rate(df: DataFrame, keys: list[str], sample: str, seq: str, calls: str, width: int = 50, base: str | None = None) -> DataFrame:
+    """keys, bin, rate: each sample's mean over its molecules of calls by target bases in bins, and of these the median.
+
+    The target is each molecule's own, the base at its first call, and molecules without calls don't count; or base, for all alike.
+    A molecule's bins are made within its row, so nothing tells molecules apart but their rows.
+    """
+    rows = df.withColumn("_target", F.lit(base) if base else target_base(seq, calls)).where("_target IS NOT NULL")
+    on_base = F.filter(F.array_distinct(calls), lambda p: (p >= 0) & (F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
+    rows = rows.withColumn("_hits", _tally(F.transform(on_base, lambda p: F.floor(p / width))))
+    of_bins = F.transform(_bin_list(seq, width), lambda b: F.struct(b.cast("long").alias("bin"), F.try_divide(_of(F.col("_hits"), b), _own(seq, b, width)).alias("rate")))
+    molecule = rows.select(*keys, sample, F.explode(of_bins).alias("e")).select(*keys, sample, "e.*")
+    return molecule.groupBy(*keys, sample, "bin").agg(F.avg("rate").alias("_m")).where("_m IS NOT NULL").groupBy(*keys, "bin").agg(F.median("_m").alias("rate"))
+
+
+def _tally(bins: Column) -> Column:
+    """How often each number of an array occurs, as a map."""
+    step = lambda m, b: F.map_concat(F.map_filter(m, lambda k, _: k != b), F.create_map(b, F.coalesce(F.try_element_at(m, b), F.lit(0)) + 1))
+    return F.aggregate(F.transform(bins, lambda b: b.cast("int")), F.create_map().cast("map<int,int>"), step)
+
+
+def _of(counts: Column, bin_: Column) -> Column:
+    return F.coalesce(F.try_element_at(counts, bin_), F.lit(0))
 
 
 def _bin_list(seq: str, width: int) -> Column:

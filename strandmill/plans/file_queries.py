@@ -6,38 +6,17 @@ unset, to a temporary one. They are deleted when the application ends.
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.plans.derived import READS, ctes, reads, relation, table
 from strandmill.plans.register import registry
 from strandmill.sources import bam, readers, schemas, sinks
+from strandmill.storage import scratch
 
 QUERIES, ORACLES, query = registry()
 
 
-@functools.cache
-def _local(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local(spark.sparkContext.applicationId)
-    path = f"{root}/strandmill/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def _lines(df: DataFrame, columns: list, path: str, head: str | None = None, gzip: bool = False) -> str:
     """Tab-separated lines of the columns as text files; each begins with the head line, if there is one."""
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in columns))

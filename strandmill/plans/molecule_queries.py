@@ -16,15 +16,16 @@ _SITES = "concat('m', user_id % 60, ',m', event_id % 60) AS names, concat(CAST(f
 
 
 def _called(spark, sf) -> DataFrame:
-    """Telomere reads with calls at every fifth A of the telomere, by the read's id."""
+    """Telomere reads with calls at every fifth A of the telomere, by the read's id; at every fifth T for a quarter of the reads."""
     rows = telomere_reads(spark, sf)
-    found = F.transform(F.split("telo", ""), lambda base, k: F.when((base == "A") & ((k + F.col("id")) % 5 == 0), k))
+    found = F.transform(F.split("telo", ""), lambda base, k: F.when((base == F.when(F.col("id") % 4 == 1, "T").otherwise("A")) & ((k + F.col("id")) % 5 == 0), k))
     return rows.withColumn("calls", F.array_compact(found))
 
 
-_CALLED = f"""{READS}, t AS (SELECT id, sample, assignment, right(seq, CAST(least(qend, length(seq)) AS INT)) AS head FROM reads WHERE qend >= 100),
-p AS (SELECT id, sample, assignment, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
-a AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = 'A')"""
+_TARGET = "CASE WHEN id % 4 = 1 THEN 'T' ELSE 'A' END"
+_CALLED = f"""{READS}, t AS (SELECT id, sample, assignment, tech, right(seq, CAST(least(qend, length(seq)) AS INT)) AS head FROM reads WHERE qend >= 100),
+p AS (SELECT id, sample, assignment, tech, k, substr(head, CAST(k + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, length(head))) AS k FROM t)),
+o AS (SELECT *, (k + id) % 5 = 0 AS called FROM p WHERE base = {_TARGET}), a AS (SELECT * FROM o WHERE id IN (SELECT id FROM o WHERE called))"""
 
 
 @query(f"""WITH e AS (SELECT event_type, {_SITES} FROM events),
@@ -85,9 +86,10 @@ def positional_rate(spark, sf):
     return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls")
 
 
-@query(ORACLES["positional_rate"])
+@query(ORACLES["positional_rate"].replace("assignment, CAST", "sample, CAST"))
 def positional_rate_whole(spark, sf):
-    return methylation.positional_rate(_called(spark, sf), ["assignment"], "telo", "calls", base=None)
+    """By sample over all ends."""
+    return methylation.positional_rate(_called(spark, sf), ["sample"], "telo", "calls")
 
 
 @query(f"""WITH {_CALLED}, g AS (SELECT k, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1)
@@ -97,10 +99,12 @@ def rolling_ratio(spark, sf):
     return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
 
 
-@query(ORACLES["rolling_ratio"])
+@query(f"""WITH {_CALLED}, g AS (SELECT sample, k, count_if(called) AS calls, count(*) AS targets FROM a GROUP BY 1, 2)
+SELECT sample, CAST(k AS INT) AS pos, round(sum(calls) OVER w / nullif(sum(targets) OVER w, 0), 6) AS ratio FROM g WINDOW w AS (PARTITION BY sample ORDER BY k ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def rolling_ratio_whole(spark, sf):
-    rates = methylation.positional_rate(_called(spark, sf), [], "telo", "calls", base=None).withColumn("all", F.lit(0))
-    return aggregates.rolling_ratio(rates, ["all"], "pos", "calls", "targets", 100).select("pos", F.round("ratio", 6).alias("ratio"))
+    """By sample, over ten positions."""
+    rates = methylation.positional_rate(_called(spark, sf), ["sample"], "telo", "calls")
+    return aggregates.rolling_ratio(rates, ["sample"], "pos", "calls", "targets", 10).select("sample", "pos", F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"""WITH {_CALLED}, m AS (SELECT assignment, sample, id, k // 50 AS bin, count_if(called) / count(*) AS r FROM a GROUP BY 1, 2, 3, 4),
@@ -110,9 +114,10 @@ def binned_rate(spark, sf):
     return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls").select("assignment", "bin", F.round("rate", 6).alias("rate"))
 
 
-@query(ORACLES["binned_rate"])
+@query(ORACLES["binned_rate"].replace("SELECT assignment, ", "SELECT tech, ").replace("k // 50", "k // 250"))
 def binned_rate_whole(spark, sf):
-    return methylation.binned_rate(_called(spark, sf), ["assignment"], "sample", "telo", "calls", base=None).select("assignment", "bin", F.round("rate", 6).alias("rate"))
+    """By technology, in bins of 250 bases."""
+    return methylation.binned_rate(_called(spark, sf), ["tech"], "sample", "telo", "calls", 250).select("tech", "bin", F.round("rate", 6).alias("rate"))
 
 
 @query()
@@ -124,21 +129,26 @@ def binned_variant_rates(spark, sf):
 _MOTIFS = ["TTAGGG", "TGAGGG", "TTGGGG", "CCCTAA", "CCCTCA", "CCCCAA"]
 
 
-@query(f"""WITH {_CALLED}, x AS (SELECT t.*, m.motif FROM t CROSS JOIN (SELECT unnest({_MOTIFS}) AS motif) m),
-s AS (SELECT id, sample, motif, unnest(string_split(head, motif)) AS piece, generate_subscripts(string_split(head, motif), 1) AS k, len(string_split(head, motif)) AS n FROM x),
-h AS (SELECT id, sample, motif, k, n, sum(length(piece) + 6) OVER (PARTITION BY id, motif ORDER BY k) - 6 AS at FROM s),
+def _motif_counts(by: str) -> str:
+    return f"""WITH {_CALLED}, x AS (SELECT t.*, m.motif FROM t CROSS JOIN (SELECT unnest({_MOTIFS}) AS motif) m),
+s AS (SELECT id, {by}, motif, unnest(string_split(head, motif)) AS piece, generate_subscripts(string_split(head, motif), 1) AS k, len(string_split(head, motif)) AS n FROM x),
+h AS (SELECT id, {by}, motif, k, n, sum(length(piece) + 6) OVER (PARTITION BY id, motif ORDER BY k) - 6 AS at FROM s),
 c AS (SELECT h.*, EXISTS (SELECT 1 FROM a WHERE a.id = h.id AND a.called AND a.k >= h.at AND a.k < h.at + 6) AS meth FROM h WHERE k < n),
-b AS (SELECT DISTINCT sample, motif FROM x)
-SELECT b.sample, b.motif, CAST(coalesce(count_if(c.meth), 0) AS BIGINT) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.sample = c.sample AND b.motif = c.motif GROUP BY 1, 2""")
+b AS (SELECT DISTINCT {by}, motif FROM x)
+SELECT b.{by}, b.motif, CAST(coalesce(count_if(c.meth), 0) AS BIGINT) AS meth, count(c.at) AS total FROM b LEFT JOIN c ON b.{by} = c.{by} AND b.motif = c.motif GROUP BY 1, 2"""
+
+
+@query(_motif_counts("sample"))
 def motif_call_counts(spark, sf):
     out = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
     return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
 
 
-@query(ORACLES["motif_call_counts"])
+@query(_motif_counts("assignment"))
 def motif_call_counts_whole(spark, sf):
-    out = methylation.motif_counts(_called(spark, sf), "sample", "telo", "calls", _MOTIFS)
-    return out.select("sample", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
+    """By chromosome end."""
+    out = methylation.motif_counts(_called(spark, sf), "assignment", "telo", "calls", _MOTIFS)
+    return out.select("assignment", "motif", F.col("meth").cast("long").alias("meth"), F.col("total").cast("long").alias("total"))
 
 
 @query(f"""WITH n AS ({ORACLES["motif_call_counts"]}), g AS (SELECT motif, sum(meth) / nullif(sum(total), 0) AS base FROM n GROUP BY 1),
@@ -151,13 +161,13 @@ def motif_ratios(spark, sf):
     return methylation.motif_ratios(counts, genome, "sample").select("sample", "motif", F.round("ratio", 6).alias("ratio"), F.round("normalised", 6).alias("normalised"))
 
 
-@query(f"""WITH {SPANS}, t AS (SELECT id, sample, telo FROM telos WHERE length(telo) >= 1000),
-k AS (SELECT id, p FROM (SELECT id, telo, unnest(range(1, length(telo))) AS p FROM t) WHERE substr(telo, CAST(p + 1 AS INT), 1) = 'A' AND (p + id) % 5 = 0),
+@query(f"""WITH {SPANS}, t AS (SELECT id, sample, telo, {_TARGET} AS own FROM telos WHERE length(telo) >= 1000),
+k AS (SELECT id, p FROM (SELECT id, telo, own, unnest(range(1, length(telo))) AS p FROM t) WHERE substr(telo, CAST(p + 1 AS INT), 1) = own AND (p + id) % 5 = 0),
 n AS (SELECT id, start, length, piece, row_number() OVER (PARTITION BY id ORDER BY start) AS rn, count(*) OVER (PARTITION BY id) AS c FROM spans),
-u AS (SELECT * FROM n WHERE rn > 1 AND rn < c AND contains(piece, 'A')),
+u AS (SELECT *, {_TARGET} AS base FROM n WHERE rn > 1 AND rn < c AND contains(piece, {_TARGET})),
 h AS (SELECT k.id, count(*) AS hit FROM k JOIN u ON k.id = u.id AND k.p >= u.start AND k.p < u.start + u.length GROUP BY 1),
-o AS (SELECT id, sum(length - length(replace(piece, 'A', ''))) AS own FROM u GROUP BY 1), a AS (SELECT id, count(*) AS calls FROM k GROUP BY 1),
-m AS (SELECT t.sample, a.calls, coalesce(hit, 0) AS hit, coalesce(own, 0) AS own, length(telo) - length(replace(telo, 'A', '')) AS total
+o AS (SELECT id, sum(length - length(replace(piece, base, ''))) AS own FROM u GROUP BY 1), a AS (SELECT id, count(*) AS calls FROM k GROUP BY 1),
+m AS (SELECT t.sample, a.calls, coalesce(hit, 0) AS hit, coalesce(o.own, 0) AS own, length(telo) - length(replace(telo, t.own, '')) AS total
       FROM t LEFT JOIN a ON t.id = a.id LEFT JOIN h ON t.id = h.id LEFT JOIN o ON t.id = o.id)
 SELECT sample, count(*) AS n, round(avg(CASE WHEN calls > 0 AND own > 0 THEN hit / own END), 6) AS inside, round(avg(CASE WHEN calls > 0 AND total > own THEN (calls - hit) / (total - own) END), 6) AS outside FROM m GROUP BY 1""")
 def variant_call_rates(spark, sf):

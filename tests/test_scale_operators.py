@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import sequence
 from strandmill.operators import aggregates, intervals, kernels, methylation, pairwise, stats
+from tests import plain
 
 
 def random_intervals(seed, n, most=400, reach=60):
@@ -96,8 +97,8 @@ def test_disruption_and_fragments_as_expressions(spark):
     texts += ["".join(rnd.choice(["TTAGGG", "TTAGGG", "TGAGGG", "A", "CCCTAA", "GGG"]) for _ in range(rnd.randint(1, 30))) for _ in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sequence.phase_disruption("t").alias("d"), sequence.merged_fragments("t").alias("f"))
     for r in df.collect():
-        assert [(x.start, x.length) for x in r.d] == [(x["start"], x["length"]) for x in kernels.disrupted_spans(r.t)], r.t
-        assert [tuple(x) for x in r.f] == [(x["start"], x["length"], x["fragment"]) for x in kernels.fragments(r.t)], r.t
+        assert [(x.start, x.length) for x in r.d] == plain.disrupted_spans(r.t), r.t
+        assert [tuple(x) for x in r.f] == plain.fragments(r.t), r.t
 
 
 def test_linkage_equals_the_search_of_the_whole_matrix():

@@ -24,7 +24,7 @@ def test_consensus_has_every_column(spark):
         if 0 < r.qend <= len(r.seq):
             tails[r.assignment].append(r.seq[-r.qend :])
     want = {k: (len(v), int(median(map(len, v))), voted(v)) for k, v in tails.items() if len(v) >= 3}
-    got = {r.assignment: (r.n_reads, r.length_bp, r.consensus) for r in catalog.QUERIES["telomere_consensus_whole"](spark, sf).collect()}
+    got = {r.assignment: (r.n_reads, r.length_bp, r.consensus) for r in catalog.QUERIES["telomere_consensus"](spark, sf).collect()}
     assert got == want and min(len(x[2]) for x in got.values()) > 2000
 
 
