@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -385,3 +386,63 @@ def cluster_groups(pairs: DataFrame, by: str, threshold: float) -> DataFrame:
 
     kind = dict(pairs.dtypes)
     return pairs.select(by, "label_i", "label_j", F.col("sim").cast("double").alias("sim")).groupBy(by).applyInPandas(run, f"`{by}` {kind[by]}, label {kind['label_i']}, cluster long, leaf long")
+
+
+def sparse_linkage(n: int, pairs: list[tuple[int, int, float]], threshold: float) -> list[tuple[int, int, float, int]]:
+    """Merges (left, right, distance, size) by mean similarity, the most alike first, down to threshold; absent pairs are 0.
+
+    As average_linkage, on the pairs alone: what two clusters have in common is the sum over their pairs, and adds up.
+    """
+    common: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, s in pairs:
+        common[i][j] = common[j][i] = s
+    size, heap, merges = [1] * n, [(-s, min(i, j), max(i, j)) for i, j, s in pairs], []
+    heapq.heapify(heap)
+    while heap:
+        value, i, j = heapq.heappop(heap)
+        if 1 + value > 1 - threshold:
+            break
+        if not common[i] or j not in common[i]:
+            continue  # one of them is part of a larger cluster by now
+        new, a, b = len(common), common[i], common[j]
+        common[i], common[j] = {}, {}
+        merges.append((i, j, 1 + value, size[i] + size[j]))
+        size.append(size[i] + size[j])
+        own: dict[int, float] = {}
+        for x in sorted((a.keys() | b.keys()) - {i, j}):
+            own[x] = a.get(x, 0.0) + b.get(x, 0.0)
+            common[x].pop(i, None)
+            common[x].pop(j, None)
+            common[x][new] = own[x]
+            heapq.heappush(heap, (-own[x] / (size[new] * size[x]), x, new))
+        common.append(own)
+    return merges
+
+
+def cluster_components(pairs: DataFrame, threshold: float) -> DataFrame:
+    """component, label, cluster (its least label), leaf of labels from pairs (component, label_i, label_j, sim), each of them once.
+
+    A component is a task's: its pairs, not the square of its labels.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        labels = sorted(set(group["label_i"]) | set(group["label_j"]))
+        at = {x: k for k, x in enumerate(labels)}
+        rows = [(at[a], at[b], float(s)) for a, b, s in zip(group["label_i"], group["label_j"], group["sim"])]
+        merges = sparse_linkage(len(labels), sorted(rows), threshold)
+        kids, inner = {len(labels) + k: m[:2] for k, m in enumerate(merges)}, {x for m in merges for x in m[:2]}
+        order, cluster = [], {}
+        for top in [x for x in range(len(labels) + len(merges)) if x not in inner]:
+            todo, own = [top], []
+            while todo:
+                x = todo.pop()
+                if x in kids:
+                    todo += [kids[x][1], kids[x][0]]
+                else:
+                    own.append(x)
+            cluster |= dict.fromkeys(own, labels[min(own)])
+            order += own
+        return pd.DataFrame({"component": group["component"].iloc[0], "label": [labels[x] for x in order], "cluster": [cluster[x] for x in order], "leaf": range(len(order))})
+
+    kind = dict(pairs.dtypes)
+    return pairs.select("component", "label_i", "label_j", "sim").groupBy("component").applyInPandas(run, f"component {kind['component']}, label {kind['label_i']}, cluster {kind['label_i']}, leaf long")

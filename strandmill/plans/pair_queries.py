@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import aggregates, kernels, pairwise, stats
 from strandmill.plans.derived import reads, table
 from strandmill.plans.register import registry
+from strandmill.storage import written
 
 QUERIES, ORACLES, query = registry()
 
@@ -109,6 +110,49 @@ def kmer_sw_similarity(spark, sf):
     return out.select("assignment", "label_i", "label_j", *(F.round(c, 6).alias(c) for c in (f"sim_t{cap}" for cap in _CAPS)))
 
 
+#: The caps over all ends.
+_GLOBAL_CAPS = list(range(50, 1500, 100))
+
+
+def _ends(spark, sf) -> DataFrame:
+    """A consensus for each contig and technology."""
+    made = aggregates.consensus(reads(spark, sf), ["assignment", "chrom", "tech"], "seq", "qend", least=1, most=max(_GLOBAL_CAPS))
+    return made.select("assignment", F.concat_ws("/", "chrom", "tech").alias("contig"), F.concat_ws("/", "assignment", "chrom", "tech").alias("label"), "consensus")
+
+
+def _end_pairs(spark, sf) -> DataFrame:
+    return pairwise.similar_pairs(_ends(spark, sf), _GLOBAL_CAPS, 250, 0.2, partitions=4 * spark.sparkContext.defaultParallelism)
+
+
+@query()
+def global_similarity(spark, sf):
+    """Pairs of ends, on any arms, that are alike by at least 0.2 over 250 bases, at all caps."""
+    wide = pairwise.widen(_end_pairs(spark, sf), _GLOBAL_CAPS)
+    return wide.select(*(f"{c}_{z}" for c in ("assignment", "contig", "label") for z in "ij"), *(F.round(f"sim_t{c}", 6).alias(f"sim_t{c}") for c in _GLOBAL_CAPS))
+
+
+@query()
+def global_clusters(spark, sf):
+    """Average linkage of these, over all arms at once."""
+    pairs = _end_pairs(spark, sf).select("label_i", "label_j", F.col("sim")[F.lit(250)].alias("sim"))
+    return pairwise.clusters_everywhere(pairs, 0.3)
+
+
+@query()
+def vector_clusters(spark, sf):
+    """Vectors of all classes, by the signs that they have in common with others of their class; classes are never a task's."""
+    return pairwise.clusters_everywhere(_pairs(spark, sf), 0.6)
+
+
+@query()
+def significant_global_clusters(spark, sf):
+    """Those of at least three ends on 2 to 12 arms."""
+    ends, _ = written(_ends(spark, sf), "consensus")
+    pairs, _ = written(pairwise.similar_pairs(ends, _GLOBAL_CAPS, 250, 0.2, partitions=4 * spark.sparkContext.defaultParallelism).select("label_i", "label_j", F.col("sim")[F.lit(250)].alias("sim")), "pairs")
+    out = pairwise.significant_everywhere(pairwise.clusters_everywhere(pairs, 0.25), ends.select("label", "assignment", "contig"), pairs, 3, 0.25)
+    return out.select("cluster", "members", "arms", "contigs", F.round("mean_sim", 6).alias("mean_sim"))
+
+
 @query()
 def upgma_clusters(spark, sf):
     return kernels.cluster_groups(_pairs(spark, sf), "assignment", 0.6)

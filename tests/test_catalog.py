@@ -8,10 +8,10 @@ def test_query_equals_its_sql(spark, sf_dir, same, name):
     same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name])
 
 
-#: What SQL doesn't say; tests/test_query_rows.py and tests/test_target_base.py hold their rows against plain versions.
+#: What SQL doesn't say; tests/test_query_rows.py and tests/test_target_base.py and tests/test_everywhere.py hold their rows against plain versions.
 WITHOUT_SQL = {
     "kmer_hash_scalars", "alignments_by_quality", "alignments_by_every_quality", "binned_variant_rates", "mean_autocorrelation", "trough_peak_rises",
-    "kmer_sw_similarity", "upgma_clusters", "significant_clusters", "significant_clusters_by_arm",
+    "kmer_sw_similarity", "global_similarity", "global_clusters", "vector_clusters", "significant_global_clusters", "upgma_clusters", "significant_clusters", "significant_clusters_by_arm",
 }
 
 
