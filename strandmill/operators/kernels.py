@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,54 +151,80 @@ def similarity_udf(caps: list[int], k: int = 6, at: int | None = None, cut: floa
     return similarity
 
 
-_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+_APART = 1 << 40  # between the places of one row and those of the next
 
 
-def interval_means(cigar: str | None, quality, pos: int | None, intervals) -> list[float]:
-    """Mean base quality of the read's bases in each interval that it touches, in the order of the intervals.
+def cigar_ops(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters (as bytes) and lengths of all operations of a column of CIGARs, and where each row's begin and end."""
+    text = pc.if_else(pc.equal(text, "*"), "", text).fill_null("").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data, np.uint8)[: at[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = np.flatnonzero(data > 0x39)
+    if not len(ends):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(len(text) + 1, np.int64)
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([-1], ends))))  # of each byte, the operation that it is part of
+    digit = np.where(data[: ends[-1] + 1] > 0x39, 0, data[: ends[-1] + 1].astype(np.int64) - 0x30)
+    places = ends[owner] - np.arange(ends[-1] + 1) - 1
+    lengths = np.bincount(owner, digit * 10.0 ** np.maximum(places, 0), len(ends)).astype(np.int64)
+    return data[ends], lengths, np.searchsorted(ends, at)
+
+
+def interval_means(cigar: pa.Array, quality: pa.Array, pos: pa.Array, intervals: pa.Array) -> pa.Array:
+    """Of each read, the mean base quality of its bases in each interval that it touches, in the order of the intervals.
 
     Matched bases count where they lie, inserted ones where the walk stands, and soft-clipped ones if the reference base
-    next to them lies in an interval; deleted bases have no quality.
+    next to them lies in an interval; deleted bases have no quality. Rows with a null have no means. Intervals (start, stop) are in order and apart.
     """
-    if not cigar or quality is None or pos is None or not len(intervals):
-        return []
-    ops = [(int(n), op) for n, op in _CIGAR.findall(cigar)]
-    soft = [k for k, (_, op) in enumerate(ops) if op == "S"]
-    aligned = [k for k, (_, op) in enumerate(ops) if op in "M=X"]
-    q = np.asarray(quality, float)
-    ref, read = pos, 0
-    total, n = np.zeros(len(intervals)), np.zeros(len(intervals), int)
-    begin, end = np.array([x["start"] for x in intervals]), np.array([x["stop"] for x in intervals])
-
-    def add(at: int, a: int, b: int) -> None:
-        for k in np.flatnonzero((begin <= at) & (at < end)):
-            total[k] += q[a:b].sum()
-            n[k] += b - a
-
-    for k, (size, op) in enumerate(ops):
-        if op in "M=X":
-            low, high = np.maximum(begin, ref), np.minimum(end, ref + size)
-            for j in np.flatnonzero(low < high):
-                a, b = read + int(low[j]) - ref, read + int(high[j]) - ref
-                total[j] += q[a:b].sum()
-                n[j] += b - a
-            ref, read = ref + size, read + size
-        elif op == "I":
-            add(ref, read, read + size)
-            read += size
-        elif op == "S":
-            left = k in soft and (not aligned or k < aligned[0])
-            add(ref if left else ref - 1, read, read + size)
-            read += size
-        elif op in "DN":
-            ref += size
-    return [float(t / c) for t, c in zip(total, n) if c]
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def mean_quality(cigar: pd.Series, quality: pd.Series, pos: pd.Series, intervals: pd.Series) -> pd.Series:
-    """Per read; quality is an array of numbers, intervals an array of (start, stop)."""
-    return pd.Series([interval_means(c, q, None if pd.isna(p) else int(p), [] if i is None else i) for c, q, p, i in zip(cigar, quality, pos, intervals)])
+    rows = len(cigar)
+    sound = pc.and_(pc.and_(cigar.is_valid(), quality.is_valid()), pc.and_(pos.is_valid(), intervals.is_valid())).to_numpy(zero_copy_only=False)
+    op, size, first = cigar_ops(pc.if_else(pa.array(sound), cigar, None))
+    row = np.repeat(np.arange(rows), np.diff(first))
+    ref_size, read_size = np.where(np.isin(op, list(b"MDN=X")), size, 0), np.where(np.isin(op, list(b"MIS=X")), size, 0)
+
+    def before(sizes: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        return total[:-1] - total[first[row]] if len(row) else total[:0]
+
+    ref, read = pos.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row] + before(ref_size), before(read_size)
+
+    quality, intervals = quality.fill_null([]), intervals.fill_null([])
+    q_first = np.concatenate(([0], np.cumsum(pc.list_value_length(quality).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    sums = np.concatenate(([0.0], np.cumsum(quality.flatten().cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False))))
+    many = pc.list_value_length(intervals).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = np.repeat(np.arange(rows), many)
+    begin, end = (own * _APART + pc.struct_field(intervals.flatten(), [f]).cast(pa.int64()).to_numpy(zero_copy_only=False) for f in ("start", "stop"))
+
+    matched = np.isin(op, list(b"M=X"))
+    low, high = row * _APART + ref, row * _APART + ref + size
+    a, b = np.searchsorted(end, low[matched], "right"), np.searchsorted(begin, high[matched], "left")  # the intervals that a match meets
+    meets = np.maximum(b - a, 0)
+    op_at, iv_at = np.repeat(np.flatnonzero(matched), meets), np.repeat(a - (np.cumsum(meets) - meets), meets) + np.arange(meets.sum())
+    start = np.maximum(begin[iv_at], low[op_at]) - low[op_at]
+    stop = np.minimum(end[iv_at], high[op_at]) - low[op_at]
+
+    aligned = np.full(rows, len(op))
+    np.minimum.at(aligned, row[matched], np.flatnonzero(matched))
+    clipped, inserted = op == ord("S"), op == ord("I")
+    point = low - (clipped & (np.arange(len(op)) > aligned[row]))  # a clip at the right end goes by the base before it
+    alone = np.flatnonzero(clipped | inserted)
+    held = np.searchsorted(begin, point[alone], "right") - 1
+    hit = (held >= 0) & (point[alone] < end[np.maximum(held, 0)]) & (own[np.maximum(held, 0)] == row[alone]) if len(begin) else np.zeros(len(alone), bool)
+    op_at, iv_at = np.concatenate((op_at, alone[hit])), np.concatenate((iv_at, held[hit])).astype(np.int64)
+    start, stop = np.concatenate((start, np.zeros(hit.sum(), np.int64))), np.concatenate((stop, size[alone[hit]]))
+
+    base, limit = q_first[row[op_at]] + read[op_at], q_first[row[op_at] + 1]
+    got = sums[np.minimum(base + stop, limit)] - sums[np.minimum(base + start, limit)]
+    total, n = np.bincount(iv_at, got, len(begin)), np.bincount(iv_at, stop - start, len(begin))
+    counted = n > 0
+    ends = np.concatenate(([0], np.cumsum(np.bincount(own[counted], minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(total[counted] / n[counted]))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def mean_quality(cigar: pa.Array, quality: pa.Array, pos: pa.Array, intervals: pa.Array) -> pa.Array:
+    """Per read; quality is an array of numbers, intervals an array of (start, stop), in order and apart."""
+    return interval_means(cigar, quality, pos, intervals)
 
 
 def autocorrelation(vector: np.ndarray, first: int = 5000, lag: int = 2000) -> np.ndarray | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -41,18 +42,35 @@ def normal_tail(z: Column) -> Column:
     return 0.5 * t * F.exp(poly - x * x)
 
 
-@functools.lru_cache(maxsize=4096)
-def u_counts(n1: int, n2: int) -> np.ndarray:
-    """In how many orders of n1 and n2 different values U is 0, 1, ..., n1 * n2."""
-    counts = np.ones(1)
-    for k in range(1, n1 + 1):  # the product of (1 - q^(n2 + k)) / (1 - q^k)
-        top = np.zeros(len(counts) + n2 + k)
-        top[: len(counts)] = counts
-        top[n2 + k :] -= counts
+@functools.cache
+def _numerator(n: int) -> tuple[int, list[int]]:
+    """period and c of 1 / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^n)) = c(q) / (1 - q^period)^(n + 1), with whole numbers."""
+    period, c = math.lcm(*range(1, n + 1)), [1]
+    for k in (1, *range(1, n + 1)):  # times (1 - q^period) / (1 - q^k): sums along each residue class of k
+        top = c + [0] * period
+        for i, x in enumerate(c):
+            top[period + i] -= x
         for i in range(k, len(top)):
             top[i] += top[i - k]
-        counts = top[: k * n2 + 1]
-    return counts
+        c = top[: len(c) + period - k]
+    return period, c
+
+
+def _at_most(n: int, m: int) -> int:
+    """How many partitions into at most n parts the numbers 0 to m have; exact, in as many steps as n for any m."""
+    if m < 0:
+        return 0
+    period, c = _numerator(n)
+    return sum(c[j] * math.comb((m - j) // period + n, n) for j in range(m % period, min(m, len(c) - 1) + 1, period))
+
+
+def u_at_most(n1: int, n2: int, u: int) -> int:
+    """In how many orders of n1 and n2 different values U is at most u; n1, the smaller number, is small, n2 may be any."""
+    terms = {0: 1}  # (1 - q^(n2 + 1)) ... (1 - q^(n2 + n1))
+    for k in range(1, n1 + 1):
+        for shift, x in list(terms.items()):
+            terms[shift + n2 + k] = terms.get(shift + n2 + k, 0) - x
+    return sum(x * _at_most(n1, u - shift) for shift, x in terms.items())
 
 
 @functools.lru_cache(maxsize=4096)
@@ -69,8 +87,8 @@ def exact_u(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     """Two-sided p of U without ties: twice the share of orders in which it is at least the larger of U and n1 n2 - U."""
     def one(a: float, b: float, x: float) -> float:
         a, b = int(min(a, b)), int(max(a, b))
-        counts = u_counts(a, b)
-        return min(1.0, 2 * float(counts[int(round(max(x, a * b - x))) :].sum() / counts.sum()))
+        u = int(round(min(x, a * b - x)))
+        return float(min(1, Fraction(2 * u_at_most(a, b, u), math.comb(a + b, a))))
 
     return pd.Series([None if pd.isna(x) else one(a, b, x) for a, b, x in zip(n1, n2, u)], dtype="float64")
 

@@ -6,13 +6,13 @@ unset, to a temporary one. They are deleted when the application ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandmill.plans.derived import READS, ctes, reads, relation, table
 from strandmill.plans.register import registry
 from strandmill.sources import bam, readers, schemas, sinks
-from strandmill.storage import scratch
+from strandmill.storage import scratch, written
 
 QUERIES, ORACLES, query = registry()
 
@@ -51,16 +51,22 @@ def pedigree_read_files(spark, sf):
     return readers.read_centered(spark, path).groupBy("chrom_assignment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH e AS (SELECT event_type, event_id % 4000 AS len, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 1 + CAST(floor(value) AS BIGINT) END AS calls, user_id FROM events)
-SELECT concat('chr', user_id % 22 + 1, CASE WHEN user_id % 3 = 0 THEN 'q' ELSE 'p' END) AS chrom_assignment, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM e WHERE calls >= greatest(1, ceil(len * 0.001)) GROUP BY 1""")
+@query("""WITH e AS (SELECT event_type, event_id % 4000 AS len, event_id % 7 * 900 AS before, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 1 + CAST(floor(value) AS BIGINT) END AS calls, user_id FROM events),
+k AS (SELECT *, calls >= greatest(1, ceil((len + before) * 0.001)) AS kept FROM e), n AS (SELECT count(*) AS reads, CAST(count_if(kept) AS BIGINT) AS kept FROM k)
+SELECT concat('chr', user_id % 22 + 1, CASE WHEN user_id % 3 = 0 THEN 'q' ELSE 'p' END) AS chrom_assignment, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases, n.reads AS all_reads, n.kept AS all_kept FROM k, n WHERE k.kept GROUP BY 1, 4, 5""")
 def fiberseq_read_files(spark, sf):
+    """The gate goes by the centred molecule's length, which is not the query's; what it keeps is counted in the same pass."""
     calls = "CASE WHEN event_id % 5 = 0 THEN '' ELSE array_join(transform(sequence(0L, CAST(floor(value) AS BIGINT)), k -> CAST(k AS STRING)), ',') END AS m6a_qual"
-    rows = table(spark, sf, "events").selectExpr("concat('S#1#c', user_id) AS chrom", "IF(user_id % 3 = 0, 200000, 1000) AS centering_position", "event_id % 4000 AS query_length", calls, "user_id")
-    path = _lines(rows, ["chrom", "centering_position", "query_length", "m6a_qual"], scratch(spark, "fiberseq"), "chrom\tcentering_position\tquery_length\tm6a_qual")
+    rows = table(spark, sf, "events").selectExpr(
+        "concat('S#1#c', user_id) AS chrom", "IF(user_id % 3 = 0, 200000, 1000) AS centering_position", "-(event_id % 7 * 900) AS centered_query_start", "event_id % 4000 AS centered_query_end", "99999 AS query_length", calls, "user_id")
+    columns = ["chrom", "centering_position", "centered_query_start", "centered_query_end", "query_length", "m6a_qual"]
+    path = _lines(rows, columns, scratch(spark, "fiberseq"), "\t".join(columns), gzip=True)
     names = rows.select("chrom", F.concat(F.lit("chr"), F.col("user_id") % 22 + 1, F.lit("_hap")).alias("name")).distinct()
     alias = _lines(names, ["chrom", "name", F.lit("c")], scratch(spark, "alias"))
-    found = readers.read_fiberseq(spark, path, ["chrom", "centering_position", "query_length", "m6a_qual"], readers.read_alias(spark, alias))
-    return found.groupBy("chrom_assignment").agg(F.count(F.lit(1)).alias("n"), F.sum("query_length").alias("bases"))
+    counts = Observation("fiberseq")
+    kept, _ = written(readers.read_fiberseq(spark, path, columns, readers.read_alias(spark, alias), counts=counts), "kept")
+    out = kept.groupBy("chrom_assignment").agg(F.count(F.lit(1)).alias("n"), F.sum("centered_query_end").alias("bases"))
+    return out.withColumns({"all_reads": F.lit(counts.get["reads"]).cast("long"), "all_kept": F.lit(counts.get["kept"]).cast("long")})
 
 
 @query(f"WITH {ctes('telomeres')} SELECT * FROM telomeres")

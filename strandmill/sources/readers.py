@@ -3,7 +3,11 @@ files stand for samples; nothing is inferred and no file is opened by the driver
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +51,58 @@ def read_centered(spark: SparkSession, path: str, alias: DataFrame | None = None
     return rows.withColumns({"chrom_assignment": identity.assignment("alias_chrom", "centering_position"), "label": identity.label("chrom")}).drop("alias_chrom")
 
 
-def read_fiberseq(spark: SparkSession, path: str, columns: list[str], alias: DataFrame | None = None, share: float = 0.001) -> DataFrame:
-    """Reads from files with a header, by name, kept if they have enough m6A calls for their length. Files that can't be read (cut-off or
-    damaged gzip) are left out."""
+def read_fiberseq(spark: SparkSession, path: str, columns: list[str], alias: DataFrame | None = None, share: float = 0.001, counts: Observation | None = None) -> DataFrame:
+    """Reads from files with a header, by name, kept if they have enough m6A calls for their length.
+
+    The length is that of the centred molecule, centered_query_end - centered_query_start; without these columns it is query_length.
+    counts, an Observation, gets `reads` and `kept` of the same pass. Files that can't be read (cut-off or damaged gzip) are left out from the
+    damage on; unreadable_files() names them.
+    """
     raw = spark.read.options(sep="\t", header=True, ignoreCorruptFiles=True).csv(path).select(*columns, sample_name().alias("sample"))
     rows = raw.withColumns({c: F.col(c).cast("long") for c in ("centering_position", "centered_query_start", "centered_query_end", "query_length") if c in columns})
     if alias is not None:
         rows = rows.join(last_alias(alias), rows["chrom"] == F.col("id"), "left").drop("id")
         rows = rows.withColumn("chrom_assignment", identity.normalised(F.col("alias_chrom"), F.col("centering_position"))).drop("alias_chrom")
-    return rows.where(identity.enough_calls("m6a_qual", "query_length", share))
+    centred = {"centered_query_start", "centered_query_end"} <= set(columns)
+    length = F.col("centered_query_end") - F.col("centered_query_start") if centred else F.col("query_length")
+    enough = identity.enough_calls("m6a_qual", length, share)
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("reads"), F.count_if(enough).alias("kept"))
+    return rows.where(enough)
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, reason of the gzip files that are damaged or cut off; each file is unpacked once by a task, in pieces.
+
+    Other files are not looked at. A file is a row, so one has at most 2 GB.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p.as_py(), len(c.as_buffer()), _damage(memoryview(c.as_buffer()))) for p, c in zip(batch.column("path"), batch.column("content"))]
+            bad = [x for x in found if x[2]]
+            if bad:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bad), (pa.string(), pa.int64(), pa.string()))], names=["path", "bytes", "reason"])
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").endswith(".gz") & (F.col("length") > 0))
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long, reason string")
+
+
+def _damage(data: memoryview, step: int = 1 << 20) -> str | None:
+    """What is wrong with a gzip file; None if nothing is."""
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not member.eof:
+                piece = data[at : at + step]
+                member.decompress(piece)
+                at += len(piece) - len(member.unused_data)
+        except zlib.error as e:
+            return str(e)
+        if not member.eof:
+            return "the file ends before its data"
+    return None
 
 
 def read_bed(spark: SparkSession, path: str, schema: T.StructType = schemas.TELOMERES) -> DataFrame:

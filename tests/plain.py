@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 MOTIFS = ("CCCTAA", "TTAGGG")
 
 
@@ -29,3 +31,44 @@ def fragments(text, k=6):
         else:
             out.append((i, len(piece), piece))
     return out
+
+
+def interval_means(cigar, quality, pos, intervals):
+    """Mean base quality of the read's bases in each interval that it touches, in the order of the intervals.
+
+    Matched bases count where they lie, inserted ones where the walk stands, and soft-clipped ones if the reference base
+    next to them lies in an interval; deleted bases have no quality.
+    """
+    if not cigar or quality is None or pos is None or not len(intervals):
+        return []
+    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    soft = [k for k, (_, op) in enumerate(ops) if op == "S"]
+    aligned = [k for k, (_, op) in enumerate(ops) if op in "M=X"]
+    q = np.asarray(quality, float)
+    ref, read = pos, 0
+    total, n = np.zeros(len(intervals)), np.zeros(len(intervals), int)
+    begin, end = np.array([x["start"] for x in intervals]), np.array([x["stop"] for x in intervals])
+
+    def add(at, a, b):
+        for k in np.flatnonzero((begin <= at) & (at < end)):
+            total[k] += q[a:b].sum()
+            n[k] += b - a
+
+    for k, (size, op) in enumerate(ops):
+        if op in "M=X":
+            low, high = np.maximum(begin, ref), np.minimum(end, ref + size)
+            for j in np.flatnonzero(low < high):
+                a, b = read + int(low[j]) - ref, read + int(high[j]) - ref
+                total[j] += q[a:b].sum()
+                n[j] += b - a
+            ref, read = ref + size, read + size
+        elif op == "I":
+            add(ref, read, read + size)
+            read += size
+        elif op == "S":
+            left = k in soft and (not aligned or k < aligned[0])
+            add(ref if left else ref - 1, read, read + size)
+            read += size
+        elif op in "DN":
+            ref += size
+    return [float(t / c) for t, c in zip(total, n) if c]

@@ -45,3 +45,29 @@ def test_sinks(spark, tmp_path):
     assert [r.pos for r in spark.read.parquet(str(tmp_path / "a")).orderBy("rname").collect()] == [9, 5]
     sinks.write_alignments(rows.limit(0), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).columns == ["rname", "pos", "v"]
+
+
+def test_the_call_gate_goes_by_the_centred_molecule(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    head = "chrom\tcentering_position\tcentered_query_start\tcentered_query_end\tquery_length\tm6a_qual\n"
+    rows = ["a\t5\t-500\t1500\t99000\t1,2", "b\t5\t-1500\t1500\t100\t1,2", "c\t5\t-1\t0\t9\t"]
+    with gzip.open(tmp_path / "S1.tsv.gz", "wt") as f:
+        f.write(head + "\n".join(rows) + "\n")
+    columns = head.split()
+    counts = Observation("gate")
+    found = readers.read_fiberseq(spark, str(tmp_path / "*.gz"), columns, counts=counts)
+    assert sorted(r.chrom for r in found.collect()) == ["a", "c"]  # 2 calls for 2,000 bases; 2 for 3,000 are too few
+    assert counts.get == {"reads": 3, "kept": 2}
+    plain = readers.read_fiberseq(spark, str(tmp_path / "*.gz"), ["chrom", "query_length", "m6a_qual"])
+    assert sorted(r.chrom for r in plain.collect()) == ["b", "c"]
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    whole = gzip.compress(b"a\tb\n" * 5000)
+    noise = bytearray(gzip.compress(bytes(range(256)) * 400))
+    noise[len(noise) // 2] ^= 255
+    for name, data in {"good.tsv.gz": whole, "two.tsv.gz": whole + whole, "cut.tsv.gz": whole[: len(whole) // 2], "bad.tsv.gz": bytes(noise), "no.tsv.gz": b"plain text", "other.tsv": b"x", "empty.tsv.gz": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r.path.rsplit("/", 1)[1]: (r.bytes, r.reason) for r in readers.unreadable_files(spark, str(tmp_path)).collect()}
+    assert found.keys() == {"cut.tsv.gz", "bad.tsv.gz", "no.tsv.gz"} and found["cut.tsv.gz"][1] == "the file ends before its data"
