@@ -9,11 +9,11 @@ in the words of a language. A text's score is the posterior of its words.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +170,7 @@ def word_scores(words: list[str], prob: np.ndarray, path: str) -> np.ndarray:
     return out
 
 
-_LETTERS, _WORDS = re.compile(r"[\W\d_]+"), re.compile(r"[^\W\d_]+")
+_LETTERS, _WORDS = regex.compile(r"\P{L}+"), regex.compile(r"\p{L}+")  # as in train()
 
 
 def letters_of(word: str) -> str:

@@ -139,6 +139,8 @@ class Track:
                 self.sizes = np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[: self.n].astype(np.int64)
             else:
                 self.sizes = _entries(data, found[b"stz2"], 1, {8: ">u1", 16: ">u2"}[bits], 8)[:, 0]
+        if self.runs[:, 0].sum() != self.n:
+            raise ValueError("there are times for another number of samples")
         self.before = None if self.sizes is None else np.concatenate(([0], np.cumsum(self.sizes)))
         self.chunks = (_entries(data, found[b"stco"], 1) if b"stco" in found else _entries(data, found[b"co64"], 1, ">u8"))[:, 0]
         spans = _entries(data, found[b"stsc"], 3)
@@ -150,7 +152,7 @@ class Track:
     @property
     def duration(self) -> float:
         """In seconds."""
-        return float((self.runs[:, 0] * self.runs[:, 1]).sum() / max(self.timescale, 1))
+        return float((self.runs[:, 0].astype(float) * self.runs[:, 1]).sum() / max(self.timescale, 1))
 
     def ranges(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets and sizes of samples, counted from 0."""

@@ -161,9 +161,12 @@ def mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
 def mixed_documents(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """docs with each row as many times as the mix takes it, with its columns. What mix() says of odd rows holds here too."""
     rows, uid = numbered(docs)
+    times = f"{uid}copies"
+    while times.lower() in {c.lower() for c in rows.columns}:
+        times += "_"
     sized = keep(rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("id"), "source", _size()), "mixing-sized")
-    copies = mix_sized(sized, cap).where("copies > 0").select(F.col("uid").alias(uid), F.array_repeat(F.lit(True), F.col("copies")).alias(f"{uid}copies"))
-    return rows.join(copies, uid).withColumn(f"{uid}copies", F.explode(f"{uid}copies")).select(*docs.columns)
+    copies = mix_sized(sized, cap).where("copies > 0").select(F.col("uid").alias(uid), F.array_repeat(F.lit(True), F.col("copies")).alias(times))
+    return rows.join(copies, uid).withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
