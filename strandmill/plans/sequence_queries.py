@@ -101,20 +101,24 @@ def kmer_hash_scalars(spark, sf):
     return rows.select("kmer", key.alias("key"), sequence.hash_scalar(key).alias("scalar"))
 
 
-@query(f"""WITH {READS}, x AS (SELECT assignment, right(seq, CAST(qend AS INT)) AS tail FROM reads WHERE qend > 0 AND qend <= length(seq)),
-g AS (SELECT assignment, count(*) AS n_reads, CAST(floor(median(length(tail))) AS INT) AS width FROM x GROUP BY 1 HAVING count(*) >= 3),
-b AS (SELECT x.assignment, i, substr(tail, CAST(i AS INT), 1) AS base FROM (SELECT x.*, g.width, unnest(range(1, g.width + 1)) AS i FROM x JOIN g ON x.assignment = g.assignment) x),
-v AS (SELECT assignment, i, base, count(*) AS n FROM b WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
-w AS (SELECT assignment, i, base, row_number() OVER (PARTITION BY assignment, i ORDER BY n DESC, base) AS r FROM v)
-SELECT g.assignment, g.n_reads, g.width AS length_bp, string_agg(w.base, '' ORDER BY w.i) AS consensus FROM g JOIN w ON g.assignment = w.assignment AND r = 1 GROUP BY 1, 2, 3""")
+def _consensus(by: str) -> str:
+    return f"""WITH {READS}, x AS (SELECT {by}, right(seq, CAST(qend AS INT)) AS tail FROM reads WHERE qend > 0 AND qend <= length(seq)),
+g AS (SELECT {by}, count(*) AS n_reads, CAST(floor(median(length(tail))) AS INT) AS width FROM x GROUP BY 1 HAVING count(*) >= 3),
+b AS (SELECT x.{by}, i, substr(tail, CAST(i AS INT), 1) AS base FROM (SELECT x.*, g.width, unnest(range(1, g.width + 1)) AS i FROM x JOIN g ON x.{by} = g.{by}) x),
+v AS (SELECT {by}, i, base, count(*) AS n FROM b WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
+w AS (SELECT {by}, i, base, row_number() OVER (PARTITION BY {by}, i ORDER BY n DESC, base) AS r FROM v)
+SELECT g.{by}, g.n_reads, g.width AS length_bp, string_agg(w.base, '' ORDER BY w.i) AS consensus FROM g JOIN w ON g.{by} = w.{by} AND r = 1 GROUP BY 1, 2, 3"""
+
+
+@query(_consensus("assignment"))
 def telomere_consensus(spark, sf):
     return aggregates.consensus(reads(spark, sf), ["assignment"], "seq", "qend", least=3)
 
 
-@query(ORACLES["telomere_consensus"].replace("assignment", "chrom"))
+@query(_consensus("sample"))
 def telomere_consensus_whole(spark, sf):
-    """By contig, as the reference groups reads."""
-    return aggregates.consensus(reads(spark, sf), ["chrom"], "seq", "qend", least=3)
+    """By sample, over all ends."""
+    return aggregates.consensus(reads(spark, sf), ["sample"], "seq", "qend", least=3)
 
 
 @query(f"""WITH {SPANS}, p AS (SELECT id, telo, motif, unnest(range(0, length(telo))) AS p FROM telos WHERE motif IS NOT NULL),
