@@ -179,6 +179,15 @@ def outer_fill(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "full_outer").na.fill(0)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and right joined on keys where null matches null, as pandas merges do; each key comes once, also of rows of right alone."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = left.join(named, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how)
+    if how in ("left_semi", "left_anti"):
+        return met
+    return met.withColumns({k: F.coalesce(k, f"_right_{k}") for k in keys}).drop(*(f"_right_{k}" for k in keys))
+
+
 def top_and_other(df: DataFrame, group: str, item: str, count: str, k: int, other: str = "OTHER", normalise: bool = False) -> DataFrame:
     """Counts of the k items with most in all, ties by name, and of the others together, in each group; normalised, as shares of the group.
 

@@ -265,3 +265,12 @@ def significant_clusters_by_arm(spark, sf):
     clusters = kernels.cluster_groups(pairs, "assignment", 0.55).withColumns({"arm": F.concat(F.lit("chr"), number % 5), "contig": F.concat(F.lit("c"), number % 7)})
     out = pairwise.significant_clusters(clusters, pairs, "assignment", 3, contigs="contig", least_contigs=2, arms=(2, 12), mean=0.5)
     return out.select("assignment", "cluster", "members", "contigs", F.round("mean_sim", 6).alias("mean_sim"))
+
+
+@query("""WITH o AS (SELECT nullif(o_custkey % 7, 3) AS k, nullif(o_orderstatus, 'P') AS s, count(*) AS orders FROM orders GROUP BY 1, 2),
+c AS (SELECT nullif(c_custkey % 7, 3) AS k, CASE WHEN c_acctbal > 5000 THEN 'F' WHEN c_acctbal > 0 THEN 'X' END AS s, count(*) AS customers FROM customer GROUP BY 1, 2)
+SELECT coalesce(o.k, c.k) AS k, coalesce(o.s, c.s) AS s, orders, customers FROM o FULL JOIN c ON o.k IS NOT DISTINCT FROM c.k AND o.s IS NOT DISTINCT FROM c.s""")
+def null_key_merge(spark, sf):
+    orders = table(spark, sf, "orders").selectExpr("nullif(o_custkey % 7, 3) AS k", "nullif(o_orderstatus, 'P') AS s").groupBy("k", "s").agg(F.count(F.lit(1)).alias("orders"))
+    customers = table(spark, sf, "customer").selectExpr("nullif(c_custkey % 7, 3) AS k", "CASE WHEN c_acctbal > 5000 THEN 'F' WHEN c_acctbal > 0 THEN 'X' END AS s")
+    return aggregates.null_safe_join(orders, customers.groupBy("k", "s").agg(F.count(F.lit(1)).alias("customers")), ["k", "s"], "full_outer")

@@ -113,3 +113,16 @@ def test_matrix_and_methylation(spark):
     assert cells[("a", "b")] == cells[("b", "a")] == 0.5 and cells[("a", "c")] == 0 and cells[("c", "c")] == 1 and len(cells) == 9
     rows = spark.createDataFrame([("s", "TTAGGGTTAGGG", [2]), ("s", "CC", [])], "s string, seq string, calls array<int>")
     assert [tuple(r) for r in methylation.motif_counts(rows, "s", "seq", "calls", ["TTAGGG", "AAA"]).orderBy("motif").collect()] == [("s", "AAA", 0, 0), ("s", "TTAGGG", 1, 2)]
+
+
+def test_null_keys_match(spark):
+    from strandmill.operators import aggregates
+
+    left = spark.createDataFrame([(1, "a", 10), (None, "a", 20), (None, None, 30), (4, "d", 40)], "k int, s string, x int")
+    right = spark.createDataFrame([(1, "a", 1), (None, "a", 2), (None, None, 3), (5, None, 5)], "k int, s string, y int")
+    rows = lambda how: sorted(map(tuple, aggregates.null_safe_join(left, right, ["k", "s"], how).collect()), key=str)
+    both = [(1, "a", 10, 1), (None, "a", 20, 2), (None, None, 30, 3)]
+    assert rows("inner") == sorted(both, key=str)
+    assert rows("left") == sorted([*both, (4, "d", 40, None)], key=str)
+    assert rows("full_outer") == sorted([*both, (4, "d", 40, None), (5, None, None, 5)], key=str)
+    assert rows("left_anti") == [(4, "d", 40)]
