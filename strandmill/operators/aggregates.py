@@ -7,23 +7,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators import positions
+from strandmill.operators import positions, stats
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n and the 10th, 25th, 50th, 75th and 90th percentile, linear between values."""
-    points = (0.1, 0.25, 0.5, 0.75, 0.9)
-    p = F.percentile(value, F.array(*map(F.lit, points)))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), p.alias("_p"))
-    return out.select(*keys, "n", *(F.col("_p")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(points)))
+    """n and the 10th, 25th, 50th, 75th and 90th percentile, linear between values; a group's values are ranked by ranges."""
+    points = [0.1, 0.25, 0.5, 0.75, 0.9]
+    out = stats.group_percentiles(df, keys, value, points)
+    return out.select(*keys, "n", *(F.col(f"p{k}").alias(f"p{round(q * 100)}") for k, q in enumerate(points)))
 
 
 def box_whiskers(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
-    """keys, low and high: the least and greatest value within reach interquartile ranges of the box."""
-    box = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    inside = df.join(box, keys).where(F.col(value).between(q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)))
-    return inside.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    """keys, low and high: the least and greatest value within reach interquartile ranges of the box. Null keys are a group; groups
+    without values have no row."""
+    box = stats.group_percentiles(df, keys, value, [0.25, 0.75])
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    inside = null_safe_join(counts, box.select(*keys, "p0", "p1"), keys).where(F.col("_v").between(F.col("p0") - reach * (F.col("p1") - F.col("p0")), F.col("p1") + reach * (F.col("p1") - F.col("p0"))))
+    return inside.groupBy(*keys).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -48,7 +48,8 @@ def spans_up_to(df: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
 
 def median_ratio(df: DataFrame, key: str, own: Column, value: str) -> DataFrame:
     """key and ratio: the median of the rows for which own holds over that of the others; keys that lack either, or have 0 there, go."""
-    h = df.groupBy(key).agg(F.median(F.when(own, F.col(value))).alias("_a"), F.median(F.when(~own, F.col(value))).alias("_b"))
+    sides = stats.group_percentiles(df.withColumn("_own", own), [key, "_own"], value, [0.5])
+    h = sides.groupBy(key).agg(F.max(F.when(F.col("_own"), F.col("p0"))).alias("_a"), F.max(F.when(~F.col("_own"), F.col("p0"))).alias("_b"))
     return h.where("_a IS NOT NULL AND _b > 0").select(key, (F.col("_a") / F.col("_b")).alias("ratio"))
 
 
@@ -133,15 +134,17 @@ def consensus(reads: DataFrame, keys: list[str], sequence: str, end: str, least:
     return sizes.join(joined, keys, "left").select(*keys, "n_reads", F.col("_width").alias("length_bp"), text.alias("consensus"))
 
 
-def partner_curve(pairs: DataFrame, cuts: list[float], by: str = "assignment", sim: str = "sim") -> DataFrame:
-    """by, cutoff, n, pct: the share of labels (of by) whose best partner is at least as similar as the cut, for each value of
-    by and for all ('ALL'). pairs: by, label_i, label_j, sim; similarities and cuts are compared as floats."""
+def partner_curve(pairs: DataFrame, cuts: list[float], by: str = "assignment", sim: str = "sim", per: tuple[str, ...] = ()) -> DataFrame:
+    """per, by, cutoff, n, pct: the share of labels (of by) whose best partner is at least as similar as the cut, for each value of
+    by and for all ('ALL'), in each group of per (such as the length that was compared). pairs: per, by, label_i, label_j, sim;
+    similarities and cuts are compared as floats."""
     ends = F.explode(F.array("label_i", "label_j")).alias("label")
-    best = pairs.select(by, ends, F.col(sim).cast("float").alias("sim")).groupBy(by, "label").agg(F.max("sim").alias("best"))
+    best = pairs.select(*per, by, ends, F.col(sim).cast("float").alias("sim")).groupBy(*per, by, "label").agg(F.max("sim").alias("best"))
     passes = [F.count_if(F.col("best") >= F.lit(c).cast("float")).alias(f"c{k}") for k, c in enumerate(cuts)]
-    sums = best.rollup(by).agg(F.count(F.lit(1)).alias("n"), *passes)
+    sums = best.groupingSets([[*per, by], [*per]], *per, by).agg(F.grouping(by).alias("_all"), F.count(F.lit(1)).alias("n"), *passes)
     rows = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"c{k}").alias("hit")) for k, c in enumerate(cuts)))).alias("x")
-    return sums.select(F.coalesce(F.col(by), F.lit("ALL")).alias(by), "n", rows).select(by, "x.cutoff", "n", (100.0 * F.col("x.hit") / F.col("n")).alias("pct"))
+    named = sums.where("n > 0").select(*per, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(by)).alias(by), "n", rows)  # no pairs, no rows
+    return named.select(*per, by, "x.cutoff", "n", (100.0 * F.col("x.hit") / F.col("n")).alias("pct"))
 
 
 def bound_fraction(df: DataFrame, keys: list[str], names: str, codes: str) -> DataFrame:

@@ -14,18 +14,19 @@ from pyspark.sql import types as T
 
 
 EXACT_U, EXACT_W = 8, 50
-RANGES = 64
+RANGES = 16  # squared, the ranges that a table's values are dealt into
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
     """df with the rank of value within by, the mean of their ranks for ties.
 
-    Ranks come from the counts of distinct values, so rows aren't ordered and a repeated value is one row.
+    Ranks come from the counts of distinct values, so rows aren't ordered and a repeated value is one row. Rows whose value or by is
+    null go.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(name, F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0)
-    return df.join(ranked.drop("_n"), [*by, value])
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, value]))
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _below(counts, by, value, {"_lower": F.col("_n")})
+    return known.join(ranked.select(*by, value, (F.col("_lower") + (F.col("_n") + 1) / 2.0).alias(name)), [*by, value])
 
 
 #: Coefficients of the Chebyshev fit of the complementary error function; its relative error is under 1.2e-7 everywhere.
@@ -128,25 +129,29 @@ def correlation_p(n: pd.Series, r: pd.Series) -> pd.Series:
     return pd.Series([None if k < 3 or pd.isna(x) else beta_share((k - 2) / 2, 0.5, max(0.0, 1 - x * x)) for k, x in zip(n, r)], dtype="float64")
 
 
-def _below(counts: DataFrame, by: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
-    """counts (by, value, one row for each value) with the sums over the lesser values of by.
+def _below(counts: DataFrame, by: list[str], value: str, sums: dict[str, Column], then: tuple[str, ...] = ()) -> DataFrame:
+    """counts (by, value, one row for each value) with the sums over the lesser values of by, and those over all of by as <name>_all.
 
-    With by empty the values are dealt into RANGES ranges at approximate percentiles, which only decide what goes to which task; sums run
-    within a range, from those of the ranges before.
+    The values of the table are dealt into ranges at approximate percentiles, which only decide what goes to which task: whatever share of
+    the table a group has, a task has one range of it at most. Sums run within a group's range, from those of its ranges before. value is
+    a number or a time; equal values are ordered by then. Nulls in by are a group, a null value comes first.
     """
-    ahead = Window.unboundedPreceding, -1
-    if by:
-        order = Window.partitionBy(*by).orderBy(value).rowsBetween(*ahead)
-        return counts.withColumns({n: F.coalesce(F.sum(c).over(order), F.lit(0)) for n, c in sums.items()})
-    points = [k / RANGES for k in range(1, RANGES)]
-    cuts = sorted(set(counts.agg(F.percentile_approx(F.col(value), points)).first()[0] or []))
-    ranged = counts.withColumn("_range", sum(((F.col(value) >= c).cast("int") for c in cuts), F.lit(0)))
-    whole = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    along = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(*ahead)  # RANGES rows
-    whole = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(along), F.lit(0)).alias(f"_{n}") for n in sums))
-    order = Window.partitionBy("_range").orderBy(value).rowsBetween(*ahead)
+    steps, ahead = RANGES * RANGES, (Window.unboundedPreceding, -1)
+    cuts = counts.agg(F.array_sort(F.percentile_approx(value, [k / steps for k in range(1, steps)])).alias("_cuts"))
+    cuts = cuts.select("_cuts", F.filter("_cuts", lambda _, i: i % RANGES == RANGES - 1).alias("_coarse"))  # one row
+    up_to = lambda some: F.size(F.filter(some, lambda c: c <= F.col(value)))
+    place = up_to(F.col("_coarse")) * RANGES
+    place = place + up_to(F.slice("_cuts", place + 1, RANGES - 1))
+    # as a struct, a group without a key meets itself in the join
+    cell = F.struct(*by, F.coalesce(place, F.lit(0)).alias("_range"))
+    ranged = counts.join(F.broadcast(cuts)).withColumn("_cell", cell).drop("_cuts", "_coarse")
+    group = [F.col("_cell")[c] for c in by] or [F.lit(0)]  # a row for each range, RANGES squared at most
+    before, every = Window.partitionBy(*group).orderBy("_cell._range").rowsBetween(*ahead), Window.partitionBy(*group)
+    whole = ranged.groupBy("_cell").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    carried = [x for n in sums for x in (F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}"), F.sum(f"_{n}").over(every).alias(f"{n}_all"))]
+    order = Window.partitionBy("_cell").orderBy(value, *then).rowsBetween(*ahead)
     inside = ranged.withColumns({n: F.coalesce(F.sum(c).over(order), F.lit(0)) for n, c in sums.items()})
-    return inside.join(F.broadcast(whole), "_range").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *(f"_{n}" for n in sums))
+    return inside.join(whole.select("_cell", *carried), "_cell").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_cell", *(f"_{n}" for n in sums))
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str, first: str, second: str, count: str | None = None) -> DataFrame:
@@ -206,8 +211,10 @@ def wilcoxon(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n, r, p_value (two-sided) of the pairs of which neither is null."""
-    found = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    """by, n, r, p_value (two-sided) of the pairs of which neither is null; r and p are null where x or y has one value only."""
+    sides = F.stddev_pop(x) * F.stddev_pop(y)  # F.corr fails where it is 0
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(x, y), sides)))
+    found = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r).alias("r"))
     return found.withColumn("p_value", correlation_p("n", "r"))
 
 
@@ -217,23 +224,31 @@ def mean_difference(df: DataFrame, group: str, value: str, first: str, second: s
     return df.agg(own(first).alias("first_mean"), own(second).alias("second_mean"), (own(first) - own(second)).alias("difference"))
 
 
-def exact_percentiles(df: DataFrame, value: str, points: list[float]) -> DataFrame:
-    """One row, p0, p1, ...: percentiles of a column, linear between values, without all values in one task.
+def group_percentiles(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+    """by, n, mean, p0, p1, ...: how many values each group has, their mean and their percentiles, linear between values.
 
-    Different values are counted and ranked by ranges; the two about each percentile are picked by their ranks.
+    Different values are counted and ranked by ranges, and the two about each percentile are picked by their ranks: neither one task nor
+    one buffer has all values of a group. Nulls don't count; a group of nulls alone has n of 0 and nulls.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _below(counts, [], "_v", {"_lower": F.col("_c")})
-    total = counts.agg(F.sum("_c").alias("_n"))  # one row
-    places = ranked.join(F.broadcast(total))
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_c"))
+    ranked = _below(counts, by, "_v", {"_lower": F.col("_c")})
     picks = []
     for k, q in enumerate(points):
-        place = (F.col("_n") - 1) * q
+        place = (F.col("_lower_all") - 1) * F.lit(float(q))
         for name, rank in ((f"_low{k}", F.floor(place)), (f"_high{k}", F.ceil(place))):
             picks.append(F.max(F.when((F.col("_lower") <= rank) & (rank < F.col("_lower") + F.col("_c")), F.col("_v"))).alias(name))
-    one = places.agg(F.first("_n").alias("_n"), *picks)
-    share = lambda q: (F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)
-    return one.select(*((F.col(f"_low{k}") + share(q) * (F.col(f"_high{k}") - F.col(f"_low{k}"))).alias(f"p{k}") for k, q in enumerate(points)))
+    found = ranked.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.sum(F.when(F.col("_c") > 0, F.col("_v") * F.col("_c"))).alias("_sum"), *picks)
+
+    def between(k: int, q: float) -> Column:
+        place, low, high = (F.col("n") - 1) * F.lit(float(q)), F.col(f"_low{k}"), F.col(f"_high{k}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return found.select(*by, "n", F.try_divide("_sum", "n").alias("mean"), *(between(k, q).alias(f"p{k}") for k, q in enumerate(points)))
+
+
+def exact_percentiles(df: DataFrame, value: str, points: list[float]) -> DataFrame:
+    """One row, p0, p1, ...: percentiles of a column, linear between values, without all values in one task."""
+    return group_percentiles(df, [], value, points).select(*(f"p{k}" for k in range(len(points))))
 
 
 def outer_means(df: DataFrame, gate: str, value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -256,11 +271,13 @@ def sample_per_group(df: DataFrame, by: list[str], n: int, key: str, seed: int =
 
 def sample_with_replacement(df: DataFrame, by: list[str], n: int, key: str, seed: int = 0) -> DataFrame:
     """n draws from each group, a row may come several times, with draw from 0 to n - 1. Drawn places depend on the seed alone, so
-    the same rows come however they are partitioned; key orders the rows of a group.
+    the same rows come however they are partitioned; key orders the rows of a group, by its hash first unless it is a number or a time.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     draw = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     digits = F.conv(F.substr(F.md5(F.concat_ws("-", *by, F.col("draw"), F.lit(seed))), F.lit(1), F.lit(8)), 16, 10).cast("long")
     places = draw.withColumn("_place", F.pmod(digits, F.col("_n")))
-    ranked = _below(df.withColumn("_one", F.lit(1)), by, key, {"_place": F.col("_one")})
-    return ranked.join(places.drop("_n"), [*by, "_place"]).drop("_place", "_one")
+    ordered = isinstance(df.schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType))
+    rows = df.withColumn("_order", F.col(key) if ordered else F.xxhash64(key))
+    ranked = _below(rows, by, "_order", {"_place": F.lit(1)}, (key,))
+    return ranked.join(places.drop("_n"), [*by, "_place"]).drop("_place", "_place_all", "_order")

@@ -47,6 +47,27 @@ def pair_similarity_matrix(spark, sf):
     return pairwise.symmetric_matrix(_pairs(spark, sf), ["assignment"]).select("assignment", "row", "col", F.round("sim", 6).alias("sim"))
 
 
+#: How many signs are compared, and the reference's cut-offs.
+_LENGTHS, _CUTS = (8, 16, 32), [k / 20 for k in range(1, 21)]
+
+
+@query(f"""WITH e AS (SELECT concat('arm', label) AS assignment, concat('v', vec_id) AS label, vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+w AS (SELECT unnest([{', '.join(map(str, _LENGTHS))}]) AS target_bp),
+p AS (SELECT a.assignment, a.label AS label_i, b.label AS label_j, target_bp, list_sum(list_transform(range(1, target_bp + 1), lambda i: CASE WHEN a.bits[i] = b.bits[i] THEN 1 ELSE 0 END)) / CAST(target_bp AS DOUBLE) AS sim
+FROM e a JOIN e b ON a.assignment = b.assignment AND a.vec_id < b.vec_id CROSS JOIN w),
+b AS (SELECT target_bp, assignment, label, max(CAST(sim AS FLOAT)) AS best FROM (SELECT target_bp, assignment, label_i AS label, sim FROM p UNION ALL SELECT target_bp, assignment, label_j, sim FROM p) GROUP BY 1, 2, 3),
+c AS (SELECT unnest([{', '.join(map(str, _CUTS))}]) AS cutoff), g AS (SELECT target_bp, assignment, best FROM b UNION ALL SELECT target_bp, 'ALL', best FROM b)
+SELECT CAST(target_bp AS INT) AS target_bp, assignment, CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS n, round(100.0 * count_if(best >= CAST(cutoff AS FLOAT)) / count(*), 6) AS pct FROM g CROSS JOIN c GROUP BY 1, 2, 3""")
+def partner_curve_by_length(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("arm"), "label").alias("assignment"), F.concat(F.lit("v"), "vec_id").alias("label"), "vec_id", F.transform("embedding", lambda x: x > 0).alias("bits"))
+    pairs = pairwise.unordered_pairs(e, ["assignment"], ["vec_id"], ["label", "bits"])
+    same = F.zip_with("bits_i", "bits_j", lambda a, b: (a == b).cast("int"))
+    first = lambda w: F.aggregate(F.slice(same, 1, w), F.lit(0), lambda s, x: s + x) / F.lit(float(w))
+    wide = pairs.select("assignment", "label_i", "label_j", *(first(w).alias(f"sim_t{w}") for w in _LENGTHS))
+    out = aggregates.partner_curve(pairwise.narrow(wide), _CUTS, per=("target_bp",))
+    return out.select("target_bp", "assignment", "cutoff", "n", F.round("pct", 6).alias("pct"))
+
+
 _MODES = """
 p AS (SELECT o_custkey, min(o_orderstatus) AS k_i, max(o_orderpriority) AS k_j FROM orders GROUP BY 1),
 s AS (SELECT k, count(*) AS n FROM (SELECT o_orderstatus AS k FROM orders UNION ALL SELECT o_orderpriority FROM orders) GROUP BY 1)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmill.functions import identity, sequence
-from strandmill.operators import aggregates
+from strandmill.operators import aggregates, stats
 from strandmill.plans.derived import READS, SPANS, reads, table, telomere_reads
 from strandmill.plans.register import registry
 
@@ -20,7 +20,7 @@ def _r(c, n: int = 6):
 SELECT assignment, count(*) AS n, round(avg(load), 6) AS mean_load, median(load) AS median_load FROM l GROUP BY 1""")
 def tvr_load(spark, sf):
     rows = telomere_reads(spark, sf).withColumn("load", sequence.span_load("spans"))
-    return rows.groupBy("assignment").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("load")).alias("mean_load"), F.median("load").alias("median_load"))
+    return stats.group_percentiles(rows, ["assignment"], "load", [0.5]).select("assignment", "n", _r("mean").alias("mean_load"), F.col("p0").alias("median_load"))
 
 
 @query(f"WITH {SPANS} SELECT id, start, length FROM spans")
@@ -174,4 +174,5 @@ SELECT assignment, median(top) AS median_start FROM m GROUP BY 1""")
 def ends_by_variant_start(spark, sf):
     near = F.filter("spans", lambda s: (s["start"] < 2000) & (s["length"] >= 5))
     rows = telomere_reads(spark, sf).withColumn("top", F.array_max(F.transform(near, lambda s: s["start"])))
-    return rows.groupBy("assignment").agg(F.median("top").alias("median_start")).orderBy(F.asc_nulls_last("median_start"), "assignment")
+    medians = stats.group_percentiles(rows, ["assignment"], "top", [0.5]).select("assignment", F.col("p0").alias("median_start"))
+    return medians.orderBy(F.asc_nulls_last("median_start"), "assignment")

@@ -100,6 +100,40 @@ def wilcoxon_w(spark, sf):
     return stats.wilcoxon(rows, ["l_returnflag"], "l_quantity", "other").select("l_returnflag", "n", "w_plus", "w_minus")
 
 
+@query(f"""WITH {ctes('loads')}, s AS (SELECT status, load FROM loads), n AS (SELECT status, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT a.status AS group_1, b.status AS group_2, s.status, load FROM n a JOIN n b ON a.status < b.status JOIN s ON s.status IN (a.status, b.status)),
+r AS (SELECT *, rank() OVER (PARTITION BY group_1, group_2 ORDER BY load) + (count(*) OVER (PARTITION BY group_1, group_2, load) - 1) / 2.0 AS r FROM x),
+t AS (SELECT group_1, group_2, sum(c * c * c - c) AS ties FROM (SELECT group_1, group_2, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY group_1, group_2, load) GROUP BY 1, 2),
+g AS (SELECT group_1, group_2, CAST(count_if(status = group_1) AS DOUBLE) AS n1, CAST(count_if(status = group_2) AS DOUBLE) AS n2, sum(CASE WHEN status = group_1 THEN r ELSE 0 END) AS r1 FROM r GROUP BY 1, 2),
+u AS (SELECT group_1, group_2, n1, n2, n1 + n2 AS n, ties, r1 - n1 * (n1 + 1) / 2 AS u1 FROM g JOIN t USING (group_1, group_2) WHERE least(n1, n2) > {stats.EXACT_U}),
+z AS (SELECT group_1, group_2, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 0) AS z FROM u)
+SELECT group_1, group_2, round(least(1, 2 * CASE WHEN z >= 0 THEN {_tail('z')} ELSE 1 - {_tail('(-z)')} END), 6) AS p_value FROM z""")
+def pairwise_group_p(spark, sf):
+    out = stats.pairwise_tests(relation(spark, sf, "loads"), "status", "load")
+    return out.where(F.least("n1", "n2") > stats.EXACT_U).select("group_1", "group_2", F.round("p_value", 6).alias("p_value"))
+
+
+@query(f"""WITH d AS (SELECT l_returnflag, l_linestatus, l_quantity - 25.5 AS d FROM lineitem WHERE l_quantity <> 25.5),
+c AS (SELECT l_returnflag, l_linestatus, abs(d) AS a, CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY 1, 2, 3), t AS (SELECT l_returnflag, l_linestatus, sum(c * c * c - c) AS ties, sum(c) AS n FROM c GROUP BY 1, 2),
+r AS (SELECT l_returnflag, l_linestatus, d, rank() OVER w + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, abs(d)) - 1) / 2.0 AS r FROM d WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY abs(d))),
+s AS (SELECT l_returnflag, l_linestatus, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w FROM r GROUP BY 1, 2),
+z AS (SELECT l_returnflag, l_linestatus, w, CAST(n AS BIGINT) AS n, abs((w - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0)) AS z FROM s JOIN t USING (l_returnflag, l_linestatus) WHERE n > {stats.EXACT_W})
+SELECT l_returnflag, l_linestatus, n, w, round(least(1, 2 * {_tail('z')}), 6) AS p_value FROM z""")
+def wilcoxon_p(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("middle", F.lit(25.5))
+    out = stats.wilcoxon(rows, ["l_returnflag", "l_linestatus"], "l_quantity", "middle").where(F.col("n") > stats.EXACT_W)
+    return out.select("l_returnflag", "l_linestatus", "n", "w", F.round("p_value", 6).alias("p_value"))
+
+
+#: The t distribution with 1 to 5 degrees of freedom has closed forms in the correlation s and c = sqrt(1 - s * s).
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, least(1, abs(covar_pop(l_quantity, l_extendedprice) / nullif(stddev_pop(l_quantity) * stddev_pop(l_extendedprice), 0))) AS s FROM lineitem GROUP BY 1 HAVING count(*) BETWEEN 3 AND 7 AND min(l_quantity) < max(l_quantity) AND min(l_extendedprice) < max(l_extendedprice)),
+h AS (SELECT *, sqrt(1 - s * s) AS c FROM g WHERE s IS NOT NULL)
+SELECT l_orderkey, n, round(1 - CASE n WHEN 3 THEN asin(s) * 2 / pi() WHEN 4 THEN s WHEN 5 THEN (asin(s) + s * c) * 2 / pi() WHEN 6 THEN s * (1 + c * c / 2) ELSE (asin(s) + s * (c + c * c * c * 2 / 3)) * 2 / pi() END, 5) AS p_value FROM h""")
+def pearson_p(spark, sf):
+    out = stats.pearson(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_extendedprice").where(F.col("n").between(3, 7) & F.col("r").isNotNull())
+    return out.select("l_orderkey", "n", F.round("p_value", 5).alias("p_value"))
+
+
 @query("SELECT l_returnflag, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 def pearson(spark, sf):
     return stats.pearson(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", "n", F.round("r", 6).alias("r"))

@@ -159,6 +159,61 @@ def test_percentiles_and_ranks_over_ranges(spark):
     assert r.u1 == pytest.approx(sum((x > y) + (x == y) / 2 for x in a for y in b))
 
 
+def test_percentiles_of_groups_over_ranges(spark, monkeypatch):
+    rnd = random.Random(15)
+    groups = {"hot": [rnd.gauss(0, 5) for _ in range(2000)], "same": [3.0] * 40, "one": [7.5], None: [1.0, 2.0, 4.0], "none": [None, None], "mixed": [None, 1.0, 1.0, float("inf")]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for ranges in (2, 16):
+        monkeypatch.setattr(stats, "RANGES", ranges)
+        got = {r.g: r for r in stats.group_percentiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            known = [v for v in vs if v is not None]
+            assert got[g].n == len(known)
+            if not known:
+                assert list(got[g])[2:] == [None] * 5
+                continue
+            assert got[g].mean == pytest.approx(sum(known) / len(known))
+            want = [1.0, 1.0, 1.0, math.inf] if g == "mixed" else np.percentile(known, [0, 30, 50, 100]).tolist()  # numpy has nan beside inf
+            assert list(got[g])[3:] == pytest.approx(want), g
+    assert stats.group_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    assert tuple(stats.group_percentiles(df.limit(0), [], "v", [0.5]).first()) == (0, None, None)
+
+
+def test_ranks_within_a_hot_group(spark):
+    rnd = random.Random(16)
+    rows = [("hot" if k % 10 else f"g{k % 7}", rnd.choice([rnd.randrange(30), rnd.random() * 30])) for k in range(1500)]
+    rows = [(g, float(v)) for g, v in rows]
+    df = spark.createDataFrame([*rows, ("hot", None), (None, 1.0)], "g string, v double").repartition(6)
+    want = sorted((g, v, sum(h == g and w < v for h, w in rows) + (sum(h == g and w == v for h, w in rows) + 1) / 2) for g, v in rows)
+    assert sorted(map(tuple, stats.average_ranks(df, ["g"], "v").select("g", "v", "rank").collect())) == want
+
+
+def test_a_hot_group_is_ranked_in_many_tasks(spark):
+    counts = spark.range(0, 20_000, 1, 8).selectExpr("'hot' AS g", "id * 7919 % 20011 AS v", "1L AS c")
+    ranked = stats._below(counts, ["g"], "v", {"below": F.col("c")}).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = ranked.groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 20_000 / 3
+
+
+def test_correlation_of_constants(spark):
+    df = spark.createDataFrame([("c", 1.0, 2.0), ("c", 1.0, 3.0), ("c", 1.0, 5.0), ("one", 1.0, 1.0), ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", 3.0, 6.0), ("n", None, 1.0)], "g string, x double, y double")
+    got = {r.g: (r.n, r.r) for r in stats.pearson(df, ["g"], "x", "y").collect()}
+    assert got["c"] == (3, None) and got["one"] == (1, None) and "n" not in got
+    assert got["line"] == (3, pytest.approx(1.0))
+
+
+def test_draws_by_names(spark):
+    df = spark.range(200).selectExpr("concat('k', id) AS k", "id % 2 AS g")
+    one, two = (sorted(map(tuple, stats.sample_with_replacement(df.repartition(n), ["g"], 100, "k", 3).collect())) for n in (1, 5))
+    assert one == two and len(one) == 200 and all(int(k[1:]) % 2 == g for g, k, _ in (tuple(r) for r in stats.sample_with_replacement(df, ["g"], 100, "k", 3).select("g", "k", "draw").collect()))
+
+
 def test_samples_dont_depend_on_partitions(spark):
     df = spark.range(500).selectExpr("id", "id % 3 AS g")
     one, two = (sorted(map(tuple, stats.sample_per_group(df.repartition(k), ["g"], 7, "id", 5).collect())) for k in (1, 6))
