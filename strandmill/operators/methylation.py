@@ -128,21 +128,18 @@ def binned_variant_rates(df: DataFrame, keys: list[str], sample: str, seq: str,
     The first and last span don't count, nor does a call at position 0; all other calls of a bin are divided by its target
     bases, as in variant_rates. Bins without a target base on a side are left out of that side's means.
     """
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("_calls", F.filter(calls, lambda p: (p > 0) & (p < F.length(seq)))).withColumn("_target", target_base(seq, "_calls")).where("_target IS NOT NULL")
+    rows = df.withColumn("_calls", F.filter(calls, lambda p: (p > 0) & (p < F.length(seq)))).withColumn("_target", target_base(seq, "_calls")).where("_target IS NOT NULL")
     held = F.filter(F.slice(F.col(spans), 2, F.greatest(F.size(spans) - 2, F.lit(0))), lambda x: F.contains(F.substr(F.col(seq), x["start"] + 1, x["length"]), F.col("_target")))
     rows = rows.withColumn("_used", held)
-    within = F.flatten(F.transform("_used", lambda x: F.filter(F.sequence(x["start"], x["start"] + x["length"] - 1), lambda p: F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target"))))
-    inside = lambda p: F.exists("_used", lambda x: (p >= x["start"]) & (p < x["start"] + x["length"]))
-    zero, one = F.lit(0), F.lit(1)
-    row = lambda bin_, *n: F.struct(bin_.cast("long").alias("bin"), *(c.cast("int").alias(name) for c, name in zip(n, ("own", "own_in", "hit", "hit_in"))))
-    of_bins = F.transform(_bin_list(seq, width), lambda b: row(b, _own(seq, b, width), zero, zero, zero))
-    of_spans = F.transform(F.array_distinct(within), lambda p: row(F.floor(p / width), zero, one, zero, zero))
-    of_calls = F.transform(F.array_distinct("_calls"), lambda p: row(F.floor(p / width), zero, zero, one, inside(p)))
-    each = rows.select(*keys, sample, "_id", F.explode(F.concat(of_bins, of_spans, of_calls)).alias("e"))
-    sums = {n: F.sum(f"e.{n}") for n in ("own", "own_in", "hit", "hit_in")}
-    rates = {"inside_rate": F.try_divide(sums["hit_in"], sums["own_in"]), "outside_rate": F.try_divide(sums["hit"] - sums["hit_in"], sums["own"] - sums["own_in"])}
-    molecule = each.groupBy(*keys, sample, "_id", F.col("e.bin").alias("bin")).agg((sums["own"] + sums["hit"]).alias("_any"), *(r.alias(n) for n, r in rates.items())).where("_any > 0")
+    rows = rows.withColumn("_cover", F.flatten(F.transform("_used", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))).cast("array<int>"))
+    within = F.array_distinct(F.filter("_cover", lambda p: F.substr(F.col(seq), p + 1, F.lit(1)) == F.col("_target")))
+    own_calls = F.array_distinct(F.col("_calls").cast("array<int>"))
+    tally = lambda at: _tally(F.transform(at, lambda p: F.floor(p / width)))
+    rows = rows.withColumns({"_in": tally(within), "_hit": tally(own_calls), "_hit_in": tally(F.array_intersect(own_calls, "_cover"))})
+    each = rows.select(*keys, sample, "_in", "_hit", "_hit_in", "_target", seq, F.explode(_bin_list(seq, width)).alias("_bin"))
+    each = each.withColumns({"own": _own(seq, F.col("_bin"), width), "own_in": _of(F.col("_in"), F.col("_bin")), "hit": _of(F.col("_hit"), F.col("_bin")), "hit_in": _of(F.col("_hit_in"), F.col("_bin"))})
+    rates = {"inside_rate": F.try_divide("hit_in", "own_in"), "outside_rate": F.try_divide(F.col("hit") - F.col("hit_in"), F.col("own") - F.col("own_in"))}
+    molecule = each.where("own + hit > 0").select(*keys, sample, F.col("_bin").cast("long").alias("bin"), *(r.alias(n) for n, r in rates.items()))
     means = molecule.groupBy(*keys, sample, "bin").agg(*(F.avg(n).alias(n) for n in rates))
     return means.groupBy(*keys, "bin").agg(*(F.median(n).alias(n) for n in rates))
 
@@ -157,7 +154,9 @@ def motif_counts(df: DataFrame, sample: str, seq: str, calls: str, motifs: list[
     """sample, motif, meth, total: places of each motif, and those with a call in them; absent motifs with 0."""
     hits = [F.struct(F.lit(m).alias("motif"), sequence.motif_hits(seq, m).alias("at")) for m in motifs]
     rows = df.select(sample, calls, F.explode(F.array(*hits)).alias("h"))
-    meth = F.size(F.filter("h.at", lambda s: F.exists(calls, lambda p: (p >= s) & (p < s + F.length("h.motif")))))
+    known = F.filter(F.coalesce(calls, F.array()).cast("array<int>"), lambda p: p.isNotNull())
+    starts = F.flatten(F.transform(known, lambda p: F.sequence(p - F.length("h.motif") + 1, p)))  # where a place with this call in it may begin
+    meth = F.size(F.array_intersect(F.col("h.at").cast("array<int>"), starts))  # by a hash set, not each call for each place
     return rows.groupBy(sample, F.col("h.motif").alias("motif")).agg(F.sum(meth).alias("meth"), F.sum(F.size("h.at")).alias("total"))
 
 

@@ -241,3 +241,15 @@ def test_missing_values_in_duplications(spark):
     rows = spark.createDataFrame([(1000.0, 3000.0, 8000.0), (2000.0, 2500.0, float("nan")), (0.0, None, 500.0)], "code_start_1 double, code_end_1 double, code_start_2 double")
     r = aggregates.duplication_distances(rows).first()
     assert (r.size, r.end_to_start, r.start_to_start, r.start, r.midpoint, r.between) == (1.25, 5.0, 3.75, 1.0, 2.125, 5.5)
+
+
+def test_motif_places_with_a_call(spark):
+    rnd = random.Random(17)
+    rows = [("s", "".join(rnd.choice("TAG") for _ in range(120)), sorted(rnd.sample(range(130), rnd.randrange(12)))) for _ in range(40)]
+    rows += [("s", "TTTT", [0, 0, None]), ("s", "", [1]), ("s", "TTTT", None)]
+    want = {}
+    for m in ("TA", "TAG"):
+        places = [(at, calls or []) for _, t, calls in rows for at in range(len(t)) if t.startswith(m, at)]
+        want[m] = (sum(any(p is not None and at <= p < at + len(m) for p in calls) for at, calls in places), len(places))
+    hits = spark.createDataFrame(rows, "s string, t string, calls array<int>")
+    assert {r.motif: (r.meth, r.total) for r in methylation.motif_counts(hits, "s", "t", "calls", ["TA", "TAG"]).collect()} == want
