@@ -136,8 +136,9 @@ def binned_variant_rates(df: DataFrame, keys: list[str], sample: str, seq: str,
     own_calls = F.array_distinct(F.col("_calls").cast("array<int>"))
     tally = lambda at: _tally(F.transform(at, lambda p: F.floor(p / width)))
     rows = rows.withColumns({"_in": tally(within), "_hit": tally(own_calls), "_hit_in": tally(F.array_intersect(own_calls, "_cover"))})
-    each = rows.select(*keys, sample, "_in", "_hit", "_hit_in", "_target", seq, F.explode(_bin_list(seq, width)).alias("_bin"))
-    each = each.withColumns({"own": _own(seq, F.col("_bin"), width), "own_in": _of(F.col("_in"), F.col("_bin")), "hit": _of(F.col("_hit"), F.col("_bin")), "hit_in": _of(F.col("_hit_in"), F.col("_bin"))})
+    of_bins = F.transform(_bin_list(seq, width), lambda b: _own(seq, b, width))  # numbers, so that a bin's row has no copy of the sequence
+    each = rows.select(*keys, sample, "_in", "_hit", "_hit_in", F.posexplode(of_bins).alias("_bin", "own"))
+    each = each.withColumns({name: _of(F.col(at), F.col("_bin")) for name, at in (("own_in", "_in"), ("hit", "_hit"), ("hit_in", "_hit_in"))})
     rates = {"inside_rate": F.try_divide("hit_in", "own_in"), "outside_rate": F.try_divide(F.col("hit") - F.col("hit_in"), F.col("own") - F.col("own_in"))}
     molecule = each.where("own + hit > 0").select(*keys, sample, F.col("_bin").cast("long").alias("bin"), *(r.alias(n) for n, r in rates.items()))
     means = molecule.groupBy(*keys, sample, "bin").agg(*(F.avg(n).alias(n) for n in rates))
