@@ -3,6 +3,7 @@ from collections import defaultdict
 from statistics import mean, median
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.operators import methylation
 
@@ -45,3 +46,21 @@ def test_binned_variant_rates_equal_masks(spark):
 def test_subtelomere_calls(spark):
     rows = spark.createDataFrame([([-10, -1, 0, 4], 15, 5)], "calls array<int>, query int, telo int")
     assert rows.select(methylation.subtelomere_calls("calls", "query", "telo").alias("x")).first().x == [0, 9]
+
+
+def test_bins_of_long_molecules(spark):
+    """A hundred molecules of 100,000 bases, all with calls and spans: letters are looked at once, not from the start for each position."""
+    import time
+
+    text = "TTAGGG" * 8000 + "TTAGGGA" * 7428
+    rows = spark.range(100).select(F.lit(text).alias("seq"), F.expr("transform(sequence(0, 19998), k -> k * 5)").alias("calls"))
+    rows = rows.withColumn("spans", F.expr("transform(sequence(0, 4999), k -> struct(k * 20 AS start, 9 AS length))")).selectExpr("*", "'s' AS s")
+    began = time.time()
+    got = {r.bin: (r.inside_rate, r.outside_rate) for r in methylation.binned_variant_rates(rows, [], "s", "seq", "calls", "spans", 1000).collect()}
+    assert time.time() - began < 60
+    called = {k * 5 for k in range(1, 19999)}
+    inside = {p for k in range(1, 4999) for p in range(k * 20, k * 20 + 9) if text[k * 20 : k * 20 + 9].count(text[5])}
+    for b in (0, 50, 99):
+        own = {p for p in range(b * 1000, min(b * 1000 + 1000, len(text))) if text[p] == text[5]}
+        here = {p for p in called if p // 1000 == b and p < len(text)}
+        assert got[b] == pytest.approx((len(here & inside) / len(own & inside), len(here - inside) / len(own - inside)))
