@@ -100,3 +100,10 @@ def test_autocorrelation(spark, sf_dir, molecules):
     want = {(t, k - 2000): v for t, x in traces.items() for k, v in enumerate(np.mean(x, axis=0))}
     got = {(r.tech, r.lag): r.value for r in catalog.QUERIES["mean_autocorrelation"](spark, sf_dir).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_binned_rate_whole_keeps_its_bins(spark, sf_dir):
+    """By end in bins of 50 bases, not of 250 by technology."""
+    got = {(r.assignment, r.bin): r.rate for r in catalog.QUERIES["binned_rate_whole"](spark, sf_dir).collect()}
+    assert got == {(r.assignment, r.bin): r.rate for r in catalog.QUERIES["binned_rate"](spark, sf_dir).collect()} and len(got) > 31
+    assert "k // 50 " in molecule_queries.ORACLES["binned_rate_whole"]
