@@ -17,6 +17,13 @@ def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "n", *(F.col(f"p{k}").alias(f"p{round(q * 100)}") for k, q in enumerate(points)))
 
 
+def box_stats_of_counts(df: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """As box_stats, of different values with how often each occurs; meant for few different ones, as a group's are in one buffer."""
+    points = [0.1, 0.25, 0.5, 0.75, 0.9]
+    out = df.groupBy(*keys).agg(F.sum(count).alias("n"), F.percentile(value, points, F.col(count)).alias("_p"))
+    return out.select(*keys, "n", *(F.col("_p")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(points)))
+
+
 def box_whiskers(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
     """keys, low and high: the least and greatest value within reach interquartile ranges of the box. Null keys are a group; groups
     without values have no row."""
@@ -140,6 +147,11 @@ def partner_curve(pairs: DataFrame, cuts: list[float], by: str = "assignment", s
     similarities and cuts are compared as floats."""
     ends = F.explode(F.array("label_i", "label_j")).alias("label")
     best = pairs.select(*per, by, ends, F.col(sim).cast("float").alias("sim")).groupBy(*per, by, "label").agg(F.max("sim").alias("best"))
+    return best_partner_curve(best, cuts, by, per)
+
+
+def best_partner_curve(best: DataFrame, cuts: list[float], by: str = "assignment", per: tuple[str, ...] = ()) -> DataFrame:
+    """As partner_curve, of labels with their best similarity (per, by, label, best)."""
     passes = [F.count_if(F.col("best") >= F.lit(c).cast("float")).alias(f"c{k}") for k, c in enumerate(cuts)]
     sums = best.groupingSets([[*per, by], [*per]], *per, by).agg(F.grouping(by).alias("_all"), F.count(F.lit(1)).alias("n"), *passes)
     rows = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"c{k}").alias("hit")) for k, c in enumerate(cuts)))).alias("x")
