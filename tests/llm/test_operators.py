@@ -634,6 +634,22 @@ def test_toxicity_sample_is_bounded(spark):
     assert 0 < toxicity.labelled_sample(docs, labels, (10_000, 10_000), 5_000).num_rows < 1200
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    """Each toxic word is in a few documents only, so a model of a small sample alone knows few of them."""
+    rnd = random.Random(11)
+
+    def made():
+        return "".join(rnd.choice("bcdfghjklmnpqrstvwxyz") for _ in range(7))
+
+    plain, bad = [made() for _ in range(150)], [made() for _ in range(80)]
+    rows = [(k, " ".join([*(rnd.choice(plain) for _ in range(30)), *(rnd.sample(bad, 2) if k % 3 == 0 else [])]), "en", k % 3 == 0) for k in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, t boolean").repartition(2, "doc_id")
+    model = toxicity.train(docs, docs.select("doc_id", F.col("t").cast("int").alias("toxic")), (60, 30))
+    held = toxicity.score_documents(docs, model).join(docs, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted for r in held if r.t]) > 0.9 and np.mean([r.predicted for r in held if not r.t]) < 0.1
+    assert len(model["speaks"]) == 200 and model["names"] == ["en"]
+
+
 def test_url_filter(spark, sf_dir, same):
     entries = spark.createDataFrame([("Bad.com", "ads", "add", 5), ("bad.com", "ads", "remove", 9), ("BAD.com", "ads", "add", 9), ("x.bad.com", "malware", "add", 1), ("x.bad.com.", "malware", "remove", 3), (None, "ads", "add", 1), ("1.2.3.4", "ads", "add", 1), ("3.4", "ads", "add", 1), ("[2001:db8::1]", "ads", "add", 1), ("", "ads", "add", 1)], "pattern string, category string, action string, at int")
     captures = [
