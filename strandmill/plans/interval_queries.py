@@ -22,8 +22,7 @@ def interval_merge(spark, sf):
 SELECT m.contig, count(*) AS pairs, CAST(sum(least(m.stop, s.stop) - greatest(m.start, s.start)) AS BIGINT) AS shared
 FROM motifs m JOIN satellites s ON m.contig = s.contig AND m.start < s.stop AND m.stop > s.start GROUP BY 1""")
 def interval_overlap(spark, sf):
-    met = intervals.overlap_join(relation(spark, sf, "motifs"), relation(spark, sf, "satellites"), width=5_000)
-    return met.groupBy("contig").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("shared"))
+    return intervals.overlap_totals(relation(spark, sf, "motifs"), relation(spark, sf, "satellites"))
 
 
 _NEAR = "m.contig = t.contig AND m.start < t.stop + 10000 AND m.stop > greatest(t.start - 10000, 0)"

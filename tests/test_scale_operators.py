@@ -275,3 +275,29 @@ def test_rows_of_a_table_have_few_copies(spark, tmp_path):
     blocks = pairwise.unordered_pairs(spark.range(64).selectExpr("id AS k"), [], ["k"], ["k"], block=4)
     assert sorted((r.k_i, r.k_j) for r in blocks.collect()) == list(itertools.combinations(range(64), 2))
     assert "block=" not in inspect.getsource(group_queries.pairs_across_table)
+
+
+def test_overlap_totals_equal_the_pairs_of_the_join(spark):
+    """On keys with many pairs at few places, empty intervals at the same places, and nulls."""
+    left = spark.range(400).selectExpr("IF(id % 50 = 0, NULL, concat('c', id % 3)) AS contig", "id * 37 % 90 * 1000 AS start", "id * 37 % 90 * 1000 + id % 5 * 700 AS stop")
+    right = spark.range(300).selectExpr("concat('c', id % 4) AS contig", "id * 41 % 90 * 1000 AS start", "IF(id % 60 = 7, NULL, id * 41 % 90 * 1000 + id % 4 * 900) AS stop")
+    met = left.alias("l").join(right.select("contig", F.col("start").alias("s"), F.col("stop").alias("e")), "contig").where("start < e AND stop > s")
+    wanted = met.groupBy("contig").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("stop", "e") - F.greatest("start", "s")).alias("shared")).collect()
+    found = intervals.overlap_totals(left, right, width=5_000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted)) and len(wanted) == 3
+    assert intervals.overlap_totals(left.limit(0), right).count() == 0
+
+
+def test_overlap_totals_of_a_square_of_pairs(spark):
+    """10^12 pairs of one place are counted, not made."""
+    rows = spark.range(1_000_000).selectExpr("'c' AS contig", "5L AS start", "9L AS stop")
+    assert [tuple(r) for r in intervals.overlap_totals(rows, rows).collect()] == [("c", 10**12, 4 * 10**12)]
+
+
+def test_files_of_alignments_grow_in_number(spark, tmp_path, monkeypatch):
+    from strandmill.sources import sinks
+
+    monkeypatch.setattr(sinks, "ROWS", 100)
+    rows = spark.range(1000).selectExpr("'c' AS rname", "id AS pos")
+    sinks.write_alignments(rows, str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("*.parquet"))) == 10 and spark.read.parquet(str(tmp_path / "a")).count() == 1000
