@@ -160,7 +160,7 @@ def sam_files(spark, sf):
     absent = {n: F.lit(None).cast(schemas.ALIGNMENT[n].dataType) for n in schemas.ALIGNMENT.fieldNames() if n not in rows.columns}
     header = spark.createDataFrame([("@HD\tVN:1.6\tSO:coordinate",), ("@SQ\tSN:ctg0\tLN:1000000",)], "value string")
     path = scratch(spark, "sam")
-    sinks.write_sam(rows.withColumns(absent), header, path, 4)
+    sinks.write_sam(rows.withColumns(absent), header, path)
     found = readers.read_sam(spark, path)
     kept = readers.read_sam_header(spark, path).agg(F.count(F.lit(1)).alias("header"))  # one row
     out = found.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("mapq").alias("mapq"), F.sum(reference_length()).alias("bases"), F.round(F.avg(tag_value("tags", "NM:i:")), 6).alias("nm"))
@@ -181,7 +181,7 @@ def _bam(spark, sf) -> str:
     )
     header = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:ctg{k}\tLN:2000000\n" for k in range(25))
     path = scratch(spark, "bam")
-    bam.write_bam(rows, header, path, 4)
+    bam.write_bam(rows, header, path)
     return path
 
 
@@ -234,7 +234,7 @@ def mapq_summary_files(spark, sf):
 @query(f"WITH {ctes('alignments')} SELECT rname, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos FROM alignments WHERE mapq >= 30 GROUP BY 1")
 def alignment_tables(spark, sf):
     path = scratch(spark, "alignments")
-    sinks.write_alignments(relation(spark, sf, "alignments").where("mapq >= 30"), path, 4)
+    sinks.write_alignments(relation(spark, sf, "alignments").where("mapq >= 30"), path)
     return spark.read.parquet(path).groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
 
 
