@@ -301,3 +301,19 @@ def test_files_of_alignments_grow_in_number(spark, tmp_path, monkeypatch):
     rows = spark.range(1000).selectExpr("'c' AS rname", "id AS pos")
     sinks.write_alignments(rows, str(tmp_path / "a"))
     assert len(list((tmp_path / "a").glob("*.parquet"))) == 10 and spark.read.parquet(str(tmp_path / "a")).count() == 1000
+
+
+def test_qualities_of_alignments_that_meet_broadcast_regions(spark, monkeypatch):
+    """The same rows as by hashes, for alignments shorter and longer than a bin, at its edges and on contigs without regions."""
+    from strandmill.operators import alignments
+
+    rows = [(f"q{k}", f"c{k % 3}", at, 0, 60, f"{n}M", [float((i + k) % 41) for i in range(min(n, 2000))]) for k, (at, n) in enumerate(itertools.product((0, 100, 49_990, 50_000, 99_995, 149_000, 151_000), (1, 11, 900, 50_000, 50_001, 120_000)))]
+    df = spark.createDataFrame(rows + rows[:5], "qname string, rname string, pos long, flag int, mapq int, cigar string, quality array<double>")
+    regions = spark.createDataFrame([(f"c{k}", a, b) for k in (0, 1) for a, b in ((5, 9), (50_000, 50_001), (99_990, 100_000), (120_000, 180_000), (49_995, 49_999))], "contig string, start long, stop long")
+
+    def found():
+        return sorted(map(str, alignments.filter_by_quality(df, regions, 15.0).collect()))
+
+    near = found()
+    monkeypatch.setattr(alignments, "FEW", 0)
+    assert near == found() and len(near) > 10
