@@ -27,6 +27,7 @@ from strandmill.sources.sinks import in_ranges
 
 MANIFEST = "_manifest.json"
 SPLIT_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+ROWS = 75_000  # in a file that is written
 END = 1 << 63  # after any record
 
 
@@ -324,6 +325,6 @@ def write_bam(df: DataFrame, header: str, path: str, partitions: int | None = No
     order = spark.createDataFrame([(name, k) for k, (name, _) in enumerate(references)], "rname string, _ref long")
     by = (F.coalesce("_ref", F.lit(1 << 31)), F.col("pos"))
     placed = df.select(*ALIGNMENT.fieldNames()).join(F.broadcast(order), "rname", "left")  # a row for each contig of the header
-    ranged = in_ranges(placed, by, partitions)
+    ranged = in_ranges(placed, by, partitions, ROWS)
     ordered = ranged.sortWithinPartitions(*by, "qname", "flag").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in ALIGNMENT.fields))
     ordered.write.format("bam").options(path=path, header=header).mode("overwrite").save()

@@ -11,9 +11,9 @@ from strandmill.sources.schemas import ALIGNMENT
 ROWS = 200_000  # in a file of alignments
 
 
-def in_ranges(df: DataFrame, by: list, partitions: int | None = None) -> DataFrame:
-    """df dealt out by ranges of by: to partitions, or to as many as give each about ROWS rows, so that a task's rows don't grow with the table."""
-    return df.repartitionByRange(partitions or max(1, -(-df.count() // ROWS)), *by)
+def in_ranges(df: DataFrame, by: list, partitions: int | None = None, rows: int | None = None) -> DataFrame:
+    """df dealt out by ranges of by: to partitions, or to as many as give each about rows (ROWS) rows, so that a task's rows don't grow with the table."""
+    return df.repartitionByRange(partitions or max(1, -(-df.count() // (rows or ROWS))), *by)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
