@@ -30,7 +30,7 @@ SAMPLE, SAMPLE_BYTES, LONGEST = (2400, 1200), 64 << 20, 1 << 20  # clean and tox
 ROUNDS, SEEN, PART, FINE = (2, 12), 80_000, 1024, 32  # rounds over all documents, documents they see in all, embeddings in a row of changes, steps of a unit of log odds
 EPOCHS, SETTLED, SETTLES, RATE, MINI, DROP = 30, 2, 5e-4, 0.05, 32, 0.2
 CUT, LEAST, HELD = 0.3, 8, 0.3
-BATCH, RUN, CHUNK = 8 << 20, 250_000, 20_000  # bytes of a batch, words of a run, different words at a time
+BATCH, RUN, CHUNK = 8 << 20, 8_000, 5_000  # bytes of a batch, words of a run and different words at a time, few enough for a cache
 _OFFSET = {w: sum(SPANS[: SPANS.index(w)]) for w in SPANS}  # of a span's first matrix
 
 
@@ -40,7 +40,9 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.nda
     if not len(starts):
         return [], np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     codes, words = W.coded(data, starts)
-    return [letters_of(w) for w in words], codes, first
+    place: dict[str, int] = {}  # words that differ in other signs alone are one
+    own = np.fromiter((place.setdefault(letters_of(w), len(place)) for w in words), np.int32, len(words))
+    return list(place), own[codes], first
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ class Network:
         out = np.empty((len(begin) - 1, WIDTH), self.embed.dtype)
         for a in range(0, len(out), CHUNK):
             own = begin[a : a + CHUNK + 1]
-            out[a : a + CHUNK] = np.add.reduceat(self.embed[found[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+            out[a : a + CHUNK] = np.add.reduceat(self.embed.take(found[own[0] : own[-1]], axis=0), own[:-1] - own[0], axis=0)
         return out / np.sqrt(np.diff(begin))[:, None].astype(np.float32)
 
     def pool(self, parts: np.ndarray, codes: np.ndarray, first: np.ndarray, where: bool = False):
@@ -98,21 +100,24 @@ class Network:
         some = np.flatnonzero(np.diff(first))
         if not len(some):
             return (best, place) if where else best
-        text = np.repeat(np.arange(n), np.diff(first))
+        begin, end = first[:-1][some], first[1:][some]
+        every = parts.take(codes, axis=0)
+        value = np.empty((len(codes), best.shape[1]), parts.dtype)
         for k, span in enumerate(SPANS):
             own = slice(k * FILTERS, (k + 1) * FILTERS)
-            value = parts[codes, _OFFSET[span] * FILTERS : (_OFFSET[span] + 1) * FILTERS]
+            value[:, own] = every[:, _OFFSET[span] * FILTERS : (_OFFSET[span] + 1) * FILTERS]
             for step in range(1, span):
                 col = (_OFFSET[span] + step) * FILTERS
-                inside = text[step:] == text[: len(codes) - step]
-                value[: len(codes) - step] += parts[codes[step:], col : col + FILTERS] * inside[:, None]
-            value += self.shift[own]
-            top = np.maximum.reduceat(value, first[:-1][some], axis=0)
-            best[some, own] = np.maximum(top, 0)
-            if where:
-                for row, t in enumerate(some):
-                    at = value[first[t] : first[t + 1]].argmax(axis=0)
-                    place[t, own] = np.where(top[row] > 0, first[t] + at, -1)
+                more = every[:, col : col + FILTERS]
+                for ahead in range(step):  # the text before has no part in a text's first words
+                    more[(begin + ahead)[begin + ahead < end]] = 0
+                value[: len(codes) - step, own] += more[step:]
+        value += self.shift
+        top = np.maximum.reduceat(value, begin, axis=0)
+        best[some] = np.maximum(top, 0)
+        if where:
+            for row, t in enumerate(some):
+                place[t] = np.where(top[row] > 0, first[t] + value[first[t] : first[t + 1]].argmax(axis=0), -1)
         return (best, place) if where else best
 
     def score(self, pooled: np.ndarray) -> np.ndarray:
@@ -145,7 +150,7 @@ def gradients(net: Network, found: np.ndarray, begin: np.ndarray, codes: np.ndar
     flat = found[np.repeat(begin[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
     order = np.argsort(flat, kind="stable")
     near, at = np.unique(flat[order], return_index=True)
-    d_embed = np.add.reduceat(np.repeat(d_words, size, axis=0)[order], at, axis=0) if len(at) else np.zeros((0, WIDTH))
+    d_embed = np.add.reduceat(d_words.take(np.repeat(np.arange(len(size)), size)[order], axis=0), at, axis=0) if len(at) else np.zeros((0, WIDTH))
     small = {"filters": vectors[rows].T @ d_parts[rows], "shift": back.sum(axis=0), "last": (error[:, None] * pooled * mask).sum(axis=0), "bias": error.sum()}
     return small, near, d_embed
 
@@ -506,14 +511,13 @@ def bent(score: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def raw_scores(batch: pa.RecordBatch, net: Network, speaks: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the network's score and the language that its words speak for, of n."""
-    score, spoken = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+    score = np.zeros(batch.num_rows)
     words, codes, first = text_words(*string_buffers(batch.column("text")))
+    spoken = guess(words, codes, first, speaks, n)
     parts, a = net.vectors(*features(words)) @ net.filters, 0
     while a < batch.num_rows:  # runs of about RUN words
         b = min(max(int(np.searchsorted(first, first[a] + RUN, side="right")) - 1, a + 1), batch.num_rows)
-        own, at = codes[first[a] : first[b]], first[a : b + 1] - first[a]
-        spoken[a:b] = guess(words, own, at, speaks, n)
-        score[a:b] = net.score(net.pool(parts, own, at))
+        score[a:b] = net.score(net.pool(parts, codes[first[a] : first[b]], first[a : b + 1] - first[a]))
         a = b
     return score, spoken
 

@@ -554,6 +554,12 @@ def tiny_texts(rows):
     return toxicity.Texts(*toxicity.text_words(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data])))))
 
 
+def test_toxicity_words_of_the_same_letters_are_one():
+    texts = tiny_texts(["One, two", "(one) two! 77 TWO", ""])
+    assert texts.words == ["one", "two", ""] and texts.codes.tolist() == [0, 1, 0, 1, 2, 1] and texts.first.tolist() == [0, 2, 6, 6]
+    assert len(texts.begin) == 4
+
+
 def test_toxicity_gradients_equal_finite_differences():
     texts = tiny_texts(["one two three two", "", "four one", "five six seven eight nine", "two"])
     net, toxic, weight = toxicity.Network(3), np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 0.5, 2, 1, 1])
