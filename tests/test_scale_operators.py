@@ -4,6 +4,7 @@ import inspect
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -103,6 +104,15 @@ def test_disruption_and_fragments_as_expressions(spark):
         assert [tuple(x) for x in r.f] == plain.fragments(r.t), r.t
 
 
+def test_fragments_of_a_long_text_take_one_pass(spark):
+    texts = ["".join(random.Random(4).choice("ACGT") for _ in range(240_000)) + "AC", "é\nßxyzé\nßxyzab", "\U0001f600bcdefg", "A" * 13]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sequence.merged_fragments("t").alias("f"))
+    began = time.time()
+    for r in df.collect():
+        assert [tuple(x) for x in r.f] == plain.fragments(r.t)
+    assert time.time() - began < 8  # the text was joined again for each run
+
+
 def test_linkage_equals_the_search_of_the_whole_matrix():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 24):
