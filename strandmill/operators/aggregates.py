@@ -244,15 +244,21 @@ def rolling_ratio(df: DataFrame, keys: list[str], pos: str, num: str, den: str,
 
 
 def best_kmer_coverage(spans: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, coverage: the most that one k-mer's places cover of the text, in percent; 0 for texts under k letters."""
+    """key, coverage: for each row the most that one k-mer's places cover of the text, in percent; 0 for texts under k letters.
+
+    A text's k-mers are sorted and counted within its row, so no row is made for a k-mer.
+    """
     from strandmill.functions import sequence
 
-    places = spans.select(key, F.length(text).alias("_n"), F.posexplode(sequence.kmers(text, k)).alias("_at", "_kmer")).where(sequence.plain("_kmer"))
-    order = Window.partitionBy(key, "_kmer").orderBy("_at")
-    own = places.withColumn("_new", F.least(F.lit(k), F.coalesce(F.lead("_at").over(order) - F.col("_at"), F.lit(k))))
-    each = own.groupBy(key, "_n", "_kmer").agg(F.sum("_new").alias("_c"))
-    best = each.groupBy(key).agg(F.max(100.0 * F.col("_c") / F.col("_n")).alias("_best"))
-    return spans.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit(0.0)).alias("coverage"))
+    places = F.sort_array(F.filter(F.transform(sequence.kmers(text, k), lambda w, i: F.struct(w.alias("kmer"), i.alias("at"))), lambda x: sequence.plain(x["kmer"])))
+    none = F.struct(F.lit("").alias("kmer"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("most"))
+
+    def add(a: Column, x: Column) -> Column:
+        more = F.when(a["kmer"] == x["kmer"], a["own"] + F.least(F.lit(k), x["at"] - a["at"])).otherwise(k).cast("long")
+        return F.struct(x["kmer"].alias("kmer"), x["at"].alias("at"), more.alias("own"), F.greatest(a["most"], more).alias("most"))
+
+    best = F.aggregate(places, none, add, lambda a: a["most"])
+    return spans.select(key, F.when(F.length(text) >= k, 100.0 * best / F.length(text)).otherwise(0.0).alias("coverage"))
 
 
 def boxcar(df: DataFrame, keys: list[str], pos: str, value: str, width: int) -> DataFrame:

@@ -113,6 +113,20 @@ def test_fragments_of_a_long_text_take_one_pass(spark):
     assert time.time() - began < 8  # the text was joined again for each run
 
 
+def test_best_kmer_coverage_makes_no_row_for_a_kmer(spark):
+    rnd = random.Random(9)
+    texts = [None, "", "ACGTA", "ACGTAC", "AAAAAAAAA", "ACNNGTACGT", "\U0001f600ACGTACGTACGTAC"] + ["".join(rnd.choice("AACN") for _ in range(rnd.randint(6, 60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    out = aggregates.best_kmer_coverage(df, "id", "t", 6)
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Generate"))
+    for r in out.collect():
+        t, most = texts[r.id] or "", 0
+        for w in {t[i : i + 6] for i in range(len(t) - 5)}:
+            if set(w) <= set("ACGT"):
+                most = max(most, len({i + k for i in range(len(t) - 5) if t[i : i + 6] == w for k in range(6)}))
+        assert r.coverage == (100.0 * most / len(t) if t else 0.0), t
+
+
 def test_linkage_equals_the_search_of_the_whole_matrix():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 24):
