@@ -35,6 +35,7 @@ BATCH = 4 << 20
 FREQUENT, SEEN = 1 << 16, 4  # how many frequent shingles come last; in how many sets of a batch one must be
 GROUP, GROUP_WORDS, SPEAKERS = 128, 1 << 20, 4  # sets and shingles of a block; sets that stand for a component
 SHARE = 20
+FEW = 1 << 20  # rows of numbers, any group of which fits a task
 FAN, LEAF = 8, 32
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
 
@@ -288,31 +289,49 @@ def _join(n: int, percent: int, key: bytes):
     return run
 
 
+def _met(rows: DataFrame, groups: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """rows (of numbers) joined to groups, as by skew_join; up to FEW rows, whose largest group fits a task, without its broadcasts."""
+    return rows.join(groups.hint("merge"), on) if total <= FEW else skew_join(rows, groups, on, count, total)
+
+
+def _round(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs with a node's larger neighbours, then its smaller ones, hung on the least of them.
+
+    A node's own row in a round is its least neighbour, so rows of a node with very many neighbours are joined to it by skew_join.
+    Up to FEW rows are shuffled by node instead, once for each step: what an exchange or a broadcast takes of the driver stays with it.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if total <= FEW:
+        least = F.min("b").over(Window.partitionBy("a"))
+        large = both.withColumn("m", F.least("a", least)).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        met = large.repartition("a").distinct().withColumn("m", least)
+        moved = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        return keep(moved.where("a <> b").distinct(), "components")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+    large = skew_join(both, least, "a", "_n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    large = keep(large, "components")
+    least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+    small = skew_join(large, least, "a", "_n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    after = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+    drop(large)
+    return after
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root of all nodes of links (a, b): the least node that links reach.
 
-    Each round hangs a node's larger neighbours, then its smaller ones, on the least of them; the number of rounds
-    grows with the logarithm of the longest chain. A node's own row in a round is its least neighbour, so rows of a node
-    with very many neighbours are joined to it by skew_join.
+    The number of rounds grows with the logarithm of the longest chain.
     """
     pairs = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    before = None
+    before, many = None, pairs.count()
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        total = max(2 * pairs.count(), 1)
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-        large = skew_join(both, least, "a", "_n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = keep(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
-        small = skew_join(large, least, "a", "_n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, pairs = pairs, keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
-        drop(large)
+        last, pairs = pairs, _round(pairs, max(2 * many, 1))
         drop(last)
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
+        before, many = state, state[0]
 
 
 def _blocks(size, words):
@@ -341,7 +360,7 @@ def _large_groups(members: DataFrame, links: DataFrame, texts: DataFrame, find,
         few = found.groupBy("hub", "root", F.pmod(F.xxhash64("node"), F.lit(64)).alias("p")).agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("s"))
         speakers = few.select("hub", "root", "s.node", "s.n").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPEAKERS).drop("k")
         sizes = speakers.groupBy("hub").agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("roots > 1")
-        met = skew_join(speakers, sizes, "hub", "size", total).withColumn("x", F.pmod(F.xxhash64("root"), _blocks("size", "words")).cast("int"))
+        met = _met(speakers, sizes, "hub", "size", total).withColumn("x", F.pmod(F.xxhash64("root"), _blocks("size", "words")).cast("int"))
         met = met.select("hub", "x", F.lit(0).alias("y"), F.lit(False).alias("two"), F.lit(False).alias("right"), "node", "root")
         more = keep(find(met.join(texts, "node")), "jaccard-links")
         if more.isEmpty():
@@ -355,7 +374,7 @@ def _large_groups(members: DataFrame, links: DataFrame, texts: DataFrame, find,
     per_hub = keep(per_hub.join(words, "hub").select("hub", "size", "g.giant", (F.col("top") + 1).alias("blocks"), _blocks("size", "words").alias("most"), (F.col("size") - F.col("g.c")).alias("strays")), "jaccard-hubs")
     if per_hub.isEmpty():
         return links
-    own = skew_join(found, per_hub, "hub", "size", total).withColumn("chunks", F.ceil(F.col("most") * F.col("strays") / F.col("size")).cast("int"))
+    own = _met(found, per_hub, "hub", "size", total).withColumn("chunks", F.ceil(F.col("most") * F.col("strays") / F.col("size")).cast("int"))
     left = own.select("hub", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"), F.lit(True).alias("two"), F.lit(False).alias("right"), "node", "root")
     strays = own.where("root <> giant").withColumn("y", _of(F.col("chunks"), 5))
     right = strays.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(True).alias("two"), F.lit(True).alias("right"), "node", "root")
@@ -384,12 +403,12 @@ def jaccard_links(rows: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[
     drop(pairs)
     tokens = shared.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     total = max(shared.count(), 1)
-    each = skew_join(shared, tokens, "token", "rows", total).groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    each = _met(shared, tokens, "token", "rows", total).groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     # two similar sets share at least `least` shingles; if each leaves groups in which it has under half of that, one is left
     weak = F.sum("c").over(Window.partitionBy("node").orderBy("c", "hub").rowsBetween(Window.unboundedPreceding, 0))
     meet = keep(each.withColumn("weak", weak).where(F.col("weak") * 2 > least - 1).select("hub", "node", "n"), "jaccard-meetings")
     sizes = meet.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
-    meet = skew_join(meet, sizes.withColumn("blocks", _blocks("size", "words")), "hub", "size", total)
+    meet = _met(meet, sizes.withColumn("blocks", _blocks("size", "words")), "hub", "size", total)
     meet = keep(meet.select("hub", "node", "n", "blocks", _of(F.col("blocks")).alias("block")), "jaccard-groups")
     drop(shared)
 
@@ -414,7 +433,7 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     full, total = nodes.where("n > 0"), max(nodes.count(), 1)
     each = full.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).join(components(links), "node", "left")
     each = each.select("node", "rows", F.coalesce("root", "node").alias("root"))
-    return keep(skew_join(full, each, "node", "rows", total).drop("node", "rows"), "jaccard-roots")
+    return keep(_met(full, each, "node", "rows", total).drop("node", "rows"), "jaccard-roots")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -430,7 +449,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     nodes, links = jaccard_links(rows, n, percent)
     rooted = _rooted(nodes, links)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    out = skew_join(rooted, least, "root", "members", max(rooted.count(), 1)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = _met(rooted, least, "root", "members", max(rooted.count(), 1)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
