@@ -76,3 +76,9 @@ def test_share_rounds_as_round(spark):
     df = spark.range(1, 700).selectExpr("id AS n", "explode(sequence(0L, id)) AS k")
     assert df.where(f"{sign_pairs.share('k', 'n')} != round(CAST(k AS DOUBLE) / n, 6)").count() == 0
     assert spark.sql(f"SELECT {sign_pairs.share('0', '0')} AS a, {sign_pairs.share('0', 'CAST(NULL AS INT)')} AS b").first() == (None, None)
+
+
+@pytest.mark.parametrize("lengths", [[64], [3, 64, 65, 130], [2100, 5]])
+@pytest.mark.parametrize("twice", [(), (3, 4)])
+def test_list(spark, tmp_path, lengths, twice):
+    assert compiled(like_sql(spark, tmp_path, "pairs_within_group", "embeddings", spark.createDataFrame(vectors(30, lengths, twice), SCHEMA)))
